@@ -1,5 +1,9 @@
 """Session defaults for local runs and tests; on a cluster the caller's session is used as it is."""
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +20,18 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context: their Python needs it to run the
+    functions that the Arrow and pandas operators hand to it."""
+    context = spark.sparkContext
+    if getattr(context, "_barkgraph_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="barkgraph-")) / "barkgraph.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(here.rglob("*.py")):
+            archive.write(source, source.relative_to(here.parent))
+    context.addPyFile(str(target))
+    context._barkgraph_shipped = True
