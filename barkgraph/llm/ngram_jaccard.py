@@ -32,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import arrow_map, cut, map_batches
 
 SHINGLE = 5
 #: Share of a set by which every first prefix is lengthened, and which its partners must match.
 FIRST_MATCH = 0.04
 #: Estimated candidates of a document above which its prefix grows to the whole set.
 CANDIDATE_COST = 64
+#: Rounds in which documents are compared with their posting lists' hubs, at most; exactness doesn't hang on it.
+HUB_ROUNDS = 3
 #: UTF-8 bytes of text for each partition of the posting index: about three million postings.
 BYTES_PER_PARTITION = 60_000_000
 #: Bytes of text whose postings a task joins before it publishes them.
@@ -153,7 +155,7 @@ def _published(docs: DataFrame, partitions: int, seed: int) -> DataFrame:
         if held:
             yield from emit()
 
-    return _texts(docs).mapInArrow(run, "key long, doc_id long, n long, check long, leader long, part int, tokens array<long>")
+    return arrow_map(_texts(docs), run, "key long, doc_id long, n long, check long, leader long, part int, tokens array<long>")
 
 
 _PUBLISHED = ["key", "doc_id", "n", "check", "leader", "part", "tokens"]
@@ -228,7 +230,7 @@ def _shared(published: DataFrame, partitions: int) -> DataFrame:
             yield batch.select(["key", "leader", "tokens"])
 
     apart = published.where("part >= 0").select("key", "leader", "tokens", "part").repartition(partitions, "part")
-    met = apart.select("key", "leader", "tokens").mapInArrow(run, "key long, leader long, tokens array<long>")
+    met = arrow_map(apart.select("key", "leader", "tokens"), run, "key long, leader long, tokens array<long>")
     return published.where("part = -2").select("key", "leader", "tokens").unionByName(met)
 
 
@@ -309,29 +311,106 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tokens = shared.join(alive, "key").select("doc_id", "n", "need", "tokens").join(comp, "doc_id", "left")
     posts = _mixed(tokens.select("doc_id", "n", "need", F.coalesce("component", "doc_id").alias("comp"), F.explode("tokens").alias("token")))
+    for _ in range(HUB_ROUNDS):  # near copies of one document join it here, whichever of them came first above
+        if posts.isEmpty():
+            break
+        hubs = _hubs(posts)
+        more = cut(verify(hubs.where("a <> hub and ca <> cb").select("a", F.col("hub").alias("b")), docs))
+        if more.isEmpty():
+            break
+        links = cut(links.unionByName(more))
+        comp = components(links)
+        posts = _mixed(_relabelled(posts, comp))
     if not posts.isEmpty():
         width = posts.groupBy("token").agg(F.count("*").alias("df"))
         cost = posts.join(width, "token").groupBy("doc_id").agg((F.sum("df") / F.first("need")).alias("cost"))
         dear = cut(cost.where(F.col("cost") > CANDIDATE_COST).select("doc_id"))
         # a cheap document meets all its candidates here; dear ones meet each other over whole sets
-        found = _pairs(posts.join(dear, "doc_id", "left_anti"), posts, "ca <> cb")
+        found = _pairs(posts.join(dear, "doc_id", "left_anti"), posts)
         if not dear.isEmpty():
-            whole = _sets(docs.join(dear, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-            whole = whole.select("doc_id", "n", F.ceil(F.col("n") * 0.75).cast("long").alias("need"), F.explode("tokens").alias("token"))
-            whole = _mixed(with_components(whole))
-            found = found.unionByName(_pairs(whole, whole, "ca < cb"))
+            found = found.unionByName(_dear_pairs(dear, docs, comp))
         more = cut(verify(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs))
         if not more.isEmpty():
-            comp = components(links.union(more))
+            comp = components(links.unionByName(more))
 
     label = groups.join(comp, "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))
     full = ids.where("n > 0 and doc_id is not null").join(label, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(ids.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _pairs(one: DataFrame, other: DataFrame, order: str) -> DataFrame:
-    """Pairs (a, b) from different components that share enough of the given hashes."""
-    x = one.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("need").alias("la"), F.col("comp").alias("ca"), "token")
-    y = other.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("lb"), F.col("comp").alias("cb"), "token")
-    near = x.join(y, "token").where(f"{order} and 4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return near.groupBy("a", "b").agg(F.count("*").alias("s"), F.first(F.least("la", "lb")).alias("need")).where("s >= need").select("a", "b")
+def _relabelled(posts: DataFrame, comp: DataFrame) -> DataFrame:
+    return posts.drop("comp").join(comp, "doc_id", "left").select("doc_id", "n", "need", F.coalesce("component", "doc_id").alias("comp"), "token")
+
+
+def _hubs(posts: DataFrame) -> DataFrame:
+    """(a, na, ca, hub, nb, cb): for each document the hub it shares most hashes with. The hub of a posting list
+    is its document with the most such hashes; of a family of copies that is the original, if it is there."""
+    m = posts.groupBy("doc_id").agg(F.count("*").alias("m"))
+    rows = posts.join(m, "doc_id").select("doc_id", "n", "comp", "token", F.struct("m", -F.col("doc_id"), "n", "comp").alias("rank"))
+    best = rows.groupBy("token").agg(F.max("rank").alias("best"))
+    near = rows.join(best, "token").groupBy("doc_id", "best").agg(F.count("*").alias("s"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    top = near.groupBy("doc_id").agg(F.max(F.struct("s", "best")).alias("top"), F.first("n").alias("na"), F.first("comp").alias("ca"))
+    hub = F.col("top.best")
+    return cut(top.select(F.col("doc_id").alias("a"), "na", "ca", (-hub["col2"]).alias("hub"), hub["n"].alias("nb"), hub["comp"].alias("cb")))
+
+
+def _sides(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of hashes that two documents of fitting sizes and of different components share."""
+    x, y = (d.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("need").alias(f"l{k}"), F.col("comp").alias(f"c{k}"), "token", *([F.col("hub").alias(f"h{k}"), F.col("shared").alias(f"s{k}")] if "hub" in d.columns else [])) for d, k in ((one, "a"), (other, "b")))
+    return x.join(y, "token").where("ca <> cb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
+
+
+def _pairs(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough of the given hashes."""
+    return _sides(one, other).groupBy("a", "b").agg(F.count("*").alias("s"), F.first(F.least("la", "lb")).alias("need")).where("s >= need").select("a", "b")
+
+
+def _dear_pairs(dear: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Candidate pairs among documents that share hashes with many, over their whole sets.
+
+    Each document has a hub h and the number s of h's shingles that it holds. If x doesn't link with h, a y of the
+    same hub that shares nothing with x outside h has at most s of x's shingles, too few unless y is smaller
+    than h: 3 (n_x + n_y) <= 7 s. So within a family only hashes outside the hub make candidates, and these are
+    rare; the smaller documents are met by size. Across families all hashes do."""
+    whole = _sets(docs.join(dear, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    whole = whole.select("doc_id", "n", F.ceil(F.col("n") * 0.75).cast("long").alias("need"), F.lit(None).cast("long").alias("comp"), F.explode("tokens").alias("token"))
+    whole = _mixed(_relabelled(whole, comp))
+    if whole.isEmpty():
+        return whole.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    hubs = _hubs(whole).select(F.col("a").alias("doc_id"), "hub")
+    of_hub = _sets(docs.join(hubs.select(F.col("hub").alias("doc_id")).distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    of_hub = of_hub.select(F.col("doc_id").alias("hub"), F.explode("tokens").alias("token"), F.lit(True).alias("inside"))
+    known = whole.join(hubs, "doc_id").join(of_hub, ["hub", "token"], "left").withColumn("inside", F.col("inside").isNotNull())
+    # hashes that touch one component only make no pair, but s counts them too
+    exact = _sets(docs.join(hubs.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(hubs, "doc_id")
+    exact = exact.join(_sets(docs.join(hubs.select(F.col("hub").alias("doc_id")).distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("hub"), F.col("tokens").alias("of_hub")), "hub")
+    shared = exact.select("doc_id", F.size(F.array_intersect("tokens", "of_hub")).cast("long").alias("shared"))
+    known = cut(known.join(shared, "doc_id"))
+    inside, outside = known.where("inside"), known.where("not inside")
+    two = inside.groupBy("token").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).where("lo < hi").select("token")
+    across = inside.join(two, "token", "left_semi")
+    rows = _sides(outside, outside).where("a < b").unionByName(_sides(outside, inside)).unionByName(_sides(across, across).where("ha < hb"))
+    fits = F.when(F.col("ha") == F.col("hb"), F.least("sa", "sb") + F.col("e")).otherwise(F.least("na", "nb"))
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("e"), *[F.first(c).alias(c) for c in ("na", "nb", "ha", "hb", "sa", "sb")])
+    pairs = pairs.where(7 * fits >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+    each = known.select("doc_id", "n", "comp", "hub", "shared").distinct()
+    x = each.where("4 * shared >= 3 * n").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "hub", F.col("shared").alias("sa"))
+    y = each.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "hub", F.col("shared").alias("sb"))
+    smaller = x.join(y, "hub").where("ca <> cb and 4 * least(na, nb) >= 3 * greatest(na, nb) and 7 * least(sa, sb) >= 3 * (na + nb)").select("a", "b")
+    return pairs.unionByName(smaller)
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that with the smallest doc_id; of rows that repeat it, the one
+    with the smallest text. Documents without words or without a doc_id all stay."""
+    found = near_duplicates(docs)
+    gone = cut(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = cut(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return left
+    once = left.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    repeated = left.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
+    best = repeated.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull(), F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])).alias("__row"))
+    row = best.select("doc_id", F.col("__row.*")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(row)
