@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,8 +49,10 @@ def map_batches(df: DataFrame, schema: T.StructType | str, start: Callable[[], C
             if out is not None:
                 yield from out if isinstance(out, list) else [out]
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
-def batch_of(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow, once the executors have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
