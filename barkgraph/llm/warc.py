@@ -184,13 +184,14 @@ def _candidate(r: _Range, at: int, compressed: bool) -> tuple[dict, int] | None:
         while not z.eof:
             if i >= len(r.data) and not r.more():
                 return None
-            out.append(z.decompress(bytes(r.data[i : i + step])))
-            i += step
+            part = bytes(r.data[i : i + step])
+            out.append(z.decompress(part))
+            i += len(part)
             if len(out) == 1 and not out[0].startswith(_PLAIN[: len(out[0])]):
                 return None
     except zlib.error:
         return None
-    used = min(i, len(r.data)) - len(z.unused_data) - at
+    used = i - len(z.unused_data) - at
     found = parse(b"".join(out))
     return (found[0], used) if found and found[1] == sum(map(len, out)) else None
 
