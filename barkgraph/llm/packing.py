@@ -37,11 +37,12 @@ PIECE = 256
 #: Windows in a group, and ids that a group leaves free in each of them.
 GROUP, SLACK = 64, 20
 CLOSING_ID = 1
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 600_000
+#: Words, and words without their closing punctuation, whose ids a worker remembers; cores coded in one call.
+CACHED_WORDS, CACHED_CORES, CORES_AT_ONCE = 500_000, 700_000, 200
 
 #: White space for Python's split that the tokenizers library takes as text, or may.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎]")
+_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -99,21 +100,49 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(x.ids, "<u4").tobytes() for x in encode(texts, add_special_tokens=False)]
 
+    def _learn_cores(self, cores: list[str]) -> None:
+        """Ids of lower-case words of plain letters: each is one pretoken, so many are coded as one text and its ids
+        told apart by the pretokens' numbers."""
+        n = CORES_AT_ONCE
+        parts = [cores[i : i + n] for i in range(0, len(cores), n)]
+        for part, x in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            raw = np.array(x.ids, "<u4").tobytes()
+            at = (4 * np.flatnonzero(np.diff(x.word_ids, prepend=-1))).tolist()
+            at.append(len(raw))
+            self.cores.update(zip(part, [raw[s:e] for s, e in zip(at, at[1:])], strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        """A word of letters and closing ASCII punctuation has the ids of both, one after the other: a pretoken holds
+        letters or punctuation, never both (but for contractions, which have letters after the apostrophe)."""
+        plain, odd = [], []
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            (plain.append((w, core.lower(), w[len(core) :])) if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core else odd.append(w))
+        cores = {c for _, c, _ in plain}
+        if len(self.cores) + len(cores) > CACHED_CORES:
+            self.cores.clear()
+        self._learn_cores(list(cores.difference(self.cores)))
+        tails = list({t for _, _, t in plain if t}.difference(self.tails))
+        self.tails.update(zip(tails, self.whole(tails), strict=True))
+        self.update((w, self.cores[c] + self.tails[t]) for w, c, t in plain)
+        self.update(zip(odd, self.whole(odd), strict=True))
+        if len(self.tails) > CACHED_WORDS:
+            self.tails = {"": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         unknown = set().union(*(x for x in split if x)).difference(self.keys())
         if len(self) + len(unknown) > CACHED_WORDS:
             self.clear()
             unknown = set().union(*(x for x in split if x))
-        unknown = list(unknown)
-        for i in range(0, len(unknown), 10_000):
-            part = unknown[i : i + 10_000]
-            self.update(zip(part, self.whole(part), strict=True))
+        self.learn(list(unknown))
         get = self.__getitem__
         return [self.whole([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
