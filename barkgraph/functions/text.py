@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def number(c: Column) -> Column:
     """A finite double, or null."""
-    d = F.expr("try_cast(x as double)") if c is None else c.try_cast("double")
+    d = c.try_cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
 
 
@@ -18,13 +18,13 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 #: Spellings of the two vocal states.
 BARKING = ("bark", "barking")
-SILENT = ("silent", "not barking", "no bark", "quiet")
+SILENT = ("silent", "not_barking", "notbarking")
 
 
 def state(c: Column) -> Column:
-    """barking, silent, or the cleaned text itself."""
-    s = F.trim(F.regexp_replace(F.lower(F.trim(c)), "[_-]+", " "))
-    return F.when(s.isin(*BARKING), "barking").when(s.isin(*SILENT), "silent").otherwise(s)
+    """barking, not_barking, or the cleaned text itself."""
+    s = F.translate(F.lower(F.trim(c)), " -", "__")
+    return F.when(s.isin(*BARKING), "barking").when(s.isin(*SILENT), "not_barking").otherwise(s)
 
 
 def last_number(c: Column) -> Column:
