@@ -41,10 +41,10 @@ FIRST_MATCH = 0.04
 CANDIDATE_COST = 64
 #: Rounds in which documents are compared with their posting lists' hubs, at most; exactness doesn't hang on it.
 HUB_ROUNDS = 3
-#: UTF-8 bytes of text for each partition of the posting index: about three million postings.
-BYTES_PER_PARTITION = 60_000_000
+#: UTF-8 bytes of text for each partition of the posting index: about a million postings.
+BYTES_PER_PARTITION = 24_000_000
 #: Bytes of text whose postings a task joins before it publishes them.
-HELD_BYTES = 24_000_000
+HELD_BYTES = 12_000_000
 #: Words whose hashes a task remembers.
 CACHED_WORDS = 300_000
 
