@@ -53,6 +53,9 @@ def map_batches(df: DataFrame, schema: T.StructType | str, start: Callable[[], C
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow, once the executors have this package."""
+    """mapInArrow, once the executors have this package. Functions take columns by place: names may hold dots,
+    which mapInArrow itself doesn't resolve."""
     ship(df.sparkSession)
+    if any("." in c or "`" in c for c in df.columns):
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return df.mapInArrow(run, schema)

@@ -165,7 +165,7 @@ def remainder(n: int):
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
-    held = remainder(5) == 0 if held_out is None else held_out
+    held = F.coalesce(remainder(5) == 0, F.lit(False)) if held_out is None else held_out
     model = fit(*labelled_sample(docs, labels, "quality", ~held, LABELLED_SAMPLE))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x FACTORS numbers, whatever the input
 

@@ -271,11 +271,11 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
-    return _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), docs, labels, held_out).select("doc_id", "held_out", "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
+    return _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), docs, labels, held_out).select("doc_id", F.col("__held").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= PREDICT).cast("int").alias("predicted"))
 
 
 def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
-    """rows, which have doc_id and text, with held_out and score; text stays."""
+    """rows, which have doc_id and text, with __score and __held; all columns stay."""
     held = F.coalesce(remainder(4) == 2, F.lit(False)) if held_out is None else held_out
     model = fit(*labelled_sample(docs, labels, "toxic", ~held, LABELLED_SAMPLE))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS entries at most
@@ -294,9 +294,9 @@ def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out=None)
         return step
 
     schema = rows.select("*", F.lit(0.0).alias("__score")).schema
-    return map_batches(rows, schema, start).select(*[F.col(f"`{c}`") for c in names], held.alias("held_out"), F.col("__score").alias("score"))
+    return map_batches(rows, schema, start).withColumn("__held", held)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    return _scored(docs, docs, labels).where(F.col("score") < PREDICT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scored(docs, docs, labels).where(F.col("__score") < PREDICT).select(*[F.col(f"`{c}`") for c in docs.columns])
