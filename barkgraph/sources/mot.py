@@ -14,7 +14,7 @@ def parse_mot(lines: DataFrame) -> DataFrame:
     """lines: file, row_no, value. Tabs count as commas and empty tokens go; fewer than six tokens are an error;
     missing tails are 1; a file whose first frame is 0 is shifted by 1; ids that aren't numbers become dense numbers
     by first appearance; of rows with one (frame, id) the most confident stays, the first of equals."""
-    tokens = F.filter(F.transform(F.split(F.translate("value", "\t", ","), ","), F.trim), lambda s: s != "")
+    tokens = F.filter(F.transform(F.split(F.translate("value", "\t", ","), ","), lambda s: F.trim(s)), lambda s: s != "")
     df = lines.select("file", "row_no", tokens.alias("t")).where(F.size("t") > 0)
     t = F.when(F.size("t") < 6, F.raise_error(F.concat(F.lit("fewer than six values in row "), F.col("row_no").cast("string")))).otherwise(F.col("t"))
     at = lambda i: F.get(F.col("t"), F.lit(i))

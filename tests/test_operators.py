@@ -104,7 +104,10 @@ def test_merge_veto_and_part_exception(spark):
     m = profiles.merged(decisions(spark, rows), tracks)
     assert m.first().labels == {1: 1, 2: 1, 3: 3, 4: 3}
     rows[1] = (0, 2, 3, part, 3, 0.95, -0.1, 5, 0.5, False)
-    assert set(profiles.merged(decisions(spark, rows), tracks).first().labels.values()) == {1}
+    # the part-based candidate comes first and is free of the veto, which then keeps 1 from the cluster of 3
+    assert profiles.merged(decisions(spark, rows), tracks).first().labels == {1: 1, 2: 2, 3: 2, 4: 2}
+    rows[1] = (0, 1, 3, part, 3, 0.95, -0.1, 5, 0.5, True)
+    assert profiles.merged(decisions(spark, rows[:2] + rows[3:]), tracks).first().labels == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
 def test_video_without_candidates(spark):
