@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing will read again, and let Spark drop the shuffle files of plans
+    that are gone: disk then holds a step's data, not the sum of all steps'."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def map_batches(df: DataFrame, schema: T.StructType | str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]]) -> DataFrame:

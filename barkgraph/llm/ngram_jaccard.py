@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, map_batches
+from .common import arrow_map, cut, forget, map_batches
 
 SHINGLE = 5
 #: Share of a set by which every first prefix is lengthened, and which its partners must match.
@@ -40,7 +40,7 @@ FIRST_MATCH = 0.04
 #: Estimated candidates of a document above which its prefix grows to the whole set.
 CANDIDATE_COST = 64
 #: Rounds in which documents are compared with their posting lists' hubs, at most; exactness doesn't hang on it.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: UTF-8 bytes of text for each partition of the posting index: about a million postings.
 BYTES_PER_PARTITION = 24_000_000
 #: Bytes of text whose postings a task joins before it publishes them.
@@ -242,7 +242,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("ta", "tb")))
-    return both.where("100 * o >= 75 * (na + nb - o)").select("a", "b")
+    linked = cut(both.where("100 * o >= 75 * (na + nb - o)").select("a", "b"))
+    forget(pairs, sets)
+    return linked
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,14 +268,16 @@ def components(edges: DataFrame) -> DataFrame:
 def _mixed(posts: DataFrame) -> DataFrame:
     """Postings (doc_id, need, comp, token) whose hash touches two components, of the documents
     that keep at least their needed number of such hashes; repeated until nothing leaves."""
-    posts = cut(posts)
+    written = posts = cut(posts)
     size = posts.count()
     while size:
         two = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         posts = posts.join(two, "token", "left_semi")
         enough = posts.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need").select("doc_id")
-        posts = cut(posts.join(enough, "doc_id", "left_semi").select("doc_id", "need", "n", "comp", "token"))
+        before, posts = written, cut(posts.join(enough, "doc_id", "left_semi").select("doc_id", "need", "n", "comp", "token"))
+        written = posts
         left = posts.count()
+        forget(before)
         if left == size:
             break
         size = left
@@ -295,6 +299,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         seed += 1
     shared = cut(_shared(published, partitions))
+    ids = cut(ids)
+    forget(published)
 
     # a pair shares at least the smaller l of the two; the smallest partner has ceil(0.75 n) shingles
     need = F.greatest(F.lit(1), F.ceil(F.lit(FIRST_MATCH) * F.ceil(F.col("n") * 0.75) - 1e-9)).cast("long")
@@ -302,8 +308,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alive = cut(counted.where("m >= need").select("key", "doc_id", "n", "need"))
     stars = shared.where("key <> leader").groupBy("key", "leader").agg(F.sum(F.size("tokens")).alias("s"))
     stars = stars.join(alive, "key").join(alive.select(F.col("key").alias("leader"), F.col("doc_id").alias("b"), F.col("n").alias("nb")), "leader")
-    stars = stars.where("2 * s >= need and 4 * least(n, nb) >= 3 * greatest(n, nb)")
-    links = cut(verify(stars.select(F.col("doc_id").alias("a"), "b"), docs))
+    stars = stars.where("2 * s >= need and 4 * least(n, nb) >= 3 * greatest(n, nb)")  # pairs to try first; exactness does not hang on them
+    links = verify(stars.select(F.col("doc_id").alias("a"), "b"), docs)
     comp = components(links)
 
     def with_components(posts):
@@ -311,16 +317,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tokens = shared.join(alive, "key").select("doc_id", "n", "need", "tokens").join(comp, "doc_id", "left")
     posts = _mixed(tokens.select("doc_id", "n", "need", F.coalesce("component", "doc_id").alias("comp"), F.explode("tokens").alias("token")))
+    forget(shared)
     for _ in range(HUB_ROUNDS):  # near copies of one document join it here, whichever of them came first above
         if posts.isEmpty():
             break
         hubs = _hubs(posts)
-        more = cut(verify(hubs.where("a <> hub and ca <> cb").select("a", F.col("hub").alias("b")), docs))
+        more = verify(hubs.where("a <> hub and ca <> cb").select("a", F.col("hub").alias("b")), docs)
         if more.isEmpty():
             break
         links = cut(links.unionByName(more))
         comp = components(links)
-        posts = _mixed(_relabelled(posts, comp))
+        older, posts = posts, _mixed(_relabelled(posts, comp))
+        forget(older)
     if not posts.isEmpty():
         width = posts.groupBy("token").agg(F.count("*").alias("df"))
         cost = posts.join(width, "token").groupBy("doc_id").agg((F.sum("df") / F.first("need")).alias("cost"))
@@ -329,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = _pairs(posts.join(dear, "doc_id", "left_anti"), posts)
         if not dear.isEmpty():
             found = found.unionByName(_dear_pairs(dear, docs, comp))
-        more = cut(verify(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs))
+        more = verify(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs)
         if not more.isEmpty():
             comp = components(links.unionByName(more))
 
@@ -346,12 +354,12 @@ def _hubs(posts: DataFrame) -> DataFrame:
     """(a, na, ca, hub, nb, cb): for each document the hub it shares most hashes with. The hub of a posting list
     is its document with the most such hashes; of a family of copies that is the original, if it is there."""
     m = posts.groupBy("doc_id").agg(F.count("*").alias("m"))
-    rows = posts.join(m, "doc_id").select("doc_id", "n", "comp", "token", F.struct("m", -F.col("doc_id"), "n", "comp").alias("rank"))
+    rows = posts.join(m, "doc_id").select("doc_id", "n", "comp", "token", F.struct("m", (-F.col("doc_id")).alias("minus"), "n", "comp").alias("rank"))
     best = rows.groupBy("token").agg(F.max("rank").alias("best"))
     near = rows.join(best, "token").groupBy("doc_id", "best").agg(F.count("*").alias("s"), F.first("n").alias("n"), F.first("comp").alias("comp"))
     top = near.groupBy("doc_id").agg(F.max(F.struct("s", "best")).alias("top"), F.first("n").alias("na"), F.first("comp").alias("ca"))
     hub = F.col("top.best")
-    return cut(top.select(F.col("doc_id").alias("a"), "na", "ca", (-hub["col2"]).alias("hub"), hub["n"].alias("nb"), hub["comp"].alias("cb")))
+    return cut(top.select(F.col("doc_id").alias("a"), "na", "ca", (-hub["minus"]).alias("hub"), hub["n"].alias("nb"), hub["comp"].alias("cb")))
 
 
 def _sides(one: DataFrame, other: DataFrame) -> DataFrame:
