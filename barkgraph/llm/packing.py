@@ -42,7 +42,8 @@ CACHED_WORDS, CACHED_CORES, CORES_AT_ONCE = 500_000, 700_000, 200
 
 #: White space for Python's split that the tokenizers library takes as text, or may.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎]")
-_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Letters that lower-casing maps one to one, then ASCII punctuation.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-/:-@[-`{-~]*)").fullmatch
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -121,17 +122,23 @@ class Words(dict):
     def learn(self, words: list[str]) -> None:
         """A word of letters and closing ASCII punctuation has the ids of both, one after the other: a pretoken holds
         letters or punctuation, never both (but for contractions, which have letters after the apostrophe)."""
-        plain, odd = [], []
+        plain, cores, tails, odd = [], [], [], []
         for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            (plain.append((w, core.lower(), w[len(core) :])) if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core else odd.append(w))
-        cores = {c for _, c, _ in plain}
-        if len(self.cores) + len(cores) > CACHED_CORES:
+            m = _PLAIN(w)
+            if m is None:
+                odd.append(w)
+            else:
+                plain.append(w)
+                cores.append(m[1].lower())
+                tails.append(m[2])
+        new = set(cores).difference(self.cores)
+        if len(self.cores) + len(new) > CACHED_CORES:
             self.cores.clear()
-        self._learn_cores(list(cores.difference(self.cores)))
-        tails = list({t for _, _, t in plain if t}.difference(self.tails))
-        self.tails.update(zip(tails, self.whole(tails), strict=True))
-        self.update((w, self.cores[c] + self.tails[t]) for w, c, t in plain)
+            new = set(cores)
+        self._learn_cores(list(new))
+        ends = list(set(tails).difference(self.tails))
+        self.tails.update(zip(ends, self.whole(ends), strict=True))
+        self.update(zip(plain, map(bytes.__add__, map(self.cores.__getitem__, cores), map(self.tails.__getitem__, tails)), strict=True))
         self.update(zip(odd, self.whole(odd), strict=True))
         if len(self.tails) > CACHED_WORDS:
             self.tails = {"": b""}
