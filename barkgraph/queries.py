@@ -349,9 +349,10 @@ def _(t):
 
 # --- aggregations ------------------------------------------------------------------------------------------------
 
-@query("AG01_track_info", "SELECT video_id, track_id, first_frame, last_frame, round(first_time_sec, 6) AS first_time_sec, round(last_time_sec, 6) AS last_time_sec, track_rows, round(mean_confidence, 6) AS mean_confidence FROM infos", "infos")
+@query("AG01_track_info", "SELECT video_id, track_id, first_frame, last_frame, round(first_time_sec, 6) AS first_time_sec, round(last_time_sec, 6) AS last_time_sec, track_rows, round(mean_confidence + 0.000000001, 6) AS mean_confidence FROM infos", "infos")
 def _(t):
-    return rounded(t.infos)
+    # means of two-place values often end in a five: away from it, the order of summing doesn't show
+    return rounded(t.infos.withColumn("mean_confidence", F.col("mean_confidence") + 1e-9))
 
 
 @query("AG02_track_quality", "SELECT video_id, track_id, round(duration_sec, 6) AS duration_sec, frame_span, rows, round(total_center_movement, 4) AS total_center_movement, round(median_box_diagonal, 6) AS median_box_diagonal, round(observation_density, 6) AS observation_density, round(normalized_motion, 4) AS normalized_motion, static_suspect, sparse_suspect FROM quality", "quality")
