@@ -1,13 +1,16 @@
 """Trackers over detections, frame by frame within a video: a registry of classes with one protocol.
 
-step(boxes, scores, features) -> list of (row, track id) for one frame; boxes are xyxy arrays."""
+step(boxes, scores, features) -> list of (row, track id) for one frame; boxes are xyxy arrays. features are unit
+vectors, a zero vector where a detection has none, or None if no detection has one."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.vectors import normalized
 from ..session import ship
 from .assign import hungarian
 from .mot import boxes_iou
@@ -26,6 +29,17 @@ def assigned(score: np.ndarray, least: float) -> list[tuple[int, int]]:
     return [(i, j) for i, j in hungarian(-score) if score[i, j] >= least] if score.size else []
 
 
+def seen(feature: np.ndarray | None) -> np.ndarray | None:
+    """The vector, or None for a zero vector."""
+    return feature if feature is not None and feature.any() else None
+
+
+def likeness(features: np.ndarray, tracks: list[_Track]) -> np.ndarray:
+    """Cosine matrix of detections and tracks; nan where either has no vector."""
+    known = np.array([t.feature if t.feature is not None else np.zeros(features.shape[1]) for t in tracks]).reshape(-1, features.shape[1])
+    return np.where(features.any(axis=1)[:, None] & known.any(axis=1)[None], features @ known.T, np.nan)
+
+
 class BoxKalman:
     """Constant-velocity filter over centre x, centre y, area and aspect (the aspect has no velocity)."""
 
@@ -65,11 +79,12 @@ class BoxKalman:
 
 class _Track:
     def __init__(self, ident: int, box: np.ndarray, feature: np.ndarray | None):
-        self.id, self.filter, self.hits, self.missed, self.feature, self.last = ident, BoxKalman(box), 1, 0, feature, box
+        self.id, self.filter, self.hits, self.missed, self.feature, self.last = ident, BoxKalman(box), 1, 0, seen(feature), box
 
     def see(self, box: np.ndarray, feature: np.ndarray | None, alpha: float = 0.30) -> None:
         self.filter.update(box)
         self.hits, self.missed, self.last = self.hits + 1, 0, box
+        feature = seen(feature)
         if feature is not None:
             blend = feature if self.feature is None else (1 - alpha) * self.feature + alpha * feature
             self.feature = blend / (np.linalg.norm(blend) + 1e-12)
@@ -154,19 +169,19 @@ class Byte(_Tracker):
 
 
 class BotSort(Byte):
-    """As Byte; in the first stage a like appearance can stand in for overlap."""
+    """As Byte; the first stage weighs overlap and appearance, and a like appearance can stand in for overlap."""
 
-    def __init__(self, appearance: float = 0.75, near: float = 0.1, **options):
+    def __init__(self, appearance: float = 0.75, weight: float = 0.6, **options):
         super().__init__(**options)
-        self.appearance, self.near = appearance, near
+        self.appearance, self.weight = appearance, weight
 
     def score(self, boxes, features, predicted):
         overlap = iou(boxes, predicted)
         if features is None or not overlap.size:
             return overlap
-        known = np.array([t.feature if t.feature is not None else np.zeros(features.shape[1]) for t in self.tracks])
-        cos = features @ known.T
-        return np.where((cos >= self.appearance) & (overlap >= self.near), np.maximum(overlap, cos), overlap)
+        cos = likeness(features, self.tracks)
+        cost = np.where(np.isnan(cos), 1 - overlap, self.weight * (1 - overlap) + (1 - self.weight) * (1 - cos))
+        return np.where((overlap >= self.first) | (cos >= self.appearance), 1e6 - cost, 0.0)  # as many admitted pairs as there can be
 
 
 class Stable(_Tracker):
@@ -196,11 +211,8 @@ class Stable(_Tracker):
         if rows and columns:
             where = np.array([self.tracks[k].filter.predict() if self.tracks[k].missed > self.lost_after else self.tracks[k].last for k in columns])
             o = iou(boxes[rows], where)
-            c = np.zeros_like(o)
-            if features is not None:
-                known = np.array([self.tracks[k].feature if self.tracks[k].feature is not None else np.zeros(features.shape[1]) for k in columns])
-                c = features[rows] @ known.T
-            for i, j in hungarian(self.weight * (1 - o) + (1 - self.weight) * (1 - c)):
+            c = np.full_like(o, np.nan) if features is None else likeness(features[rows], [self.tracks[k] for k in columns])
+            for i, j in hungarian(np.where(np.isnan(c), 1 - o, self.weight * (1 - o) + (1 - self.weight) * (1 - c))):
                 if o[i, j] >= self.least_iou or c[i, j] >= self.least_cos:
                     see(rows[i], columns[j])
         for i in range(len(boxes)):
@@ -216,17 +228,25 @@ def register(name: str, tracker: type) -> None:
     METHODS[name] = tracker
 
 
-def tracked(detections: DataFrame, method: str, **options) -> DataFrame:
-    """Detections with the ids that a tracker gives them; others go. detections: video_id, frame, x1..y2, confidence.
-    A video is one group; its detections are its only state."""
+def tracked(detections: DataFrame, method: str, vector: str | None = None, **options) -> DataFrame:
+    """Detections with the ids that a tracker gives them; others go. detections: video_id, frame, x1..y2, confidence
+    and, if vector names it, a column of appearance vectors (null: not known). A video is one group; its detections
+    are its only state."""
     make = METHODS[method]
     box = ["x1", "y1", "x2", "y2"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tracker, parts = make(**options), []
-        pdf = pdf.sort_values(["frame", *box, "confidence"], kind="stable")
+        order = ["frame", *box, "confidence"]
+        if vector:
+            size = max((len(v) for v in pdf.feature if v is not None), default=0)
+            pdf["feature"] = [np.zeros(size) if v is None else np.asarray(v, float) for v in pdf.feature]
+            pdf["__tie"] = [v.tobytes() for v in pdf.feature]
+            order.append("__tie")
+        pdf = pdf.sort_values(order, kind="stable")
         for _, rows in pdf.groupby("frame"):
-            hits = tracker.step(rows[box].to_numpy(float), rows.confidence.to_numpy(float), None)
+            features = np.stack(rows.feature.tolist()) if vector else None
+            hits = tracker.step(rows[box].to_numpy(float), rows.confidence.to_numpy(float), features)
             part = rows.iloc[[i for i, _ in hits]].copy()
             part["track_id"] = [t for _, t in hits]
             parts.append(part)
@@ -234,4 +254,5 @@ def tracked(detections: DataFrame, method: str, **options) -> DataFrame:
         return out[["video_id", "frame", "track_id", *box, "confidence"]]
 
     ship(detections.sparkSession)
-    return detections.select("video_id", "frame", *box, "confidence").groupBy("video_id").applyInPandas(run, "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    feature = [normalized(F.col(vector).cast("array<double>")).alias("feature")] if vector else []
+    return detections.select("video_id", "frame", *box, "confidence", *feature).groupBy("video_id").applyInPandas(run, "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double")

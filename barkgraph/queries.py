@@ -767,7 +767,16 @@ def _(t):
     return rounded(_fused(t))
 
 
-for _name, _method in (("ST04_stable_tracker", "stable"), ("ST05_sort", "sort"), ("ST06_bytetrack", "bytetrack"), ("ST07_botsort", "botsort")):
+def _seen(t):
+    """Detections with appearance vectors: one base for each identity, and a part that changes from one to the next."""
+    return t.vector(t.tracks, F.col("video_id") * 7 + F.col("ident"), F.col("frame") * 31 + F.col("track_id") * 17 + 50)
+
+
+for _name, _method in (("ST04_stable_tracker", "stable"), ("ST07_botsort", "botsort")):
+    query(_name)(lambda t, m=_method: rounded(trackers.tracked(_seen(t).where("frame <= 300"), m, "v")))
+
+
+for _name, _method in (("ST05_sort", "sort"), ("ST06_bytetrack", "bytetrack")):
     query(_name)(lambda t, m=_method: rounded(trackers.tracked(t.tracks.where("frame <= 300"), m)))
 
 

@@ -167,6 +167,27 @@ def test_trackers_hold_two_apart(method):
     assert seen[-1][0] != seen[-1][1] and all(s.get(k, seen[-1][k]) == seen[-1][k] for s in seen for k in (0, 1))
 
 
+def test_appearance_recovers_an_id(spark):
+    a, b = [3.0, 0.0, 4.0], [0.0, 2.0, 0.0]
+    rows = [(0, f, 10.0, 0.0, 40.0, 30.0, 0.9, a) for f in range(5)] + [(0, f, 400.0, 0.0, 430.0, 30.0, 0.9, b if f != 3 else None) for f in range(12)]
+    rows += [(0, f, 120.0, 90.0, 150.0, 120.0, 0.9, a) for f in range(9, 12)]  # the first one, elsewhere after four frames unseen
+    df = spark.createDataFrame(rows, "video_id long, frame long, x1 double, y1 double, x2 double, y2 double, confidence double, v array<double>")
+    for method, vector, same in (("botsort", "v", True), ("stable", "v", True), ("botsort", None, False), ("bytetrack", "v", False), ("bytetrack", None, False)):
+        got = trackers.tracked(df, method, vector).collect()
+        ids = {(r.frame, r.x1): r.track_id for r in got}
+        assert len(got) == len(rows) and len({i for (_, x), i in ids.items() if x == 400.0}) == 1, method
+        assert len({ids[f, 10.0] for f in range(5)} | {ids[f, 120.0] for f in range(9, 12)}) == (1 if same else 2), method
+
+
+def test_detections_without_a_vector_are_weighed_by_overlap():
+    for make in (trackers.BotSort, trackers.Stable):
+        t = make()
+        boxes = np.array([[0.0, 0, 30, 30], [200.0, 0, 230, 30]])
+        first = dict(t.step(boxes, np.array([0.9, 0.9]), np.zeros((2, 3))))
+        assert dict(t.step(boxes + [8, 0, 8, 0], np.array([0.9, 0.9]), np.array([[1.0, 0, 0], [0, 1, 0]]))) == first
+        assert all(np.isclose(np.linalg.norm(x.feature), 1) for x in t.tracks)
+
+
 def test_mot_parsing(spark):
     lines = ["0\t1,,1,2,3,4,0.5", "0,1,9,9,9,9,0.9", "1,1,1,2,3,4", ""]
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "file string, row_no int, value string")
