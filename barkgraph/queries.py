@@ -773,11 +773,11 @@ def _seen(t):
 
 
 for _name, _method in (("ST04_stable_tracker", "stable"), ("ST07_botsort", "botsort")):
-    query(_name)(lambda t, m=_method: rounded(trackers.tracked(_seen(t).where("frame <= 300"), m, "v")))
+    query(_name)(lambda t, m=_method: rounded(trackers.tracked(_seen(t), m, "v")))
 
 
 for _name, _method in (("ST05_sort", "sort"), ("ST06_bytetrack", "bytetrack")):
-    query(_name)(lambda t, m=_method: rounded(trackers.tracked(t.tracks.where("frame <= 300"), m)))
+    query(_name)(lambda t, m=_method: rounded(trackers.tracked(t.tracks, m)))
 
 
 @query("ST09_event_matching")

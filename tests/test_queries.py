@@ -37,3 +37,11 @@ def test_entry_point_without_the_corpus_operators(spark):
     import __spark_entry__ as e
 
     assert set(Q.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["ST04_stable_tracker", "ST05_sort", "ST06_bytetrack", "ST07_botsort"])
+def test_trackers_get_every_frame(spark, name):
+    whole = Q.Tables(spark, SF).tracks.groupBy("video_id").max("frame").collect()
+    assert {r[1] > 2000 for r in whole} == {True}
+    seen = Q.queries()[name](spark, SF).toPandas().groupby("video_id").frame.max()
+    assert set(seen.index) == {r[0] for r in whole} and all(seen[v] > last - 300 for v, last in whole)  # SORT may drop the last ones
