@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,17 +43,93 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
+def sparse_assignment(at: np.ndarray, columns: np.ndarray, gain: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Row-column pairs of the largest total gain, of the pairs that are listed: row i has columns[at[i]:at[i + 1]], with
+    positive gains. Exact: shortest augmenting paths, which stay within a connected group and mostly near their row."""
+    n = len(at) - 1
+    cost, u, v = -gain, np.zeros(n), np.zeros(width)
+    owner, mate, best, via = np.full(width, -1), np.full(n, -1), np.full(width, np.inf), np.full(width, -1)
+    for i in range(n):
+        if at[i] < at[i + 1]:
+            k = slice(at[i], at[i + 1])
+            u[i] = cost[k].min()
+            tight = columns[k][(cost[k] == u[i]) & (owner[columns[k]] < 0)]
+            if len(tight):
+                mate[i], owner[tight[0]] = tight[0], i
+    for first in np.flatnonzero((mate < 0) & (u < 0)).tolist():
+        row, far, rows, done, touched, heap = first, 0.0, [], {}, [], []
+        bound, last, col = np.inf, -1, -1  # the shortest path known: to a free column, or to last, which stays without one
+        while True:
+            rows.append((row, far))
+            if far - u[row] < bound:
+                bound, last = far - u[row], row
+            c = columns[at[row] : at[row + 1]]
+            d = np.maximum(far + cost[at[row] : at[row + 1]] - u[row] - v[c], far)
+            nearer = (d < best[c]) & (d < bound)
+            best[c[nearer]], via[c[nearer]] = d[nearer], row
+            touched.append(c[nearer])
+            for x, y in zip(d[nearer].tolist(), c[nearer].tolist(), strict=True):
+                if y not in done:
+                    heapq.heappush(heap, (x, y))
+                    if owner[y] < 0:
+                        bound = min(bound, np.nextafter(x, np.inf))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= bound:
+                col = -1
+                break
+            far, col = heapq.heappop(heap)
+            if owner[col] < 0:
+                bound = far
+                break
+            done[col] = far
+            row = int(owner[col])
+        for r, x in rows:
+            u[r] += bound - x
+        for y, x in done.items():
+            v[y] -= bound - x
+        if col < 0:
+            col, mate[last] = int(mate[last]), -1
+        while col >= 0:
+            row = int(via[col])
+            owner[col], before = row, int(mate[row])
+            mate[row], col = col, before
+        for c in touched:
+            best[c] = np.inf
+    return [(i, int(j)) for i, j in enumerate(mate) if j >= 0]
+
+
+def _overlaps(s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, columns, IoU) of the pairs that overlap; s2 is sorted."""
+    reach = np.maximum.accumulate(e2) if len(e2) else e2
+    lo, hi = np.searchsorted(reach, s1, "right"), np.searchsorted(s2, e1, "left")
+    counts, columns, values = np.zeros(len(s1), int), [], []
+    for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+        shared = np.minimum(e1[i], e2[a:b]) - np.maximum(s1[i], s2[a:b])
+        k = np.flatnonzero(shared > 0)
+        counts[i] = len(k)
+        columns.append(k + a)
+        values.append(shared[k] / (np.maximum(e1[i], e2[a:b][k]) - np.minimum(s1[i], s2[a:b][k])))
+    join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
+    return np.concatenate([[0], np.cumsum(counts)]), join(columns, int), join(values, float)
+
+
 def matched_events(truth: DataFrame, guesses: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """Assign first, by temporal IoU over all pairs of a video, then drop pairs under the threshold.
+    """Assign first, by temporal IoU over all pairs of a video, then drop pairs under the threshold, which is above 0.
+    Pairs that don't overlap add nothing to an assignment, so only the others are laid out.
     truth, guesses: video_id, id, start, end."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
     both = truth.select("video_id", F.lit(0).alias("side"), "id", "start", "end").unionByName(guesses.select("video_id", F.lit(1).alias("side"), "id", "start", "end"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.side == s].sort_values(["start", "end", "id"]) for s in (0, 1))
-        s1, e1, s2, e2 = a.start.to_numpy()[:, None], a.end.to_numpy()[:, None], b.start.to_numpy()[None], b.end.to_numpy()[None]
-        hull = np.maximum(e1, e2) - np.minimum(s1, s2)
-        iou = np.where(hull > 0, np.maximum(0, np.minimum(e1, e2) - np.maximum(s1, s2)) / np.where(hull > 0, hull, 1), 0.0)
-        rows = [(pdf.video_id.iloc[0], a.id.iloc[i], b.id.iloc[j], iou[i, j]) for i, j in hungarian(1 - iou) if iou[i, j] >= threshold]
+        at, columns, iou = _overlaps(a.start.to_numpy(float), a.end.to_numpy(float), b.start.to_numpy(float), b.end.to_numpy(float))
+        video, p, q, rows = pdf.video_id.iloc[0], a.id.to_numpy(), b.id.to_numpy(), []
+        for i, j in sparse_assignment(at, columns, iou, len(b)):
+            x = iou[at[i] : at[i + 1]][columns[at[i] : at[i + 1]] == j][0]
+            if x >= threshold:
+                rows.append((video, p[i], q[j], x))
         return pd.DataFrame(rows, columns=["video_id", "gt_id", "pred_id", "iou"])
 
     ship(truth.sparkSession)

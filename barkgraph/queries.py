@@ -782,7 +782,7 @@ for _name, _method in (("ST05_sort", "sort"), ("ST06_bytetrack", "bytetrack")):
 
 @query("ST09_event_matching")
 def _(t):
-    e = t.ev.where("event_type = 'error' and start < 40 and end > start")
+    e = t.ev.where("end > start")
     truth = e.select("video_id", F.col("event_id").alias("id"), "start", "end")
     return rounded(assign.matched_events(truth, truth.select("video_id", F.col("id"), (F.col("start") + 0.05).alias("start"), (F.col("end") + 0.08).alias("end"))))
 
@@ -799,7 +799,7 @@ def _mot(df, ident):
 
 @query("ST11_mot_metrics")
 def _(t):
-    return mot.metrics(mot.statistics(_mot(t.truth.where("frame <= 400"), "ident"), _mot(t.tracks.where("frame <= 400 and frame % 3 = 0"), "track_id")))
+    return mot.metrics(mot.statistics(_mot(t.truth, "ident"), _mot(t.tracks.where("frame % 3 = 0"), "track_id")))
 
 
 @query("OR07_review_sheet", "SELECT video_id, merge_seq, l, r, decision AS merge_reason, CAST(NULL AS VARCHAR) AS manual_verdict, CAST(NULL AS VARCHAR) AS manual_notes FROM merges", "merges")

@@ -33,6 +33,36 @@ def test_assignment_is_optimal(n, m, rnd):
     assert sum(cost[i, j] for i, j in got) == best
 
 
+def matched(a, b):
+    """Total IoU of the events' assignment, and of the dense one over all pairs."""
+    a, b = (np.array(x, float).reshape(-1, 2) for x in (a, b))
+    b = b[np.argsort(b[:, 0], kind="stable")]
+    at, columns, iou = assign._overlaps(a[:, 0], a[:, 1], b[:, 0], b[:, 1])
+    shared = np.maximum(0, np.minimum(a[:, None, 1], b[None, :, 1]) - np.maximum(a[:, None, 0], b[None, :, 0]))
+    dense = np.where(shared > 0, shared / np.maximum(1e-12, np.maximum(a[:, None, 1], b[None, :, 1]) - np.minimum(a[:, None, 0], b[None, :, 0])), 0)
+    got = assign.sparse_assignment(at, columns, iou, len(b))
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and all(dense[i, j] > 0 for i, j in got)
+    return sum(dense[i, j] for i, j in got), sum(dense[i, j] for i, j in assign.hungarian(-dense))
+
+
+SPANS = st.lists(st.tuples(st.integers(0, 40), st.integers(0, 12)).map(lambda x: (x[0], x[0] + x[1])), max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(SPANS, SPANS)
+def test_sparse_assignment_is_optimal(a, b):
+    got, want = matched(a, b)
+    assert math.isclose(got, want, abs_tol=1e-9)
+
+
+def test_sparse_assignment_of_one_dense_group():
+    r = np.random.default_rng(5)
+    starts = np.sort(r.integers(0, 300, 240)) / 10
+    a = np.column_stack([starts, starts + r.exponential(1, 240)])
+    got, want = matched(a, a + [0.05, 0.08])
+    assert math.isclose(got, want, abs_tol=1e-7)
+
+
 def test_empty_assignment():
     assert assign.hungarian(np.zeros((0, 3))) == []
 

@@ -45,3 +45,17 @@ def test_trackers_get_every_frame(spark, name):
     assert {r[1] > 2000 for r in whole} == {True}
     seen = Q.queries()[name](spark, SF).toPandas().groupby("video_id").frame.max()
     assert set(seen.index) == {r[0] for r in whole} and all(seen[v] > last - 300 for v, last in whole)  # SORT may drop the last ones
+
+
+def test_event_matching_takes_every_event(spark):
+    ev = Q.Tables(spark, SF).ev.where("end - start > 0.5").toPandas()  # each overlaps its own guess by far
+    got = Q.queries()["ST09_event_matching"](spark, SF).toPandas()
+    hit = ev[ev.event_id.isin(got.gt_id)]
+    assert set(hit.event_type) == set(ev.event_type) and hit.start.max() > 200 and len(hit) > 0.9 * len(ev)
+
+
+def test_metrics_take_every_frame(spark):
+    got = Q.queries()["ST11_mot_metrics"](spark, SF).toPandas()
+    parts = got[got.sequence.notna()]
+    assert len(parts) == 5 and (parts.IDF1 < 50).all() and (parts.idsw >= 18).all()  # six identities, each with three changes of fragment
+    assert got[got.sequence.isna()].idsw.iloc[0] == parts.idsw.sum()
