@@ -164,6 +164,14 @@ def _(t):
     return mot_lines(b, truth=True)
 
 
+@query("SNK07_mot_rows_of_every_video", "SELECT video_id, concat_ws(',', frame, track_id, x1, y1, x2 - x1, y2 - y1, 1, 1, 1) AS value FROM (SELECT video_id, frame, track_id, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2 FROM tracks)", "tracks")
+def _(t):
+    from .sources.mot import mot_lines
+
+    b = t.tracks.select("video_id", "frame", "track_id", *[F.col(c).cast("long").alias(c) for c in J.BOX])
+    return mot_lines(b, truth=True, keys=["video_id"])
+
+
 # --- joins -------------------------------------------------------------------------------------------------------
 
 @query("JN01_merge_mapping", "SELECT t.video_id, count(*) AS rows, count(*) FILTER (p.persistent_profile_id IS NULL) AS unmatched FROM tracks t LEFT JOIN (SELECT * FROM profiles WHERE track_id % 4 <> 1) p USING (video_id, track_id) GROUP BY ALL", "tracks", "profiles")
@@ -304,15 +312,25 @@ def _(t):
     return S.without(t.tracks, listed).groupBy("video_id").agg(F.count("*").alias("n"))
 
 
+def _temporal_iou(events):
+    """Pairs of a video's events that meet."""
+    e = events.where("end > start")
+    a, b = (e.select("video_id", F.col("event_id").alias(k), F.col("start").alias(f"{k}s"), F.col("end").alias(f"{k}e")) for k in "ab")
+    pairs = J.overlapping(a, b, ["video_id"], ("as", "ae"), ("bs", "be"), 1.0).where("a < b")
+    return rounded(pairs.select("a", "b", T.interval_iou(F.col("as"), F.col("ae"), F.col("bs"), F.col("be")).alias("iou")))
+
+
 _SMALL = "(SELECT * FROM ev WHERE event_type = 'error' AND \"start\" < 60)"
 
 
 @query("JN20_temporal_iou", f"SELECT a.event_id AS a, b.event_id AS b, round(greatest(0, least(a.\"end\", b.\"end\") - greatest(a.\"start\", b.\"start\")) / (greatest(a.\"end\", b.\"end\") - least(a.\"start\", b.\"start\")), 6) AS iou FROM {_SMALL} a JOIN {_SMALL} b ON a.video_id = b.video_id AND a.event_id < b.event_id AND a.\"end\" >= b.\"start\" AND a.\"start\" <= b.\"end\" AND a.\"end\" > a.\"start\" AND b.\"end\" > b.\"start\"", "ev")
 def _(t):
-    e = t.ev.where("event_type = 'error' and start < 60 and end > start")
-    a, b = (e.select("video_id", F.col("event_id").alias(k), F.col("start").alias(f"{k}s"), F.col("end").alias(f"{k}e")) for k in "ab")
-    pairs = J.overlapping(a, b, ["video_id"], ("as", "ae"), ("bs", "be"), 1.0).where("a < b")
-    return rounded(pairs.select("a", "b", T.interval_iou(F.col("as"), F.col("ae"), F.col("bs"), F.col("be")).alias("iou")))
+    return _temporal_iou(t.ev.where("event_type = 'error' and start < 60"))
+
+
+@query("JN20_temporal_iou_of_every_event", "SELECT a.event_id AS a, b.event_id AS b, round(greatest(0, least(a.\"end\", b.\"end\") - greatest(a.\"start\", b.\"start\")) / (greatest(a.\"end\", b.\"end\") - least(a.\"start\", b.\"start\")), 6) AS iou FROM ev a JOIN ev b ON a.video_id = b.video_id AND a.event_id < b.event_id AND a.\"end\" >= b.\"start\" AND a.\"start\" <= b.\"end\" AND a.\"end\" > a.\"start\" AND b.\"end\" > b.\"start\"", "ev")
+def _(t):
+    return _temporal_iou(t.ev)
 
 
 @query("JN21_unmatched", "SELECT e.event_id FROM ev e ANTI JOIN (SELECT event_id FROM ev WHERE event_id % 3 = 0) m USING (event_id)", "ev")

@@ -32,11 +32,11 @@ def read_mot(spark: SparkSession, path: str) -> DataFrame:
     return parse_mot(raw)
 
 
-def mot_lines(rows: DataFrame, truth: bool = False) -> DataFrame:
-    """(value) lines of track rows with integer or double boxes; truth rows end in 1,1,1, others in confidence and -1s."""
+def mot_lines(rows: DataFrame, truth: bool = False, keys: list[str] | tuple = ()) -> DataFrame:
+    """(*keys, value) lines of track rows with integer or double boxes; truth rows end in 1,1,1, others in confidence and -1s."""
     tail = [F.lit("1"), F.lit("1"), F.lit("1")] if truth else [F.col("confidence").cast("string"), F.lit("-1"), F.lit("-1"), F.lit("-1")]
     box = [F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")]
-    return rows.select(F.concat_ws(",", *[c.cast("string") for c in (F.col("frame"), F.col("track_id"), *box)], *tail).alias("value"))
+    return rows.select(*keys, F.concat_ws(",", *[c.cast("string") for c in (F.col("frame"), F.col("track_id"), *box)], *tail).alias("value"))
 
 
 def write_mot(rows: DataFrame, path: str, truth: bool = False) -> None:

@@ -59,3 +59,23 @@ def test_metrics_take_every_frame(spark):
     parts = got[got.sequence.notna()]
     assert len(parts) == 5 and (parts.IDF1 < 50).all() and (parts.idsw >= 18).all()  # six identities, each with three changes of fragment
     assert got[got.sequence.isna()].idsw.iloc[0] == parts.idsw.sum()
+
+
+def test_temporal_iou_of_every_event_as_brute_force(spark):
+    ev = Q.Tables(spark, SF).ev.where("end > start").toPandas()
+    want = {}
+    for _, v in ev.groupby("video_id"):
+        e = list(v[["event_id", "start", "end"]].itertuples(index=False, name=None))
+        for i, s, t in e:
+            for j, x, y in e:
+                if i < j and t >= x and s <= y:
+                    want[i, j] = max(0.0, min(t, y) - max(s, x)) / (max(t, y) - min(s, x))
+    got = Q.queries()["JN20_temporal_iou_of_every_event"](spark, SF).toPandas()
+    assert len(got) == len(want) and all(math.isclose(r.iou, want[r.a, r.b], abs_tol=1e-6) for r in got.itertuples())
+    small = Q.queries()["JN20_temporal_iou"](spark, SF).count()
+    assert len(got) > 50 * max(small, 1)
+
+
+def test_mot_rows_of_every_video(spark):
+    got = Q.queries()["SNK07_mot_rows_of_every_video"](spark, SF).toPandas()
+    assert got.groupby("video_id").size().to_dict() == Q.Tables(spark, SF).tracks.toPandas().groupby("video_id").size().to_dict()
