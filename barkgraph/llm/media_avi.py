@@ -5,10 +5,10 @@ coefficient, and each payload byte b is one of them, value b - 128 below 128 and
 zero, -128 to 128). JPEG keeps quantised coefficients exactly, so the round trip is lossless. The Huffman tables
 give a coefficient of s bits a code of 9 - s bits (10 - s for the DC differences), so every coefficient has the
 same length: frames are valid baseline JPEG for any decoder, and here whole documents are coded and decoded
-with array operations. Frames with other tables go through a general baseline decoder.
+with array operations. Other frames go through a general baseline decoder, which takes the luma of colour frames.
 
-Reading parses the RIFF chunks and the idx1 index, takes the frames by the index, decodes them, and finds
-shots: a frame starts a shot where the distance between its histogram and its predecessor's exceeds the mean plus
+Reading parses the RIFF chunks and the idx1 index, takes the frames by the index, decodes them to pixels
+(each with its own quantisation table), and finds shots by the pixels' histograms: a frame starts a shot where the distance between its histogram and its predecessor's exceeds the mean plus
 three deviations of the distances before it in the same shot. Clips are rows of (first frame, frames, start and
 end in seconds).
 
@@ -196,56 +196,112 @@ def payload_of(values: np.ndarray) -> bytes:
     return (np.where(values < 0, values + 128, values + 127)).astype(np.uint8).tobytes()
 
 
+_K = np.arange(8)
+_BASIS = np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16) * np.where(_K == 0, np.sqrt(1 / 8), 0.5)[:, None]
+#: From a block's coefficients in zigzag order to its pixels.
+_INVERSE = np.ascontiguousarray(np.kron(_BASIS, _BASIS)[ZIGZAG])
+
+
 def pixels(values: np.ndarray, quant: np.ndarray | None = None) -> np.ndarray:
     """Gray frames by dequantisation and the inverse DCT; blocks row by row."""
-    blocks = np.zeros((*values.shape[:2], 64))
-    blocks[..., ZIGZAG] = values * (1 if quant is None else quant)
-    k = np.arange(8)
-    basis = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
-    flat = basis.T @ blocks.reshape(*values.shape[:2], 8, 8) @ basis
-    return np.clip(np.rint(flat + 128), 0, 255).astype(np.uint8)
+    flat = (values if quant is None else values.astype(np.int64) * quant).reshape(-1, 64).astype(float) @ _INVERSE
+    flat += 128.5 + 1e-6  # halves go up, however the sum was ordered
+    return np.clip(np.floor(flat, out=flat), 0, 255, out=flat).astype(np.uint8).reshape(*values.shape[:2], 8, 8)
+
+
+def _huffman(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
+    """(length, code) to symbol."""
+    table, code, p = {}, 0, 0
+    for n, c in enumerate(counts, 1):
+        for _ in range(c):
+            table[n, code] = symbols[p]
+            code, p = code + 1, p + 1
+        code <<= 1
+    return table
+
+
+#: The standard's tables (Annex K), which frames in AVI may leave out.
+_DEFAULT_TABLES = {
+    kind: _huffman(bytes.fromhex(counts), bytes.fromhex(symbols))
+    for kind, counts, symbols in (
+        (0x00, "00010501010101010100000000000000", "000102030405060708090a0b"),
+        (0x01, "00030101010101010101010000000000", "000102030405060708090a0b"),
+        (0x10, "0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"),
+        (0x11, "00020102040403040705040400010277", "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"),
+    )
+}
+
+
+def _entropy_coded(data: bytes, at: int) -> tuple[bytes, list[int], int]:
+    """A scan's bytes without stuffing, where its restart intervals begin in them, and where the next marker is."""
+    scan, marks = bytearray(), []
+    while at < len(data):
+        stop = data.find(b"\xff", at)
+        if stop < 0 or stop + 1 >= len(data):
+            scan += data[at : len(data) if stop < 0 else stop]
+            return bytes(scan), marks, len(data)
+        scan += data[at:stop]
+        if data[stop + 1] == 0:
+            scan.append(0xFF)
+        elif 0xD0 <= data[stop + 1] <= 0xD7:
+            marks.append(len(scan))
+        elif data[stop + 1] == 0xFF:  # a filling byte
+            at = stop + 1
+            continue
+        else:
+            return bytes(scan), marks, stop
+        at = stop + 2
+    return bytes(scan), marks, at
 
 
-def decode_jpeg(data: bytes) -> np.ndarray:
-    """Coefficients (blocks x 64, zigzag order) of any baseline JPEG with one component: code by code."""
-    at, tables, restart, blocks_n = 2, {}, 0, 0
+def decode_luma(data: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Coefficients of the first component (block rows x block columns x 64, zigzag order), its quantisation table,
+    height and width, of any baseline JPEG: code by code."""
+    at, tables, quants, restart, parts = 2, dict(_DEFAULT_TABLES), {}, 0, None
     while True:
+        while data[at + 1] == 0xFF:
+            at += 1
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xC4:
             while body:
-                counts, symbols, code, p = body[1:17], body[17:], 0, 0
-                table = tables[body[0]] = {}
-                for n, c in enumerate(counts, 1):
-                    for _ in range(c):
-                        table[n, code] = symbols[p]
-                        code, p = code + 1, p + 1
-                    code <<= 1
-                body = body[17 + p :]
-        elif marker == 0xC0:
-            h, w, parts = struct.unpack_from(">HHB", body, 1)
-            if parts != 1:
-                raise ValueError("one component only")
-            blocks_n = -(-h // 8) * -(-w // 8)
+                n = sum(body[1:17])
+                tables[body[0]] = _huffman(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quants[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int64)
+                body = body[65 + 64 * wide :]
+        elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("samples of eight bits only")
+            height, width, n = struct.unpack_from(">HHB", body, 1)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
+            raise ValueError("baseline frames only")
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            dc_table, ac_table = tables[body[2] >> 4], tables[0x10 | body[2] & 15]
-            break
-    bits, pos = 0, 0
-    scan = bytearray()
-    marks = []
-    while at < len(data):
-        if data[at] == 0xFF and data[at + 1] != 0:
-            if not 0xD0 <= data[at + 1] <= 0xD7:
+            scan, marks, following = _entropy_coded(data, at)
+            chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+            if parts[0][0] in [c for c, _ in chosen]:
                 break
-            marks.append(len(scan))
-            at += 2
-            continue
-        scan.append(data[at])
-        at += 2 if data[at] == 0xFF else 1
-    bits = np.unpackbits(np.frombuffer(bytes(scan), np.uint8)).tolist()
+            at = following  # a scan of colour alone
+    shape = {c: (h, v) for c, h, v, _ in parts}
+    h_most, v_most = max(h for h, _ in shape.values()), max(v for _, v in shape.values())
+    luma, h, v, quant = parts[0]
+    height, width = -(-height * v // v_most), -(-width * h // h_most)
+    if len(chosen) == 1:
+        rows, columns, units = -(-height // 8), -(-width // 8), [(luma, 1, 1)]
+        across = columns
+    else:
+        across, down = -(-width // (8 * h)), -(-height // (8 * v))
+        rows, columns, units = down * v, across * h, [(c, *shape[c]) for c, _ in chosen]
+    step_h, step_v = units[0][1:] if len(chosen) == 1 else (h, v)
+    bits, pos, dc = np.unpackbits(np.frombuffer(scan, np.uint8)).tolist(), 0, {}
+    coded_by = {c: (tables[t >> 4], tables[0x10 | t & 15]) for c, t in chosen}
 
     def symbol(table):
         nonlocal pos
@@ -263,21 +319,31 @@ def decode_jpeg(data: bytes) -> np.ndarray:
         pos += s
         return v if not s or v >> (s - 1) else v - (1 << s) + 1
 
-    out, dc = np.zeros((blocks_n, 64), np.int16), 0
-    for b in range(blocks_n):
-        if restart and b and b % restart == 0:
-            dc, pos = 0, 8 * marks[b // restart - 1]
-        dc += extra(symbol(dc_table))
-        out[b, 0], k = dc, 1
-        while k < 64:
-            s = symbol(ac_table)
-            if s == 0:
-                break
-            k += s >> 4
-            if s & 15:
-                out[b, k] = extra(s & 15)
-            k += 1
-    return out
+    out, unused = np.zeros((rows, columns, 64), np.int16), np.zeros(64, np.int16)
+    for unit in range(rows * columns // (step_h * step_v)):
+        if restart and unit and unit % restart == 0:
+            dc, pos = {}, 8 * marks[unit // restart - 1]
+        for part, wide, high in units:
+            dc_table, ac_table = coded_by[part]
+            for place in range(wide * high):
+                block = out[unit // across * high + place // wide, unit % across * wide + place % wide] if part == luma else unused
+                dc[part] = dc.get(part, 0) + extra(symbol(dc_table))
+                block[0], k = dc[part], 1
+                while k < 64:
+                    s = symbol(ac_table)
+                    if s == 0:
+                        break
+                    k += s >> 4
+                    if s & 15:
+                        value = extra(s & 15)
+                        block[k] = value
+                    k += 1
+    return out, quants[quant], height, width
+
+
+def decode_jpeg(data: bytes) -> np.ndarray:
+    """Coefficients (blocks x 64, zigzag order) of the first component of any baseline JPEG."""
+    return decode_luma(data)[0].reshape(-1, 64)
 
 
 def coefficients(frames: list[bytes]) -> np.ndarray:
@@ -287,13 +353,38 @@ def coefficients(frames: list[bytes]) -> np.ndarray:
     return np.stack([decode_jpeg(f) for f in frames])
 
 
-def shots(values: np.ndarray) -> list[tuple[int, int]]:
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """Shares of BINS grades of gray for each frame."""
+    n = len(frames)
+    grades = (frames.reshape(n, -1) // (256 // BINS)).astype(np.int64)
+    return np.bincount((grades + BINS * np.arange(n)[:, None]).ravel(), minlength=n * BINS).reshape(n, BINS) / max(grades.shape[1], 1)
+
+
+def decoded(frames: list[bytes]):
+    """(payload, histograms) of the frames, FRAMES_AT_ONCE at a time."""
+    for i in range(0, len(frames), FRAMES_AT_ONCE):
+        part = frames[i : i + FRAMES_AT_ONCE]
+        if all(f.startswith(_HEAD) for f in part):
+            values = decode_frames(part)
+            yield payload_of(values), histograms(pixels(values))
+            continue
+        for f in part:
+            values, quant, height, width = decode_luma(f)
+            rows, columns = values.shape[:2]
+            image = pixels(values, quant).swapaxes(1, 2).reshape(8 * rows, 8 * columns)[:height, :width]
+            yield payload_of(values), histograms(image[None])
+
+
+def shots(values: np.ndarray, quant: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(first frame, frames) of each shot of frames given by their coefficients."""
+    return cut_shots(histograms(pixels(values, quant))) if len(values) else []
+
+
+def cut_shots(hist: np.ndarray) -> list[tuple[int, int]]:
     """(first frame, frames) of each shot, by adaptive differences of the frames' histograms."""
-    n = len(values)
+    n = len(hist)
     if n == 0:
         return []
-    level = ((values.reshape(n, -1).astype(np.int64) + 128) * BINS // 257).clip(0, BINS - 1)
-    hist = np.bincount((level + BINS * np.arange(n)[:, None]).ravel(), minlength=n * BINS).reshape(n, BINS) / level.shape[1]
     d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
     cuts, count, mean, square = [0], 0, 0.0, 0.0
     for i, x in enumerate(d.tolist()):
@@ -343,9 +434,10 @@ def decode_media(files: DataFrame) -> DataFrame:
             rows = []
             for data in batch.column(2).to_pylist():
                 fps, frames = read_avi(data)
-                values = coefficients(frames)
-                payload = payload_of(values)
-                clips = [{"first_frame": s, "frames": n, "start_sec": s / fps, "end_sec": (s + n) / fps} for s, n in shots(values)]
+                parts = list(decoded(frames))
+                payload = b"".join(p for p, _ in parts)
+                hist = np.concatenate([h for _, h in parts]) if parts else np.empty((0, BINS))
+                clips = [{"first_frame": s, "frames": n, "start_sec": s / fps, "end_sec": (s + n) / fps} for s, n in cut_shots(hist)]
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), clips))
             c = list(zip(*rows, strict=True)) or [[]] * 6
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(clip))

@@ -285,6 +285,56 @@ def test_shots_and_pixels():
         media_avi.read_avi(b"nothing")
 
 
+def clips_of(frames):
+    return media_avi.cut_shots(np.concatenate([h for _, h in media_avi.decoded(frames)]))
+
+
+def test_cut_from_black_to_white():
+    r = np.random.default_rng(3)
+    payload = r.integers(127, 129, (12, 9, 64)).astype(np.uint8)  # coefficients of 1 and -1, but for the blocks' means
+    payload[:7, :, 0], payload[7:, :, 0] = 0, 255
+    frames = media_avi.encode_frames(payload.tobytes())
+    assert clips_of(frames) == [(0, 7), (7, 5)]
+    assert b"".join(p for p, _ in media_avi.decoded(frames)) == payload.tobytes()
+    coarse = [f.replace(b"\0" + b"\1" * 64, b"\0\x08" + b"\1" * 63, 1) for f in frames]  # black and white, by the frame's own table
+    assert clips_of(coarse) == [(0, 7), (7, 5)]
+    values, quant, _, _ = media_avi.decode_luma(coarse[-1])
+    assert quant[0] == 8 and media_avi.pixels(values, quant).mean() > 240
+    assert clips_of(frames[:4] + coarse[:4]) == [(0, 4), (4, 4)]  # equal coefficients, different tables
+    assert clips_of(frames * 60)[0] == (0, 7)  # more frames than are held at once
+
+
+def java_jpeg(spark, rgb):
+    """A colour frame (4:2:0) by another encoder, without its Huffman tables, which are the standard's."""
+    j = spark._jvm
+    image = j.java.awt.image.BufferedImage(rgb.shape[1], rgb.shape[0], 1)
+    for y, line in enumerate(rgb.tolist()):
+        for x, (r, g, b) in enumerate(line):
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    sink = j.java.io.ByteArrayOutputStream()
+    assert j.javax.imageio.ImageIO.write(image, "jpg", sink)
+    data, at = bytes(sink.toByteArray()), 2
+    out = data[:2]
+    while True:
+        n = 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        out += data[at : at + n] if data[at + 1] != 0xC4 else b""
+        at += n
+        if data[at - n + 1] == 0xDA:
+            return out + data[at:]
+
+
+def test_colour_frames_without_huffman_tables(spark):
+    y, x = np.mgrid[:21, :37]
+    rgb = np.stack([x * 5 % 256, y * 6 % 256, (x + y) * 3 % 256], axis=-1)
+    values, quant, height, width = media_avi.decode_luma(java_jpeg(spark, rgb))
+    image = media_avi.pixels(values, quant).swapaxes(1, 2).reshape(8 * values.shape[0], -1)[:height, :width]
+    assert image.shape == (21, 37) and np.abs(image - rgb @ np.array([0.299, 0.587, 0.114])).mean() < 2
+    red, teal = (java_jpeg(spark, np.full((16, 16, 3), c)) for c in ((90, 0, 0), (0, 250, 250)))
+    data = media_avi.write_avi([red] * 5 + [teal] * 4)
+    df = spark.createDataFrame([(1, 0, bytearray(data))], "doc_id long, n_bytes long, media binary")
+    assert [(c.first_frame, c.frames) for c in media_avi.decode_media(df).first().clips] == [(0, 5), (5, 4)]
+
+
 def test_media_rows(spark):
     got = media_avi.digests(media_avi.decode_media(media_avi.encode_media(documents(spark, EDGE)))).collect()
     assert len(got) == len(EDGE)
