@@ -37,8 +37,6 @@ SENSITIVE = {
 }
 #: Score from which a literal is a secret.
 THRESHOLD = 4.0
-#: Rounds of constant propagation; a chain of more names is not followed further.
-CHAIN = 8
 
 _TOKEN = re.compile(
     r"""(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<bare>[A-Za-z0-9+/_.=@!%&*~^#-]{6,})|(?P<skip>[^\S\n]+)|(?P<other>.)""",
@@ -68,8 +66,8 @@ def name_weight(name: str) -> float:
     return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
 
 
-def literal_score(value: str, name: str) -> float:
-    weight = name_weight(name)
+def literal_score(value: str, weight: float) -> float:
+    """The score of a literal that reaches a name of this weight; it grows with the weight."""
     if weight <= 0 or len(value) < 6 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
@@ -107,35 +105,37 @@ def pairs(text: str):
         offset += len(line) + 1
 
 
+def reached_weights(sources: dict[str, set[str]]) -> dict[str, float]:
+    """The weight of the most sensitive name that each name's value reaches, over any number of names; names that reach
+    none are left out. Heaviest first and against the flow, so every name is visited once."""
+    best: dict[str, float] = {}
+    weights = {n: name_weight(n) for n in sources}
+    for name in sorted((n for n, w in weights.items() if w > 0), key=lambda n: -weights[n]):
+        stack = [name]
+        while stack:
+            n = stack.pop()
+            if n not in best:
+                best[n] = weights[name]
+                stack.extend(sources.get(n, ()))
+    return best
+
+
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
     literals: dict[tuple[int, int], tuple[str, set[str]]] = {}
-    flows: dict[str, set[str]] = {}
-    by_name: dict[str, set[tuple[int, int]]] = {}
+    sources: dict[str, set[str]] = {}
     for target, kind, value, s, e in pairs(text):
+        sources.setdefault(target, set())
         if kind == "ref":
-            flows.setdefault(value, set()).add(target)
+            sources[target].add(value)
         else:
             literals.setdefault((s, e), (value, set()))[1].add(target)
-            by_name.setdefault(target, set()).add((s, e))
-    front = {(n, t) for n, targets in flows.items() if n in by_name for t in targets}
-    for _ in range(CHAIN):
-        step = set()
-        for name, target in front:
-            new = by_name[name] - by_name.get(target, set())
-            if new:
-                by_name.setdefault(target, set()).update(new)
-                for span in new:
-                    literals[span][1].add(target)
-                step |= {(target, t) for t in flows.get(target, ())}
-        front = step
-        if not front:
-            break
+    reached = reached_weights(sources) if literals else {}
     out = []
     for (s, e), (value, names) in literals.items():
-        if e > s and max(literal_score(value, n) for n in names) >= THRESHOLD:
+        if e > s and literal_score(value, max(reached.get(n, 0.0) for n in names)) >= THRESHOLD:
             out.append(("literal", s, e))
     return sorted(out, key=lambda x: x[1:])
 

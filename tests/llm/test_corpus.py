@@ -399,6 +399,15 @@ def test_constants_reach_sensitive_names():
     assert secrets.scan("He said: that is it = fine.") == []
 
 
+def test_constants_pass_through_any_number_of_names():
+    chain = ['n0 = "h7Kq-29xZ!pL"', *[f"n{i} = n{i - 1}" for i in range(1, 30)], "db_password = n29"]
+    for lines in (chain, chain[::-1]):
+        t = "\n".join(lines)
+        assert [t[s:e] for k, s, e in secrets.literal_spans(t)] == ["h7Kq-29xZ!pL"]
+    t = 'a = "h7Kq-29xZ!pL"\nb = a\na = b\nname = b\n'  # a circle that reaches no sensitive name
+    assert secrets.literal_spans(t) == []
+
+
 def test_span_operators_on_odd_rows(spark):
     rows = EDGE + [(9, 'é a@b.co token="abcdef1" +49 170 1234567')]
     for r in pii.digests(pii.find_pii(documents(spark, rows))).collect():
