@@ -6,7 +6,10 @@ forms  name = literal,  name: literal,  "name": literal,  name = other_name  and
 become name-literal pairs, constants are propagated from name to name, and each literal is scored
 by the most sensitive name it reaches, its length, its alphabet and its entropy.
 
-A text is scanned whole, line by line where lexing is concerned, so cost is linear in its length. Null and
+A value may stand on a later line: line ends are soft after an operator, an opening bracket or a backslash, and
+before a +. Brackets are seen through, to every literal of a list that is not itself a name; arguments of a call are
+not. Strings in triple quotes or backticks and PEM blocks span lines; what is inside them is lexed too. A text is
+scanned whole, and every value once, so cost is linear in its length. Null and
 empty texts have no spans. Offsets are code points, end exclusive. Repeated rows give repeated results, a
 null doc_id stays null, and other columns are ignored.
 """
@@ -39,9 +42,13 @@ SENSITIVE = {
 THRESHOLD = 4.0
 
 _TOKEN = re.compile(
-    r"""(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<bare>[A-Za-z0-9+/_.=@!%&*~^#-]{6,})|(?P<skip>[^\S\n]+)|(?P<other>.)""",
+    r"""(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<bare>[A-Za-z0-9+/_.=@!%&*~^#-]{6,})|(?P<skip>[^\S\n]+|\\[^\S\n]*\n)|(?P<nl>\n)|(?P<other>.)""",
     re.A,
 )
+_LONG = re.compile(r'''"{3}(?P<double>.*?)"{3}|'{3}(?P<single>.*?)'{3}|`(?P<tick>[^`]*)`|["']?(?P<pem>-----BEGIN [A-Z0-9 ]+-----(?:(?!-----).)*-----END [A-Z0-9 ]+-----)''', re.A | re.S)
+_PEM_EDGE = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----", re.A)
+_LINE_END = re.compile(r"[^\S\n]*\n\s*", re.A)
+_ASSIGNS = ("=", ":", ":=", "=>")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|changeme|example|your[-_ ].*|none|null|true|false|todo)$", re.A)
 
 
@@ -66,6 +73,13 @@ def name_weight(name: str) -> float:
     return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
 
 
+def unfolded(value: str) -> str:
+    """A literal without line ends and, if it is a PEM block, without the block's edges."""
+    if "-----" in value and _PEM_EDGE.search(value):
+        value = _PEM_EDGE.sub("", value).replace("\\n", "\n").strip()
+    return _LINE_END.sub("", value.strip()) if "\n" in value else value
+
+
 def literal_score(value: str, weight: float) -> float:
     """The score of a literal that reaches a name of this weight; it grows with the weight."""
     if weight <= 0 or len(value) < 6 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
@@ -74,34 +88,90 @@ def literal_score(value: str, weight: float) -> float:
     return weight + min(entropy(value), 4.5) / 2 + 0.4 * (kinds - 1) + (0.5 if len(value) >= 16 else 0.0) - (1.5 if kinds == 1 and len(value) < 16 else 0.0)
 
 
+def values(text: str, at: int):
+    """What is assigned by the operator that ends at `at`, as (kind, value, start, end)."""
+    found, held, j = _TOKEN.finditer(text, at), [], 0
+
+    def token(j):
+        while len(held) <= j:
+            m = next(found, None)
+            if m is None:
+                return None, "", len(text), len(text)
+            if m.lastgroup != "skip":
+                held.append((m.lastgroup, m.group(), m.start(), m.end()))
+        return held[j]
+
+    def soft(j):
+        while token(j)[0] == "nl":
+            j += 1
+        return j
+
+    depth, first, loose, bullets, last = 0, True, False, False, at  # loose: past a line end or a bracket, where names may follow
+    j = soft(0)
+    while True:
+        kind, value, s, e = token(j)
+        loose = loose or "\n" in text[last:s]
+        last = e
+        if kind == "op" and value in "([{":
+            depth, loose, j = depth + 1, True, soft(j + 1)
+            continue
+        if not (kind == "op" and value in ")]}" and depth):
+            if kind == "other" and value in "|>" and first:  # a block of YAML
+                k = j + 1 + (token(j + 1)[1] in ("-", "+"))
+                if token(k)[0] != "nl":
+                    return
+                j = soft(k)
+                continue
+            if kind == "other" and value == "-" and loose and not depth and (first or bullets):  # a list of YAML
+                bullets, j = True, j + 1
+                continue
+            if loose and kind in ("name", "str") and token(j + 1)[1] in _ASSIGNS:
+                return
+            long = _LONG.match(text, s) if kind and value[0] in "\"'`-" and (kind != "str" or value in ('""', "''")) else None
+            if long:
+                yield "lit", long.group(long.lastgroup), *long.span(long.lastgroup)
+                found, held, j, last = _TOKEN.finditer(text, long.end()), [], -1, long.end()
+                if long.lastgroup == "pem" and text[s] in "\"'" and text[last : last + 1] == text[s]:
+                    found, last = _TOKEN.finditer(text, last + 1), last + 1
+            elif kind == "str":
+                yield "lit", value[1:-1], s + 1, e - 1
+            elif kind == "bare" or kind == "name" and not value.isidentifier():
+                yield "lit", value, s, e
+            elif kind == "name":
+                yield "ref", value, s, e
+                following, sign = token(j + 1)[:2]
+                if first and sign not in ("+", "(", "[") and (not loose or following in (None, "nl") or sign in (",", ";", ")", "]", "}")):
+                    yield "lit", value, s, e
+            else:
+                return
+            first = False
+            j += 1
+        k = soft(j)
+        while depth and token(k)[0] == "op" and token(k)[1] in ")]}":
+            depth, j = depth - 1, k + 1
+            k = soft(j)
+        sign = token(k)[1]
+        if token(k)[0] == "op" and (sign == "+" or sign == "," and depth):
+            j = soft(k + 1)
+        elif depth and token(k)[0] == "str" or bullets and sign == "-" and token(j)[0] == "nl":
+            j = k
+        else:
+            return
+
+
 def pairs(text: str):
     """Assignments as (target, kind, value, start, end): kind is lit or ref; offsets are the value's."""
     offset = 0
     for line in text.split("\n"):
         if "=" in line or ":" in line:
-            tokens = [(m.lastgroup, m.group(), m.start() + offset, m.end() + offset) for m in _TOKEN.finditer(line) if m.lastgroup != "skip"]
-            for i in range(len(tokens) - 2):
-                kind, name, _, _ = tokens[i]
-                if tokens[i + 1][1] not in ("=", ":", ":=", "=>") or kind not in ("name", "str"):
+            name = None
+            for m in _TOKEN.finditer(text, offset, offset + len(line)):
+                if m.lastgroup == "skip":
                     continue
-                target = name.strip("\"'`")
-                j = i + 2
-                while j < len(tokens):
-                    k, value, s, e = tokens[j]
-                    if k == "str":
-                        yield target, "lit", value[1:-1], s + 1, e - 1
-                    elif k == "bare" or k == "name" and not value.isidentifier():
-                        yield target, "lit", value, s, e
-                    elif k == "name":
-                        yield target, "ref", value, s, e
-                        if j == i + 2 and not (j + 1 < len(tokens) and tokens[j + 1][1] in ("+", "(", "[")):
-                            yield target, "lit", value, s, e
-                    else:
-                        break
-                    if j + 1 < len(tokens) and tokens[j + 1][1] == "+":
-                        j += 2
-                    else:
-                        break
+                if name and m.group() in _ASSIGNS:
+                    for found in values(text, m.end()):
+                        yield name, *found
+                name = m.group().strip("\"'`") if m.lastgroup in ("name", "str") else None
         offset += len(line) + 1
 
 
@@ -135,7 +205,7 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
     reached = reached_weights(sources) if literals else {}
     out = []
     for (s, e), (value, names) in literals.items():
-        if e > s and literal_score(value, max(reached.get(n, 0.0) for n in names)) >= THRESHOLD:
+        if e > s and literal_score(unfolded(value), max(reached.get(n, 0.0) for n in names)) >= THRESHOLD:
             out.append(("literal", s, e))
     return sorted(out, key=lambda x: x[1:])
 
