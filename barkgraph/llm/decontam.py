@@ -68,10 +68,14 @@ def signatures(items: DataFrame, percent: int = PERCENT) -> DataFrame:
 def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared, containment) for each document that holds at least percent of an
     item's distinct shingles."""
+    return _contained(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, percent)
+
+
+def _contained(rows: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    """contained() for rows of (doc_id, text), whatever doc_id's type."""
     items = items_of(benchmark)
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # five values at most
     signed = cut(signatures(items, percent))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def held(df: DataFrame) -> DataFrame:
         hashed = df.select("doc_id", word_hashes(F.col("text")).alias("w"))
@@ -92,9 +96,12 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = cut(contained(docs, benchmark, percent).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bounded(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents that hold no benchmark item, with all their columns. Rows that repeat a doc_id, or have none, go or
+    stay by their own texts."""
+    text = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text"))
+    bad = cut(_contained(docs.select(key.alias("doc_id"), text.alias("text")), benchmark, percent).select(F.col("doc_id").alias("__bad")).distinct())
+    return docs.join(bounded(bad), key.eqNullSafe(F.col("__bad")), "left_anti")
 
 
 #: The same in DuckDB.

@@ -409,16 +409,26 @@ def _dear_pairs(dear: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id; of rows that repeat it, the one
-    with the smallest text. Documents without words or without a doc_id all stay."""
-    found = near_duplicates(docs)
-    gone = cut(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    again = cut(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
-    if again.isEmpty():
-        return left
-    once = left.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    repeated = left.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
-    best = repeated.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull(), F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])).alias("__row"))
-    row = best.select("doc_id", F.col("__row.*")).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(row)
+    """docs with one document of each component, that with the smallest doc_id and, of rows that repeat it, the smallest
+    text. Rows that repeat a doc_id with different texts are different documents. Documents without words or
+    without a doc_id all stay."""
+    ident = F.col("doc_id").cast("long")
+    repeated = docs.select(ident.alias("doc_id")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        found = near_duplicates(docs)
+        gone = cut(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+        return docs.join(gone, ident == F.col("__gone"), "left_anti")
+    columns, seed = [F.col(f"`{c}`") for c in docs.columns], 0
+    while True:
+        keyed = cut(docs.select(*columns, F.when(ident.isNotNull(), F.xxhash64(F.lit(seed), ident, "text")).alias("__row")))
+        told = F.struct(ident.alias("i"), F.xxhash64(F.lit(-1 - seed), "text").alias("t"))
+        if keyed.where("__row is not null").groupBy("__row").agg(F.min(told).alias("lo"), F.max(told).alias("hi")).where("lo <> hi").isEmpty():
+            break  # no two documents have one key
+        forget(keyed)
+        seed += 1
+    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    comp = cut(found.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__component")).distinct())
+    same = F.col("__row") == F.col("__key")
+    first = F.min(F.struct(ident.alias("i"), F.col("text").alias("t"), F.struct(*columns).alias("row"))).alias("__first")
+    best = keyed.join(comp, same).groupBy("__component").agg(first).select(*[F.col("__first")["row"].getField(c).alias(c) for c in docs.columns])
+    return keyed.join(comp, same, "left_anti").select(*columns).unionByName(best)

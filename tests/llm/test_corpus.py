@@ -498,6 +498,18 @@ def test_containment_as_brute_force(spark):
 
 # --- pipeline ----------------------------------------------------------------------------------------------------
 
+def test_stages_decide_by_row(spark):
+    one, other, item = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyz")
+    rows = [(1, one), (2, one + " end"), (2, other), (2, ""), (2, None), (2, other), (3, other + " end"), (None, one), (None, one)]
+    kept = ngram_jaccard.without_near_duplicates(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, one), (2, other), (2, ""), (2, None), (None, one), (None, one)], key=str)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, one), (1, "so " + item), (None, one), (None, item + " so"), (None, None), (2, item)]
+    kept = decontam.without_benchmark(documents(spark, rows), bench)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (None, one), (None, None)], key=str)
+    assert kept.columns == documents(spark, []).columns
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
