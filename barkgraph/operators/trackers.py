@@ -1,12 +1,13 @@
 """Trackers over detections, frame by frame within a video: a registry of classes with one protocol.
 
-step(boxes, scores, features) -> list of (row, track id) for one frame; boxes are xyxy arrays. features are unit
-vectors, a zero vector where a detection has none, or None if no detection has one."""
+step(boxes, scores, features, frame, ids) -> list of (row, track id) for one frame; boxes are xyxy arrays. features are
+unit vectors, a zero vector where a detection has none, or None if no detection has one. frame is the frame's number
+(null: one after the last), ids are the detector's own ids or None."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,184 +41,231 @@ def likeness(features: np.ndarray, tracks: list[_Track]) -> np.ndarray:
     return np.where(features.any(axis=1)[:, None] & known.any(axis=1)[None], features @ known.T, np.nan)
 
 
-class BoxKalman:
-    """Constant-velocity filter over centre x, centre y, area and aspect (the aspect has no velocity)."""
+class Kalman:
+    """A linear filter that keeps its state before and after a measurement apart: a correction without a prediction
+    starts from the state that was predicted last."""
 
-    F = np.eye(7) + np.eye(7, k=4)
-    H = np.eye(4, 7)
-    Q = np.diag([1, 1, 1, 1, 0.01, 0.01, 1e-4])
-    R = np.diag([1.0, 1, 10, 10])
+    def __init__(self, move: np.ndarray, process: float | np.ndarray, noise: np.ndarray, spread: float, state: np.ndarray):
+        n = len(state)
+        self.move, self.seen = move, np.eye(4, n)
+        self.process, self.noise = process * np.eye(n), noise
+        self.state, self.cov = state, spread * np.eye(n)
+        self.ahead, self.ahead_cov = state, np.zeros((n, n))
+
+    def predict(self) -> np.ndarray:
+        self.state = self.ahead = self.move @ self.state
+        self.cov = self.ahead_cov = self.move @ self.cov @ self.move.T + self.process
+        return self.state
+
+    def correct(self, z: np.ndarray) -> None:
+        gain = self.ahead_cov @ self.seen.T @ np.linalg.inv(self.seen @ self.ahead_cov @ self.seen.T + self.noise)
+        self.state = self.ahead + gain @ (z - self.seen @ self.ahead)
+        self.cov = self.ahead_cov - gain @ self.seen @ self.ahead_cov
+
+
+#: Shortest side, area and aspect; process noise of positions and of velocities, noise of position and of
+#: shape, first spread of the filter over area and aspect; process noise, noise and spread of that over width and height.
+TINY = 1e-3
+SHAPE_PROCESS, SHAPE_NOISE, SHAPE_SPREAD = (1.0, 0.01), (1.0, 10.0), 10.0
+SIZE_PROCESS, SIZE_NOISE, SIZE_SPREAD = 0.5, 0.05, 1.0
+
+
+class ShapeFilter(Kalman):
+    """Centre, area and aspect with velocities of all but the aspect."""
 
     def __init__(self, box: np.ndarray):
-        self.x = np.concatenate([self.measure(box), np.zeros(3)])
-        self.P = np.diag([10.0, 10, 10, 10, 1e4, 1e4, 1e4])
+        process = np.repeat(SHAPE_PROCESS, (4, 3))
+        super().__init__(np.eye(7) + np.eye(7, k=4), process, np.diag(np.repeat(SHAPE_NOISE, 2)), SHAPE_SPREAD, np.concatenate([self.measure(box), np.zeros(3)]))
 
     @staticmethod
     def measure(b: np.ndarray) -> np.ndarray:
-        w, h = max(b[2] - b[0], 1e-6), max(b[3] - b[1], 1e-6)
+        w, h = max(b[2] - b[0], TINY), max(b[3] - b[1], TINY)
         return np.array([b[0] + w / 2, b[1] + h / 2, w * h, w / h])
 
-    def predict(self) -> np.ndarray:
-        if self.x[2] + self.x[6] <= 0:
-            self.x[6] = 0.0
-        self.x = self.F @ self.x
-        self.P = self.F @ self.P @ self.F.T + self.Q
-        return self.box()
-
-    def update(self, box: np.ndarray) -> None:
-        s = self.H @ self.P @ self.H.T + self.R
-        gain = self.P @ self.H.T @ np.linalg.inv(s)
-        self.x = self.x + gain @ (self.measure(box) - self.H @ self.x)
-        self.P = (np.eye(7) - gain @ self.H) @ self.P
+    def box(self) -> np.ndarray:
+        x, y, area, aspect = self.state[:4]
+        area = max(area, TINY)
+        w = np.sqrt(area * max(aspect, TINY))
+        return np.array([x - w / 2, y - area / w / 2, x + w / 2, y + area / w / 2])
+
+
+class SizeFilter(Kalman):
+    """Centre, width and height; the vertical velocity also moves width and height."""
+
+    def __init__(self, box: np.ndarray):
+        move = np.eye(6)
+        move[0, 4] = move[1, 5] = move[2, 5] = move[3, 5] = 1
+        super().__init__(move, SIZE_PROCESS, SIZE_NOISE * np.eye(4), SIZE_SPREAD, np.concatenate([self.measure(box), np.zeros(2)]))
+
+    @staticmethod
+    def measure(b: np.ndarray) -> np.ndarray:
+        return np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1]])
 
     def box(self) -> np.ndarray:
-        area, ratio = max(self.x[2], 1e-6), max(self.x[3], 1e-6)
-        w = np.sqrt(area * ratio)
-        h = area / w
-        return np.array([self.x[0] - w / 2, self.x[1] - h / 2, self.x[0] + w / 2, self.x[1] + h / 2])
+        x, y, w, h = self.state[:4]
+        return np.array([x - w / 2, y - h / 2, x + w / 2, y + h / 2])
 
 
 class _Track:
-    def __init__(self, ident: int, box: np.ndarray, feature: np.ndarray | None):
-        self.id, self.filter, self.hits, self.missed, self.feature, self.last = ident, BoxKalman(box), 1, 0, seen(feature), box
+    def __init__(self, ident: int, filter: Kalman, box: np.ndarray, feature: np.ndarray | None):
+        self.id, self.filter, self.streak, self.missed, self.feature, self.last = ident, filter, 0, 0, seen(feature), box
+
+    def predict(self) -> np.ndarray:
+        self.filter.predict()
+        self.streak = 0 if self.missed else self.streak
+        self.missed += 1
+        return self.filter.box()
 
     def see(self, box: np.ndarray, feature: np.ndarray | None, alpha: float = 0.30) -> None:
-        self.filter.update(box)
-        self.hits, self.missed, self.last = self.hits + 1, 0, box
+        self.filter.correct(self.filter.measure(box))
+        self.streak, self.missed, self.last = self.streak + 1, 0, box
         feature = seen(feature)
         if feature is not None:
             blend = feature if self.feature is None else (1 - alpha) * self.feature + alpha * feature
-            self.feature = blend / (np.linalg.norm(blend) + 1e-12)
+            n = np.linalg.norm(blend)
+            self.feature = blend / n if n > 0 else blend
 
 
 class _Tracker:
-    def __init__(self):
+    def __init__(self, max_age: int, min_hits: int):
         self.tracks: list[_Track] = []
-        self.next_id = 1
+        self.max_age, self.min_hits, self.next_id, self.frame, self.first_frame = max_age, min_hits, 1, 0, None
 
-    def start(self, box, feature=None) -> _Track:
-        t = _Track(self.next_id, box, feature)
+    def begin(self, frame: int | None) -> np.ndarray:
+        """The tracks' boxes as they are expected in this frame."""
+        self.frame = self.frame + 1 if frame is None else int(frame)
+        self.first_frame = self.frame if self.first_frame is None else self.first_frame
+        return np.array([t.predict() for t in self.tracks]).reshape(-1, 4)
+
+    def start(self, box: np.ndarray, feature: np.ndarray | None) -> _Track:
+        t = _Track(self.next_id, ShapeFilter(box), box, feature)
+        t.see(box, feature)
         self.next_id += 1
         self.tracks.append(t)
         return t
 
-    def age(self, max_age: int) -> None:
-        self.tracks = [t for t in self.tracks if t.missed <= max_age]
-
-    def predicted(self) -> np.ndarray:
-        for t in self.tracks:
-            t.missed += 1
-        return np.array([t.filter.predict() for t in self.tracks]).reshape(-1, 4)
+    def finish(self, hits: list[tuple[int, _Track]]) -> list[tuple[int, int]]:
+        """Old tracks go; those seen in this frame count after min_hits frames in a row, or among the first frames."""
+        self.tracks = [t for t in self.tracks if t.missed <= self.max_age]
+        young = self.frame <= self.first_frame + self.min_hits
+        return sorted((int(i), t.id) for i, t in hits if young or t.streak >= self.min_hits)
 
 
 class Sort(_Tracker):
-    """One stage of IoU assignment; tracks count after min_hits sightings, or from the first frames on."""
+    """One stage of IoU assignment."""
 
     def __init__(self, max_age: int = 20, min_hits: int = 3, iou_threshold: float = 0.3):
-        super().__init__()
-        self.max_age, self.min_hits, self.iou_threshold, self.frame = max_age, min_hits, iou_threshold, 0
-
-    def step(self, boxes, scores, features):
-        self.frame += 1
-        pairs = assigned(iou(boxes, self.predicted()), self.iou_threshold)
-        out = []
-        for i, j in pairs:
-            t = self.tracks[j]
+        super().__init__(max_age, min_hits)
+        self.iou_threshold = iou_threshold
+
+    def step(self, boxes, scores, features, frame=None, ids=None):
+        pairs = assigned(iou(boxes, self.begin(frame)), self.iou_threshold)
+        hits = [(i, self.tracks[j]) for i, j in pairs]
+        for i, t in hits:
             t.see(boxes[i], None)
-            if t.hits >= self.min_hits or self.frame <= self.min_hits:
-                out.append((i, t.id))
-        for i in sorted(set(range(len(boxes))) - {i for i, _ in pairs}):
-            t = self.start(boxes[i])
-            if self.frame <= self.min_hits:
-                out.append((i, t.id))
-        self.age(self.max_age)
-        return out
+        rest = sorted(set(range(len(boxes))) - {i for i, _ in pairs})
+        return self.finish(hits + [(i, self.start(boxes[i], None)) for i in rest])
 
 
 class Byte(_Tracker):
     """Confident detections first, then the others for the tracks that are left; only very confident ones start a track."""
 
-    def __init__(self, high: float = 0.6, low: float = 0.1, new: float = 0.7, max_age: int = 30, first: float = 0.2, second: float = 0.5):
-        super().__init__()
-        self.high, self.low, self.new, self.max_age, self.first, self.second = high, low, new, max_age, first, second
+    def __init__(self, high: float = 0.6, low: float = 0.1, new: float = 0.7, max_age: int = 30, min_hits: int = 1, iou_threshold: float = 0.3):
+        super().__init__(max_age, min_hits)
+        self.high, self.low, self.new, self.iou_threshold = high, low, new, iou_threshold
 
-    def score(self, boxes, features, predicted):
-        return iou(boxes, predicted)
+    def first_stage(self, boxes, features, predicted) -> list[tuple[int, int]]:
+        return assigned(iou(boxes, predicted), self.iou_threshold)
 
-    def step(self, boxes, scores, features):
-        predicted = self.predicted()
+    def step(self, boxes, scores, features, frame=None, ids=None):
+        predicted = self.begin(frame)
         strong, weak = np.flatnonzero(scores >= self.high), np.flatnonzero((scores < self.high) & (scores >= self.low))
-        out, free = [], list(range(len(self.tracks)))
-
-        def match(rows, columns, score, least):
-            hits = assigned(score, least)
-            for i, j in hits:
-                t = self.tracks[columns[j]]
-                t.see(boxes[rows[i]], None if features is None else features[rows[i]])
-                out.append((int(rows[i]), t.id))
-            return {i for i, _ in hits}, {columns[j] for _, j in hits}
-
-        feats = None if features is None else features[strong]
-        used, taken = match(strong, free, self.score(boxes[strong], feats, predicted), self.first)
-        free = [c for c in free if c not in taken]
-        match(weak, free, iou(boxes[weak], predicted[free]), self.second)
-        for k, i in enumerate(strong):
-            if k not in used and scores[i] >= self.new:
-                out.append((int(i), self.start(boxes[i], None if features is None else features[i]).id))
-        self.age(self.max_age)
-        return sorted(out)
+        feature = lambda i: None if features is None else features[i]
+        pairs = [(strong[i], j) for i, j in self.first_stage(boxes[strong], feature(strong), predicted)]
+        free = [j for j in range(len(self.tracks)) if j not in {j for _, j in pairs}]
+        pairs += [(weak[i], free[j]) for i, j in assigned(iou(boxes[weak], predicted[free]), self.iou_threshold)]
+        hits = [(i, self.tracks[j]) for i, j in pairs]
+        for i, t in hits:
+            t.see(boxes[i], feature(i))
+        rest = [i for i in strong if i not in {i for i, _ in pairs} and scores[i] >= self.new]
+        return self.finish(hits + [(i, self.start(boxes[i], feature(i))) for i in rest])
 
 
 class BotSort(Byte):
-    """As Byte; the first stage weighs overlap and appearance, and a like appearance can stand in for overlap."""
+    """As Byte; the first stage weighs overlap and appearance, and a like appearance can stand in for overlap. As many
+    admitted pairs are made as there can be."""
 
-    def __init__(self, appearance: float = 0.75, weight: float = 0.6, **options):
-        super().__init__(**options)
+    def __init__(self, high: float = 0.6, new: float = 0.6, max_age: int = 25, appearance: float = 0.70, weight: float = 0.60, **options):
+        super().__init__(high=high, new=new, max_age=max_age, **options)
         self.appearance, self.weight = appearance, weight
 
-    def score(self, boxes, features, predicted):
+    def first_stage(self, boxes, features, predicted):
         overlap = iou(boxes, predicted)
-        if features is None or not overlap.size:
-            return overlap
-        cos = likeness(features, self.tracks)
+        if not overlap.size:
+            return []
+        cos = np.full_like(overlap, np.nan) if features is None else likeness(features, self.tracks)
         cost = np.where(np.isnan(cos), 1 - overlap, self.weight * (1 - overlap) + (1 - self.weight) * (1 - cos))
-        return np.where((overlap >= self.first) | (cos >= self.appearance), 1e6 - cost, 0.0)  # as many admitted pairs as there can be
-
-
-class Stable(_Tracker):
-    """Stable ids: first by the box where each was last seen, then by IoU and appearance together, also with
-    tracks that were lost; those keep their ids and never go."""
-
-    def __init__(self, same: float = 0.5, least_iou: float = 0.08, least_cos: float = 0.70, weight: float = 0.5, lost_after: int = 20):
-        super().__init__()
-        self.same, self.least_iou, self.least_cos, self.weight, self.lost_after = same, least_iou, least_cos, weight, lost_after
-
-    def step(self, boxes, scores, features):
-        for t in self.tracks:
-            t.missed += 1
-        active = [k for k, t in enumerate(self.tracks) if t.missed <= self.lost_after]
-        last = np.array([self.tracks[k].last for k in active]).reshape(-1, 4)
-        out, used, taken = [], set(), set()
-
-        def see(i, k):
-            self.tracks[k].see(boxes[i], None if features is None else features[i])
-            out.append((i, self.tracks[k].id))
-            used.add(i)
-            taken.add(k)
-
-        for i, j in assigned(iou(boxes, last), self.same):
-            see(i, active[j])
-        rows, columns = [i for i in range(len(boxes)) if i not in used], [k for k in range(len(self.tracks)) if k not in taken]
-        if rows and columns:
-            where = np.array([self.tracks[k].filter.predict() if self.tracks[k].missed > self.lost_after else self.tracks[k].last for k in columns])
-            o = iou(boxes[rows], where)
-            c = np.full_like(o, np.nan) if features is None else likeness(features[rows], [self.tracks[k] for k in columns])
+        admitted = (overlap >= self.iou_threshold) | (cos >= self.appearance)
+        return [(i, j) for i, j in hungarian(np.where(admitted, cost, 1e6)) if admitted[i, j]]
+
+
+class Stable:
+    """Stable ids. First a detector's own id keeps its stable one while the boxes overlap; then IoU and appearance decide
+    together, also about tracks that were lost, whose boxes are predicted; the rest are new. Lost tracks never go."""
+
+    def __init__(self, same: float = 0.5, least_iou: float = 0.08, least_cos: float = 0.70, weight: float = 0.60, max_age: int = 20):
+        self.same, self.least_iou, self.least_cos, self.weight, self.max_age = same, least_iou, least_cos, weight, max_age
+        self.active: dict[int, _Track] = {}
+        self.lost: dict[int, _Track] = {}
+        self.known: dict[int, int] = {}  # detector's id to stable id
+        self.next_id, self.frame = 1, 0
+
+    @property
+    def tracks(self) -> list[_Track]:
+        return [*self.active.values(), *self.lost.values()]
+
+    def _see(self, i, t, boxes, features, ids) -> tuple[int, int]:
+        self.active[t.id] = self.lost.pop(t.id, t)
+        t.see(boxes[i], None if features is None else features[i])
+        t.seen_at, t.own = self.frame, None if ids is None else ids[i]
+        if ids is not None:
+            self.known[ids[i]] = t.id
+        return i, t.id
+
+    def step(self, boxes, scores, features, frame=None, ids=None):
+        self.frame = self.frame + 1 if frame is None else int(frame)
+        out, rest = [], []
+        for i in range(len(boxes)):
+            k = None if ids is None else self.known.get(ids[i])
+            t = self.active.get(k)
+            if t is not None and iou(boxes[i : i + 1], t.last[None])[0, 0] < self.same:
+                self.known.pop(ids[i])
+                k = None
+            if k is None:
+                rest.append(i)
+            else:
+                out.append(self._see(i, t or self.lost[k], boxes, features, ids))
+        if rest:
+            taken = {k for _, k in out}
+            for t in self.lost.values():
+                t.filter.predict()
+            options = [t for k, t in self.active.items() if k not in taken] + list(self.lost.values())
+            where = np.array([t.filter.box() if t.id in self.lost else t.last for t in options]).reshape(-1, 4)
+            o = iou(boxes[rest], where)
+            c = np.full_like(o, np.nan) if features is None else likeness(features[rest], options)
+            matched = set()
             for i, j in hungarian(np.where(np.isnan(c), 1 - o, self.weight * (1 - o) + (1 - self.weight) * (1 - c))):
                 if o[i, j] >= self.least_iou or c[i, j] >= self.least_cos:
-                    see(rows[i], columns[j])
-        for i in range(len(boxes)):
-            if i not in used:
-                out.append((i, self.start(boxes[i], None if features is None else features[i]).id))
+                    self.known.pop(options[j].own, None)
+                    out.append(self._see(rest[i], options[j], boxes, features, ids))
+                    matched.add(rest[i])
+            for i in rest:
+                if i not in matched:
+                    t = _Track(self.next_id, SizeFilter(boxes[i]), boxes[i], None)
+                    self.next_id += 1
+                    out.append(self._see(i, t, boxes, features, ids))
+        for k in [k for k, t in self.active.items() if self.frame - t.seen_at > self.max_age]:
+            self.lost[k] = self.active.pop(k)
         return sorted(out)
 
 
@@ -228,31 +276,36 @@ def register(name: str, tracker: type) -> None:
     METHODS[name] = tracker
 
 
-def tracked(detections: DataFrame, method: str, vector: str | None = None, **options) -> DataFrame:
-    """Detections with the ids that a tracker gives them; others go. detections: video_id, frame, x1..y2, confidence
-    and, if vector names it, a column of appearance vectors (null: not known). A video is one group; its detections
-    are its only state."""
+def tracked(detections: DataFrame, method: str, vector: str | None = None, detector: str | None = None, **options) -> DataFrame:
+    """Detections with the ids that a tracker gives them; others go. detections: video_id, frame, x1..y2, confidence;
+    vector names a column of appearance vectors (null: not known), detector one of the detector's own ids. A video is one
+    group; its detections are its only state."""
     make = METHODS[method]
     box = ["x1", "y1", "x2", "y2"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, parts = make(**options), []
-        order = ["frame", *box, "confidence"]
+    def run(table: pa.Table) -> pa.Table:
+        tracker, kept, track_ids = make(**options), [], []
+        columns = {c: table[c].to_numpy(zero_copy_only=False) for c in ("frame", *box, "confidence")}
+        features, ties = None, []
         if vector:
-            size = max((len(v) for v in pdf.feature if v is not None), default=0)
-            pdf["feature"] = [np.zeros(size) if v is None else np.asarray(v, float) for v in pdf.feature]
-            pdf["__tie"] = [v.tobytes() for v in pdf.feature]
-            order.append("__tie")
-        pdf = pdf.sort_values(order, kind="stable")
-        for _, rows in pdf.groupby("frame"):
-            features = np.stack(rows.feature.tolist()) if vector else None
-            hits = tracker.step(rows[box].to_numpy(float), rows.confidence.to_numpy(float), features)
-            part = rows.iloc[[i for i, _ in hits]].copy()
-            part["track_id"] = [t for _, t in hits]
-            parts.append(part)
-        out = pd.concat(parts) if parts else pdf.assign(track_id=0)
-        return out[["video_id", "frame", "track_id", *box, "confidence"]]
+            size = max((len(v) for v in table["feature"].to_pylist() if v is not None), default=0)
+            features = np.array([v if v is not None else [0.0] * size for v in table["feature"].to_pylist()]).reshape(table.num_rows, size)
+            ties = list(features.T[::-1])
+        own = table["own"].to_numpy(zero_copy_only=False) if detector else None
+        order = np.lexsort((*ties, *([own] if detector else []), columns["confidence"], *(columns[c] for c in box[::-1]), columns["frame"]))
+        frames = columns["frame"][order]
+        boxes = np.column_stack([columns[c] for c in box])
+        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(frames) else []
+        for s, e in zip(starts, [*starts[1:], len(frames)], strict=True):
+            rows = order[s:e]
+            hits = tracker.step(boxes[rows], columns["confidence"][rows], features[rows] if vector else None, int(frames[s]), own[rows].tolist() if detector else None)
+            kept += [int(rows[i]) for i, _ in hits]
+            track_ids += [t for _, t in hits]
+        out = table.select(["video_id", "frame", *box, "confidence"]).take(pa.array(kept, pa.int64()))
+        return out.add_column(2, "track_id", pa.array(track_ids, pa.int64()))
 
     ship(detections.sparkSession)
-    feature = [normalized(F.col(vector).cast("array<double>")).alias("feature")] if vector else []
-    return detections.select("video_id", "frame", *box, "confidence", *feature).groupBy("video_id").applyInPandas(run, "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    extra = [normalized(F.col(vector).cast("array<double>")).alias("feature")] if vector else []
+    extra += [F.col(detector).cast("long").alias("own")] if detector else []
+    numbers = [F.col(c).cast("long" if c in ("video_id", "frame") else "double").alias(c) for c in ("video_id", "frame", *box, "confidence")]
+    return detections.select(*numbers, *extra).groupBy("video_id").applyInArrow(run, "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
