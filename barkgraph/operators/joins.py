@@ -49,16 +49,15 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, frame:
 
 def bracketed(queries: DataFrame, rows: DataFrame, keys: list[str], at: str, frame: str, values: list[str]) -> DataFrame:
     """queries with prev and next: the nearest rows of the key at or before, and at or after, `at`, as structs of
-    frame and values (null where there is none). One sort of the union; no pairs are made."""
+    frame and values (null where there is none). Two sorts of the union; no pairs are made."""
     payload = F.struct(F.col(frame).alias("frame"), *[F.col(v) for v in values])
     kept = [c for c in queries.columns]
     obs = rows.select(*keys, F.col(frame).alias("__at"), payload.alias("__row"), F.lit(None).cast(queries.schema.simpleString()).alias("__q"))
     asks = queries.select(*keys, F.col(at).alias("__at"), F.lit(None).cast(_type(rows, frame, values)).alias("__row"), F.struct(*[F.col(c) for c in kept]).alias("__q"))
     both = obs.unionByName(asks)
-    order = Window.partitionBy(*keys).orderBy("__at")
-    # a range frame takes in rows of the same frame on either side
-    prev = F.last("__row", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    following = F.first("__row", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # Range frames take in rows of the same frame on either side. Both run from the partition's beginning, which costs
+    # one step a row; a frame that ends at the partition's end would be read anew for every row.
+    prev, following = (F.last("__row", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, 0)) for o in (F.asc("__at"), F.desc("__at")))
     return both.withColumn("prev", prev).withColumn("next", following).where("__q is not null").select("__q.*", "prev", "next")
 
 

@@ -2,41 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FROZEN, ProfileConfig
+from ..session import ship
+
+
+class Partition:
+    """Tracks in clusters, with the clusters that each may not join: the smaller set of vetoes moves to the larger."""
+
+    def __init__(self, blocked: Iterable[tuple[int, int]]):
+        self.root: dict[int, int] = {}
+        self.least: dict[int, int] = {}
+        self.vetoes: dict[int, set[int]] = {}
+        for a, b in blocked:
+            self.vetoes.setdefault(a, set()).add(b)
+            self.vetoes.setdefault(b, set()).add(a)
+
+    def find(self, x: int) -> int:
+        top = x
+        while self.root.get(top, top) != top:
+            top = self.root[top]
+        while self.root.get(x, x) != top:
+            self.root[x], x = top, self.root[x]
+        return top
+
+    def apart(self, a: int, b: int) -> bool:
+        return b in self.vetoes.get(a, ())
+
+    def join(self, a: int, b: int) -> None:
+        least = min(self.label(a), self.label(b))
+        if len(self.vetoes.get(a, ())) < len(self.vetoes.get(b, ())):
+            a, b = b, a
+        moved, kept = self.vetoes.pop(b, set()), self.vetoes.setdefault(a, set())
+        for other in moved - {a}:
+            self.vetoes[other].discard(b)
+            self.vetoes[other].add(a)
+            kept.add(other)
+        kept.discard(b)
+        self.root[b], self.least[a] = a, least
+
+    def label(self, x: int) -> int:
+        top = self.find(x)
+        return self.least.get(top, top)
 
 
 def merged(decisions: DataFrame, tracks: DataFrame) -> DataFrame:
     """(video_id, labels, merges): labels maps each track to its cluster's smallest track; merges lists the accepted
     candidates in order.
 
-    Candidates are taken in descending order of all their sort values. One is skipped if its ends are together
-    already, or if it isn't part-based and any two tracks across the clusters block each other. The
-    fold needs a row for each video, which holds its candidates and blocked pairs and never its detections.
-    Every rule depends on the partition alone, so labelling by the smallest track is as good as any root."""
-    order = F.struct("priority", "primary_score", "secondary_score", (-F.col("nearest_frame_gap")).alias("negative_gap"), "nearest_time_gap_sec", "pair_decision", "l", "r")
-    candidates = decisions.where("priority is not null").groupBy("video_id").agg(F.sort_array(F.collect_list(order), asc=False).alias("cs"))
-    blocked = decisions.where("blocks").groupBy("video_id").agg(F.collect_list(F.struct("l", "r")).alias("bs"))
-    ids = tracks.select("video_id", "track_id").distinct().groupBy("video_id").agg(F.array_sort(F.collect_set("track_id")).alias("ids"))
-    df = ids.join(candidates, "video_id", "left").join(blocked, "video_id", "left")
-    pair = "array<struct<l:bigint,r:bigint>>"
-    df = df.withColumn("bs", F.coalesce("bs", F.array().cast(pair))).withColumn("labels", F.map_from_arrays("ids", "ids"))
-    merges = "array<struct<l:bigint,r:bigint,reason:string>>"
-    start = F.struct(F.col("labels").alias("lab"), F.array().cast(merges).alias("acc"))
-
-    def step(state, c):
-        a, b = state["lab"][c["l"]], state["lab"][c["r"]]
-        across = F.exists("bs", lambda p: ((state["lab"][p["l"]] == a) & (state["lab"][p["r"]] == b)) | ((state["lab"][p["l"]] == b) & (state["lab"][p["r"]] == a)))
-        ok = (a != b) & ((c["pair_decision"] == "candidate_part_based_duplicate") | ~across)
-        low, high = F.least(a, b), F.greatest(a, b)
-        lab = F.transform_values(state["lab"], lambda _, v: F.when(v == high, low).otherwise(v))
-        entry = F.array(F.struct(c["l"].alias("l"), c["r"].alias("r"), c["pair_decision"].alias("reason"))).cast(merges)
-        return F.when(ok, F.struct(lab.alias("lab"), F.concat(state["acc"], entry).alias("acc"))).otherwise(state)
-
-    folded = F.when(F.col("cs").isNull(), start).otherwise(F.aggregate("cs", start, step))
-    return df.select("video_id", folded.alias("s")).select("video_id", F.col("s.lab").alias("labels"), F.col("s.acc").alias("merges"))
+    Candidates are taken in descending order of all their sort values (nulls last). One is skipped if its ends are
+    together already, or if it isn't part-based and any two tracks across the clusters block each other. A group is a
+    video's candidates and blocked pairs, never its detections; a candidate costs a look-up, and a veto moves a
+    logarithmic number of times. Every rule depends on the partition alone, so any root does."""
+    order = ["priority", "primary_score", "secondary_score", "negative_gap", "nearest_time_gap_sec", "pair_decision", "l", "r"]
+    wanted = decisions.where("priority is not null or blocks").withColumn("negative_gap", -F.col("nearest_frame_gap")).select(F.col("video_id").alias("video"), *order, "blocks")
+    ids = tracks.select("video_id", "track_id").distinct()
+
+    def run(ids: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        state, log = Partition((r["l"], r["r"]) for r in rows if r["blocks"]), []
+        rank = lambda r: [(r[c] is not None, r[c]) if r[c] is not None else (False,) for c in order]
+        for c in sorted((r for r in rows if r["priority"] is not None), key=rank, reverse=True):
+            a, b = state.find(c["l"]), state.find(c["r"])
+            if a != b and (c["pair_decision"] == "candidate_part_based_duplicate" or not state.apart(a, b)):
+                state.join(a, b)
+                log.append({"l": c["l"], "r": c["r"], "reason": c["pair_decision"]})
+        labels = [(t, state.label(t)) for t in sorted(ids["track_id"].to_pylist())]
+        entry = pa.struct([("l", pa.int64()), ("r", pa.int64()), ("reason", pa.string())])
+        return pa.table({"video_id": ids["video_id"][:1], "labels": pa.array([labels], pa.map_(pa.int64(), pa.int64())), "merges": pa.array([log], pa.list_(entry))})
+
+    ship(tracks.sparkSession)
+    schema = "video_id long, labels map<long,long>, merges array<struct<l:long,r:long,reason:string>>"
+    return ids.groupBy("video_id").cogroup(wanted.groupBy("video")).applyInArrow(run, schema)
 
 
 def clusters(merged: DataFrame) -> DataFrame:

@@ -74,15 +74,26 @@ def common_metrics(tracks: DataFrame) -> DataFrame:
 
 
 def frame_gaps(tracks: DataFrame) -> DataFrame:
-    """Smallest distance between observed frames for each pair: one sorted pass over each pair's frames, never all
-    pairs of frames."""
-    both = pairs(tracks)
+    """Smallest distance between observed frames for each pair of a video's tracks. First and last frames decide for
+    tracks that follow each other, and a common frame for those that meet; only pairs whose spans cross without a common
+    frame bring their frames, in one sorted pass over both."""
+    pair = ["video_id", "l", "r"]
+    spans = tracks.groupBy(*KEY).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    l, r = (spans.select("video_id", F.col("track_id").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in ("l", "r"))
+    apart = F.greatest(F.col("llo") - F.col("rhi"), F.col("rlo") - F.col("lhi"))
+    both = l.join(r, "video_id").where("l < r").withColumn("apart", apart)
+    follow = both.where("apart > 0").select(*pair, F.col("apart").alias("nearest_frame_gap"))
+    met = cooccurring(tracks).select(*pair).distinct().withColumn("met", F.lit(True))
+    crossing = both.where("apart <= 0").select(*pair).join(met, pair, "left")
     obs = tracks.select("video_id", "track_id", "frame")
-    rows = both.join(obs.withColumnRenamed("track_id", "l"), ["video_id", "l"]).select("video_id", "l", "r", "frame", F.lit(0).alias("side"))
-    rows = rows.unionByName(both.join(obs.withColumnRenamed("track_id", "r"), ["video_id", "r"]).select("video_id", "l", "r", "frame", F.lit(1).alias("side")))
-    w = Window.partitionBy("video_id", "l", "r").orderBy("frame", "side").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.last(F.when(F.col("side") == s, F.col("frame")), ignorenulls=True).over(w) for s in (0, 1)]
-    return rows.select("video_id", "l", "r", F.abs(last[0] - last[1]).alias("gap")).groupBy("video_id", "l", "r").agg(F.min("gap").alias("nearest_frame_gap"))
+    rest = crossing.where("met is null").select(*pair)
+    rows = rest.join(obs.withColumnRenamed("track_id", "l"), ["video_id", "l"]).select(*pair, "frame", F.lit(0).alias("side"))
+    rows = rows.unionByName(rest.join(obs.withColumnRenamed("track_id", "r"), ["video_id", "r"]).select(*pair, "frame", F.lit(1).alias("side")))
+    w = Window.partitionBy(*pair).orderBy("frame", "side")
+    step = F.when(F.lag("side").over(w) != F.col("side"), F.col("frame") - F.lag("frame").over(w))
+    between = rows.select(*pair, step.alias("gap")).groupBy(*pair).agg(F.min("gap").alias("nearest_frame_gap"))
+    together = crossing.where("met").select(*pair, F.lit(0).cast("long").alias("nearest_frame_gap"))
+    return follow.unionByName(together).unionByName(between)
 
 
 def appearance(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
