@@ -39,3 +39,23 @@ def digits(c: Column) -> Column:
 
 def palette_index(c: Column, colors: int) -> Column:
     return F.pmod(c, F.lit(colors))
+
+
+def json_number(c: Column) -> Column:
+    """A double rounded to eight places, in the shortest text: 0.25, 1.0, 5e-05."""
+    r = F.round(c, 8)
+    fixed = F.regexp_replace(F.regexp_replace(r.cast("decimal(38,8)").cast("string"), "0+$", ""), r"\.$", ".0")
+    parts = F.split(r.cast("string"), "E-")  # Spark writes small ones as 5.0E-5
+    small = F.concat(F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", ""), F.lit("e-"), F.lpad(F.get(parts, F.lit(1)), 2, "0"))
+    return F.when((r == 0) | (F.abs(r) >= 1e-4), fixed).otherwise(small)
+
+
+def json_list(numbers: Column) -> Column:
+    """[0.25, 1.0] of an array of doubles."""
+    return F.concat(F.lit("["), F.array_join(F.transform(numbers, json_number), ", "), F.lit("]"))
+
+
+def json_map(entries: Column) -> Column:
+    """{"12": 0.25, "3": 1.0} of an array of (k string, v double), in the order of the keys' text."""
+    text = F.transform(F.sort_array(entries), lambda e: F.concat(F.lit('"'), e["k"], F.lit('": '), json_number(e["v"])))
+    return F.concat(F.lit("{"), F.array_join(text, ", "), F.lit("}"))

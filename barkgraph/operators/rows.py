@@ -38,6 +38,16 @@ def dense_by_first_seen(df: DataFrame, column: str, order: str, keys: list[str],
     return df.join(ids, [*keys, column])
 
 
+def numbered(df: DataFrame, order: str, name: str, width: int = 100_000) -> DataFrame:
+    """0, 1, ... in the order of a whole-number column without repeats. Rows are counted by classes of it, so no task holds
+    more than a class: only the classes' counts meet."""
+    classed = df.withColumn("__class", F.floor(F.col(order) / width))
+    before = Window.orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)
+    base = classed.groupBy("__class").count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    within = F.row_number().over(Window.partitionBy("__class").orderBy(order)) - 1
+    return classed.withColumn("__n", within).join(base, "__class").withColumn(name, (F.col("__base") + F.col("__n")).cast("long")).drop("__class", "__n", "__base")
+
+
 def majority(df: DataFrame, keys: list[str], label: str, tie: Column) -> DataFrame:
     """(keys, label, n, total, distinct): the most frequent label of each key; tie orders equals."""
     n = df.groupBy(*keys, label).agg(F.count("*").alias("n"), F.min(tie).alias("__tie"))

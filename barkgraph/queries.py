@@ -11,18 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import audio
 from .functions import geometry as G
 from .functions import temporal as T
 from .functions import text as X
 from .functions import vectors as V
-from .operators import assign, evaluation, fusion, mot, trackers
+from .operators import assign, evaluation, fusion, mot, runs, trackers
 from .operators import events as E
 from .operators import joins as J
 from .operators import profiles as P
 from .operators import rows as R
 from .operators import scenes as S
 from .operators import tracks as K
-from .plans.fixtures import FPS, Tables, sql
+from .plans.fixtures import FPS, SECONDS, Tables, sql
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -790,8 +791,14 @@ def _seen(t):
     return t.vector(t.tracks, F.col("video_id") * 7 + F.col("ident"), F.col("frame") * 31 + F.col("track_id") * 17 + 50)
 
 
-for _name, _method in (("ST04_stable_tracker", "stable"), ("ST07_botsort", "botsort")):
-    query(_name)(lambda t, m=_method: rounded(trackers.tracked(_seen(t), m, "v")))
+@query("ST04_stable_tracker")
+def _(t):
+    return rounded(trackers.tracked(_seen(t), "stable", "v", "track_id"))
+
+
+@query("ST07_botsort")
+def _(t):
+    return rounded(trackers.tracked(_seen(t), "botsort", "v"))
 
 
 for _name, _method in (("ST05_sort", "sort"), ("ST06_bytetrack", "bytetrack")):
@@ -834,6 +841,278 @@ def _(t):
     return df.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+# --- evaluators' inputs, rendering, features, runs, sources ---------------------------------------------------------
+
+
+@query(
+    "PRJ06_localized_predictions",
+    """SELECT event_id, track % 40 AS pred_track_id, round("start", 6) AS "start", round("end", 6) AS "end" FROM (
+         SELECT 'event_' || lpad(CAST(row_number() OVER (ORDER BY event_id) - 1 AS VARCHAR), 6, '0') AS event_id, event_id AS n, event_id AS track, "start", "end" FROM ev)
+       WHERE n % 7 <> 0 AND n % 11 <> 0""",
+    "ev",
+)
+def _(t):
+    n = F.col("event_id")
+    track = F.when(n % 7 == 0, "n/a").otherwise((n % 40).cast("string"))
+    raw = t.ev.select(n.alias("row_no"), track.alias("predicted_track_id"), F.col("start").cast("string").alias("start_time_sec"), F.when(n % 11 != 0, F.col("end").cast("string")).alias("end_time_sec"))
+    return rounded(evaluation.localized_predictions(raw, "row_no"))
+
+
+@query(
+    "PRJ07_event_predictions",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, round("start", 6) AS "start", round("end", 6) AS "end", CAST(predicted_track_id AS DOUBLE) AS predicted_track_id, 'predicted' AS status
+       FROM predictions""",
+    "predictions",
+)
+def _(t):
+    p = t.predictions
+    raw = p.select(F.col("event_id").alias("BarkSeq_ID"), F.col("start").cast("string").alias("start_time"), F.col("end").cast("string").alias("end_time"), F.coalesce(F.col("predicted_track_id").cast("string"), F.lit("none")).alias("predicted_id"))
+    return rounded(evaluation.event_predictions(raw))
+
+
+@query(
+    "PRJ08_identity_inputs",
+    """SELECT 'gt' AS side, 'clip_7' AS video_id, 'gt_' || lpad(CAST(n AS VARCHAR), 6, '0') AS event_id, round("start", 6) AS "start", round("end", 6) AS "end", 'dog ' || (id % 4) AS who
+       FROM (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS n, "start", "end" FROM ev) WHERE id % 9 <> 0
+       UNION ALL SELECT 'pred', 'clip_7', CAST(event_id AS VARCHAR), round("start", 6), round("end", 6), 'dog_' || (event_id % 5) FROM ev""",
+    "ev",
+)
+def _(t):
+    n = F.col("event_id")
+    truth = t.ev.select(n.alias("row_no"), "start", F.when(n % 9 != 0, F.col("end")).alias("end"), F.concat(F.lit("dog "), (n % 4).cast("string")).alias("dog_id"))
+    guess = t.ev.select(n.alias("row_no"), n.alias("bark_id"), F.lit("clip_7").alias("video"), "start", "end", F.concat(F.lit("dog_"), (n % 5).cast("string")).alias("profile_id"))
+    a, b = evaluation.identity_events(truth, "gt", evaluation.DOG, "row_no"), evaluation.identity_events(guess, "pred", evaluation.PROFILE, "row_no")
+    a, b = evaluation.same_video(a, b), evaluation.same_video(b, a)
+    return rounded(a.select(F.lit("gt").alias("side"), "*").unionByName(b.select(F.lit("pred").alias("side"), "*")))
+
+
+@query(
+    "SNK09_draw_list",
+    """, n AS (SELECT video_id, track_id, frame AS p, x1, y1, x2, y2, lag(frame) OVER w AS before, lead(frame) OVER w AS n, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2, lead(y2) OVER w AS ny2
+               FROM tracks WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame)),
+         f AS (SELECT *, unnest(list_concat(CASE WHEN before IS NULL THEN range(greatest(0, p - 10), p) ELSE [] END,
+                 CASE WHEN n IS NULL THEN range(p, least(2499, p + 10) + 1) WHEN n - p <= 20 THEN range(p, n) ELSE list_concat(range(p, p + 11), range(n - 10, n)) END)) AS frame FROM n),
+         b AS (SELECT video_id, track_id, frame, {boxes} FROM f),
+         shown AS (SELECT video_id, frame, event_id, predicted_track_id FROM (SELECT *, unnest(range(CAST(floor("start" * 10.0) AS BIGINT), CAST(ceil("end" * 10.0) AS BIGINT) + 1)) AS frame FROM predictions)
+                   QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY coalesce(top_score, -1) DESC, "start", "end", event_id) = 1)
+       SELECT video_id, frame, track_id, x1, y1, x2, y2, coalesce(predicted_track_id = track_id, false) AS winner, round(mean_score, 6) AS score,
+              CASE WHEN coalesce(predicted_track_id = track_id, false) THEN 'BARKING | ' ELSE '' END || 'dog #' || track_id AS label,
+              CASE WHEN coalesce(predicted_track_id = track_id, false) AND (frame // 6) % 2 = 0 THEN 6 ELSE 2 END AS line, track_id % 7 AS color
+       FROM b LEFT JOIN shown USING (video_id, frame) LEFT JOIN scores USING (video_id, event_id, track_id)""".replace(
+        "{boxes}",
+        ", ".join(
+            f"CAST(greatest(0, least({m - 1}, round_even(CASE WHEN frame > p AND n - p <= 20 THEN {c} * (1 - (frame - p) / (n - p)) + n{c} * ((frame - p) / (n - p)) WHEN frame > p AND n - p > 20 AND frame >= n - 10 THEN n{c} ELSE {c} END, 0))) AS BIGINT) AS {c}"
+            for c, m in zip(J.BOX, (400, 250, 400, 250), strict=True)
+        ),
+    ),
+    "tracks",
+    "predictions",
+    "scores",
+)
+def _(t):
+    shown = E.frame_events(t.predictions, F.lit(FPS))
+    drawn = evaluation.draw_list(t.tracks, shown, t.scores, 10, int(SECONDS * FPS), 400, 250)
+    return rounded(drawn.withColumn("label", F.regexp_replace("label", r" \| [0-9.]+$", "")))
+
+
+@query(
+    "FN12_json_scores",
+    """SELECT video_id, event_id, track_id, '[' || array_to_string(list_transform(window_scores, lambda x: CAST(round(x, 8) AS VARCHAR)), ', ') || ']' AS window_scores, a.all_scores
+       FROM scores JOIN (SELECT video_id, event_id, '{' || string_agg('"' || track_id || '": ' || CAST(round(mean_score, 8) AS VARCHAR), ', ' ORDER BY CAST(track_id AS VARCHAR)) || '}' AS all_scores FROM scores GROUP BY ALL) a
+       USING (video_id, event_id)""",
+    "scores",
+)
+def _(t):
+    entry = F.struct(F.col("track_id").cast("string").alias("k"), F.col("mean_score").alias("v"))
+    whole = t.scores.groupBy("video_id", "event_id").agg(X.json_map(F.collect_list(entry)).alias("all_scores"))
+    each = t.scores.select("video_id", "event_id", "track_id", X.json_list(F.col("window_scores")).alias("window_scores"))
+    return each.join(whole, ["video_id", "event_id"])
+
+
+_NEXT = "embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+
+
+def _vector_pairs(t):
+    e = t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+
+
+def _blend_sql(x: str) -> str:
+    """The unit vector of a list expression over positions i of a.embedding and b.embedding: length and first value."""
+    return f"SELECT vec_id, len(v) AS dims, round(CASE WHEN list_dot_product(v, v) > 0 THEN v[1] / sqrt(list_dot_product(v, v)) ELSE v[1] END, 6) AS first FROM (SELECT a.vec_id, list_transform(range(1, len(a.embedding) + 1), lambda i: {x}) AS v FROM {_NEXT})"
+
+
+_A, _B = "CAST(a.embedding[i] AS DOUBLE)", "CAST(b.embedding[i] AS DOUBLE)"
+
+
+def _first(v):
+    return lambda t: rounded(_vector_pairs(t).select("vec_id", v().alias("v")).select("vec_id", F.size("v").cast("long").alias("dims"), F.get("v", F.lit(0)).alias("first")))
+
+
+query("FN05_running_centroid", _blend_sql(f"({_A} * CAST(3 AS DOUBLE) + {_B}) / CAST(4 AS DOUBLE)"))(_first(lambda: V.running_centroid(F.col("a"), F.lit(3.0), F.col("b"))))
+query("FN06_ema_blend", _blend_sql(f"{_A} * CAST(0.7 AS DOUBLE) + {_B} * CAST(0.3 AS DOUBLE)"))(_first(lambda: V.ema(F.col("a"), F.col("b"))))
+
+
+@query("FN14_audio_features")
+def _(t):
+    e = t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("wave"))
+    out = e.select("vec_id", audio.mfcc_column(F.col("wave")).alias("m"), audio.log_mel_column(F.col("wave")).alias("l"))
+    least = F.array_min("l")
+    return rounded(out.select("vec_id", F.size("m").cast("long").alias("coefficients"), F.get("m", F.lit(0)).alias("first"), F.size("l").cast("long").alias("cells"), least.alias("lowest_db")))
+
+
+@query(
+    "FN15_waveforms",
+    """SELECT vec_id, round(list_max(list_transform(w, lambda x: abs(x))), 6) AS peak, len(s) AS samples, round(list_sum(list_transform(s, lambda x: abs(x))), 6) AS total
+       FROM (SELECT *, list_transform(w, lambda x: x / m) AS w1, list_slice(list_transform(w, lambda x: x / m), 6, 20) AS s FROM (
+         SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) + CAST(0.00000001 AS DOUBLE) AS m FROM embeddings))""",
+)
+def _(t):
+    e = t.raw("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    part = audio.time_slice(audio.peak_normalized(F.col("w")), F.lit(0.5), F.lit(2.0), F.lit(10.0))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.abs(x))
+    return rounded(e.select("vec_id", F.array_max(F.transform("w", lambda x: F.abs(x))).alias("peak"), F.size(part).cast("long").alias("samples"), total(part).alias("total")))
+
+
+@query("FN16_gray_difference", f"SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: abs({_A} - {_B}))) / len(a.embedding), 6) AS difference FROM {_NEXT}")
+def _(t):
+    return rounded(_vector_pairs(t).select("vec_id", audio.gray_difference(F.col("a"), F.col("b")).alias("difference")))
+
+
+@query(
+    "OR01_remaining",
+    "SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') d USING (o_orderkey)",
+)
+def _(t):
+    done = t.raw("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return runs.remaining(t.raw("orders"), done, ["o_orderkey"]).select("o_orderkey")
+
+
+@query("OR02_reusable", "SELECT o_orderkey AS item, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS reusable FROM orders")
+def _(t):
+    n = F.col("o_orderkey")
+    items = t.raw("orders").select(n.alias("item"), F.concat(F.lit("/videos/"), n.cast("string")).alias("path"), (n * 11).alias("size_bytes"), (n * 13).alias("mtime_ns"))
+    k = F.col("item")
+    before = items.withColumn("size_bytes", F.when(k % 5 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    before = before.withColumn("mtime_ns", F.when(k % 7 == 0, F.col("mtime_ns") - 1).otherwise(F.col("mtime_ns")))
+    past = before.withColumn("status", F.when(k % 3 == 0, "running").otherwise("complete"))
+    return runs.reusable(items, past, ["item"]).select("item", "reusable")
+
+
+def _counted(pdf):
+    video = int(pdf.video_id.iloc[0])
+    if video == 3:
+        raise ValueError(f"bad video {video}")
+    return pdf.groupby("video_id", as_index=False).agg(boxes=("frame", "size"), last_frame=("frame", "max"))
+
+
+@query(
+    "OR03_failure_isolation",
+    """SELECT video_id, CASE WHEN video_id <> 3 THEN count(*) END AS boxes, CASE WHEN video_id <> 3 THEN max(frame) END AS last_frame, CASE WHEN video_id = 3 THEN 'ValueError' END AS error,
+       CASE WHEN video_id = 3 THEN 'bad video 3' END AS details FROM tracks GROUP BY video_id""",
+    "tracks",
+)
+def _(t):
+    return runs.isolated(t.tracks.select("video_id", "frame"), ["video_id"], _counted, "video_id long, boxes long, last_frame long")
+
+
+@query("OR03_missing_inputs", "SELECT video_id, 'missing_required_files' AS error, CASE WHEN video_id = 0 THEN 'predictions.csv;tracks.csv' ELSE 'tracks.csv' END AS details FROM (SELECT DISTINCT video_id FROM tracks) WHERE video_id < 2", "tracks")
+def _(t):
+    files = t.videos.select("video_id", F.explode(F.array(F.lit("predictions.csv"), F.lit("tracks.csv"), F.lit("notes.txt"))).alias("name"))
+    files = files.where("not (video_id = 0 and name <> 'notes.txt') and not (video_id = 1 and name = 'tracks.csv')")
+    return runs.missing_inputs(t.videos, files, ["video_id"], ["tracks.csv", "predictions.csv"])
+
+
+@query("OR04_run_metadata", "SELECT 'tracks' AS stage, 'complete' AS status, count(*) AS rows, max(frame) AS last_frame FROM tracks", "tracks")
+def _(t):
+    stage = runs.Stage("tracks", {"last_frame": F.max("frame")})
+    r = stage.run(t.tracks, lambda df: df.write.format("noop").mode("overwrite").save())
+    return t.spark.createDataFrame([(r["stage"], r["status"], r["rows"], r["last_frame"])], "stage string, status string, rows long, last_frame long")
+
+
+@query(
+    "SRC08_mot_truth",
+    """SELECT concat_ws(',', frame + 1, video_id * 100 + ident, x1, y1, x2 - x1, y2 - y1, 1, 1, 1) AS value FROM truth WHERE ident % 2 = 0 AND frame % 5 <> 0""",
+    "truth",
+)
+def _(t):
+    from .sources.cvat import truth_rows
+    from .sources.mot import mot_lines
+
+    said = F.array(F.struct(F.lit("vocalization").alias("_name"), F.col("state").alias("_VALUE")))
+    box = F.struct(F.col("frame").alias("_frame"), (F.col("frame") % 5 == 0).cast("int").alias("_outside"), *[F.col(c).alias(n) for c, n in zip(J.BOX, ("_xtl", "_ytl", "_xbr", "_ybr"), strict=True)], said.alias("attribute"))
+    annotated = t.truth.groupBy("video_id", "ident").agg(F.collect_list(box).alias("box"))
+    label = F.when(F.col("ident") % 2 == 0, "Dog").otherwise("cat")
+    return mot_lines(truth_rows(annotated.select((F.col("video_id") * 100 + F.col("ident")).cast("string").alias("_id"), label.alias("_label"), "box")), truth=True)
+
+
+@query("SRC10_lookup_video", "SELECT 'clip-' || lpad(CAST(o_custkey % 60 AS VARCHAR), 4, '0') AS video_id, o_orderkey AS row_no FROM orders WHERE o_custkey % 60 = 42 ORDER BY o_orderkey LIMIT 1")
+def _(t):
+    from .sources.files import lookup_video
+
+    catalog = t.raw("orders").select(F.format_string("clip-%04d", F.col("o_custkey") % 60).alias("video_id"), F.col("o_orderkey").alias("row_no"))
+    return lookup_video(catalog, "video_0042")
+
+
+@query(
+    "SRC12_clip_of_event",
+    """SELECT 'e' || event_id || '_clip' || (event_id % 130) AS event_id, folder
+       FROM events JOIN (SELECT i AS n, CASE i % 3 WHEN 0 THEN lpad(CAST(i AS VARCHAR), CAST(greatest(2, length(CAST(i AS VARCHAR))) AS INTEGER), '0') WHEN 1 THEN CAST(i AS VARCHAR) ELSE lpad(CAST(i AS VARCHAR), 3, '0') END AS folder FROM range(100) t(i)) c
+       ON c.n = event_id % 130""",
+)
+def _(t):
+    from .sources.cvat import clip_of
+
+    n = F.col("id")
+    folder = F.when(n % 3 == 0, F.format_string("%02d", n)).when(n % 3 == 1, n.cast("string")).otherwise(F.format_string("%03d", n))
+    e = t.raw("events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit("_clip"), (F.col("event_id") % 130).cast("string")).alias("event_id"))
+    return clip_of(e, t.spark.range(100).select(folder.alias("folder"))).select("event_id", "folder")
+
+
+@query("SRC13_manifest_clips", "SELECT event_id, event_id * 7 AS clip_start_frame FROM events WHERE event_id % 4 <> 0")
+def _(t):
+    from .sources.cvat import manifest_clips
+
+    e = t.raw("events").select("event_id")
+    return manifest_clips(e, e.where("event_id % 4 <> 0").withColumn("clip_start_frame", F.col("event_id") * 7)).select("event_id", "clip_start_frame")
+
+
+@query("SRC15_video_meta", "SELECT p_partkey AS video_id, p_size % 4 <> 0 AND p_partkey % 9 <> 0 AS valid, round(CASE WHEN p_size % 4 <> 0 AND p_partkey % 9 <> 0 THEN (p_partkey % 9) * 100 / CAST((p_size % 4) * 10 AS DOUBLE) END, 6) AS duration_sec FROM part")
+def _(t):
+    from .sources.files import video_meta
+
+    meta = t.raw("part").select(F.col("p_partkey").alias("video_id"), ((F.col("p_size") % 4) * 10).cast("double").alias("fps"), F.lit(640).alias("width"), F.lit(480).alias("height"), ((F.col("p_partkey") % 9) * 100).alias("frames"))
+    return rounded(video_meta(meta).select("video_id", "valid", "duration_sec"))
+
+
+@query("SNK06_embedding_table", "SELECT video_id, 'track_' || track_id AS name, len(v) AS dims, round(CAST(CAST(v[1] AS FLOAT) AS DOUBLE), 4) AS first FROM emb", "emb")
+def _(t):
+    from .sources.files import embedding_table
+
+    return rounded(embedding_table(t.emb).select("video_id", "name", F.size("vector").cast("long").alias("dims"), F.get("vector", F.lit(0)).cast("double").alias("first")), 4)
+
+
+@query("SNK08_report", "SELECT printf('events: %d, users: %d, largest value: %.2f', count(*), count(DISTINCT user_id), max(value)) AS value FROM events")
+def _(t):
+    from .sources.files import report
+
+    row = t.raw("events").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.max("value").alias("largest"))
+    return report(row, "events: %d, users: %d, largest value: %.2f", "events", "users", "largest")
+
+
+@query(
+    "SS02_bursts",
+    """SELECT video_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (
+         SELECT *, sum(CASE WHEN gap IS NULL OR gap > 601000000 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (
+           SELECT user_id % 5 AS video_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id % 5 ORDER BY ts) AS gap FROM events)) GROUP BY video_id, burst""",
+)
+def _(t):
+    from .streaming.windows import bursts
+
+    e = t.raw("events").select((F.col("user_id") % 5).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return bursts(e, "601 seconds").select("video_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir))) for name, plan in _QUERIES.items()}
 

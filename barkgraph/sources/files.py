@@ -73,3 +73,26 @@ def write_json(df: DataFrame, path: str) -> None:
 def report(row: DataFrame, template: str, *columns: str) -> DataFrame:
     """One line of text for each row."""
     return row.select(F.format_string(template, *columns).alias("value"))
+
+
+def video_meta(videos: DataFrame) -> DataFrame:
+    """videos (fps, width, height, frames) with valid and duration_sec, which is null for invalid ones."""
+    valid = F.coalesce((F.col("fps") > 0) & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("frames") > 0), F.lit(False))
+    return videos.withColumn("valid", valid).withColumn("duration_sec", F.when(valid, F.col("frames") / F.when(F.col("fps") > 0, F.col("fps"))))
+
+
+def checked_meta(videos: DataFrame) -> DataFrame:
+    """As video_meta; an invalid video is an error."""
+    said = F.concat(F.lit("invalid video metadata of "), F.col("video_id").cast("string"))
+    df = video_meta(videos)
+    return df.withColumn("duration_sec", F.when(F.col("valid"), F.col("duration_sec")).otherwise(F.raise_error(said).cast("double"))).drop("valid")
+
+
+def embedding_table(vectors: DataFrame, prefix: str = "track") -> DataFrame:
+    """(video_id, name, vector) of vectors (video_id, track_id, v): one named array of floats for each track."""
+    return vectors.select("video_id", F.format_string(f"{prefix}_%d", F.col("track_id")).alias("name"), F.col("v").cast("array<float>").alias("vector"))
+
+
+def write_embeddings(vectors: DataFrame, path: str, prefix: str = "track") -> None:
+    """The embedding table as compressed Parquet, one folder for each video."""
+    embedding_table(vectors, prefix).write.mode("overwrite").option("compression", "zstd").partitionBy("video_id").parquet(path)

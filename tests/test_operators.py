@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barkgraph.config import FROZEN, FusionConfig
+from barkgraph.functions import audio
 from barkgraph.functions import temporal as T
-from barkgraph.operators import assign, mot, profiles, trackers
+from barkgraph.functions import text as X
+from barkgraph.operators import assign, evaluation, mot, profiles, runs, trackers
 from barkgraph.operators import joins as J
+from barkgraph.operators import profiles as P
 from barkgraph.operators import rows as R
+from barkgraph.operators import tracks as K
 from barkgraph.operators.fusion import FusionState, fold
 from barkgraph.sources import cvat, files
 from barkgraph.sources.mot import mot_lines, parse_mot
@@ -270,3 +275,199 @@ def test_model_stage_is_deterministic(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
     one, two = ({r.id: r.v for r in encoded(df.repartition(n), ["id", "k"], HashEncoder).collect()} for n in (1, 3))
     assert one == two and abs(sum(x * x for x in one[1]) - 1) < 1e-9
+
+
+# --- filters and trackers as computed by hand --------------------------------------------------------------------
+
+def at(x, size=30.0):
+    return np.array([x - size / 2, 0.0, x + size / 2, size])
+
+
+def test_shape_filter_by_hand():
+    """The first correction has no weight; then gains 1/2 and 1.51/2.51, and 0.01/2.51 for the velocity."""
+    t = trackers._Track(1, trackers.ShapeFilter(at(25)), at(25), None)
+    t.see(at(99), None)
+    assert t.filter.state[0] == 25
+    for x, want, speed in ((27, 26.0, 0.0), (29, 26 + 3 * 1.51 / 2.51, 3 * 0.01 / 2.51)):
+        t.predict()
+        t.see(at(x), None)
+        assert abs(t.filter.state[0] - want) < 1e-9 and abs(t.filter.state[4] - speed) < 1e-9
+    assert np.allclose(t.filter.box()[[1, 3]], [0, 30])
+
+
+def test_size_filter_waits_for_a_prediction():
+    f = trackers.SizeFilter(at(10))
+    f.correct(f.measure(at(50)))
+    assert f.state[0] == 10
+    f.predict()
+    f.correct(f.measure(at(50)))
+    assert abs(f.state[0] - (10 + 40 * 0.5 / 0.55)) < 1e-9  # its spread is gone after the first correction
+
+
+def test_sort_counts_hits_in_a_row():
+    t, one = trackers.Sort(), np.array([0.9])
+    out = [t.step(at(10 + f)[None] if f not in (6, 7) else np.zeros((0, 4)), one if f not in (6, 7) else np.zeros(0), None, f) for f in range(12)]
+    assert [len(x) for x in out] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 1, 1]  # seen again after two frames, it needs three in a row
+    assert {i for x in out for _, i in x} == {1}
+
+
+def test_thresholds_of_the_two_stage_trackers():
+    boxes = np.array([at(0), at(200), at(400), at(600)])
+    assert [i for i, _ in trackers.Byte().step(boxes, np.array([0.75, 0.65, 0.3, 0.05]), None)] == [0]
+    assert [i for i, _ in trackers.BotSort().step(boxes, np.array([0.75, 0.65, 0.3, 0.05]), None)] == [0, 1]
+    t = trackers.Byte()
+    t.step(boxes[:1], np.array([0.9]), None)
+    assert t.step(boxes[:1] + 2, np.array([0.2]), None) == [(0, 1)]  # a weak box keeps a track
+
+
+def test_stable_ids_follow_the_detector_while_boxes_overlap():
+    t, score = trackers.Stable(), np.array([0.9])
+    assert t.step(at(0)[None], score, None, 1, [7]) == [(0, 1)]
+    assert t.step(at(5)[None], score, None, 2, [7]) == [(0, 1)]
+    assert t.step(at(500)[None], score, None, 3, [7]) == [(0, 2)]  # the detector's id jumped to another place
+    assert t.step(np.array([at(500), at(6)]), np.array([0.9, 0.9]), None, 4, [7, 8]) == [(0, 2), (1, 1)]
+    a = np.array([[1.0, 0.0]])
+    t = trackers.Stable()
+    t.step(at(0)[None], score, a, 1, [1])
+    t.step(np.zeros((0, 4)), np.zeros(0), np.zeros((0, 2)), 40, [])
+    assert t.lost and t.step(at(300)[None], score, a, 41, [2]) == [(0, 1)]  # lost, and found by its looks
+
+
+# --- merging, gaps, brackets -------------------------------------------------------------------------------------
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.booleans()), max_size=25), st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=12))
+def test_partition_as_labels(joins, blocked):
+    """Union-find with vetoes gives what plain relabelling gives."""
+    blocked = {(a, b) for a, b in blocked if a != b}
+    state, label = P.Partition(blocked), {x: x for x in range(10)}
+    for a, b, free in joins:
+        la, lb = label[a], label[b]
+        across = any({label[x], label[y]} == {la, lb} for x, y in blocked) if la != lb else False
+        ra, rb = state.find(a), state.find(b)
+        assert (ra != rb) == (la != lb) and (ra == rb or state.apart(ra, rb) == across)
+        if la != lb and (free or not across):
+            state.join(ra, rb)
+            label = {x: min(la, lb) if v in (la, lb) else v for x, v in label.items()}
+    assert all(state.label(x) == v for x, v in label.items())
+
+
+def test_frame_gaps_as_all_pairs(spark):
+    rnd = np.random.default_rng(3)
+    rows = sorted({(v, int(t), int(f)) for v in range(2) for t in range(6) for f in rnd.choice(60, 8) + 25 * (t % 3)})
+    df = spark.createDataFrame([(v, t, f, 0.0, 0.0, 1.0, 1.0) for v, t, f in rows], "video_id long, track_id long, frame long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.video_id, r.l, r.r): r.nearest_frame_gap for r in K.frame_gaps(df).collect()}
+    want = {}
+    for v, t, f in rows:
+        for w, u, g in rows:
+            if v == w and t < u:
+                want[v, t, u] = min(want.get((v, t, u), 999), abs(f - g))
+    assert got == want
+
+
+def test_brackets_are_linear(spark):
+    """One key with many rows and questions ends in time, and both neighbours are right."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 4).alias("frame"), F.col("id").cast("double").alias("v"))
+    asks = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("q"), (F.col("id") * 4 + F.col("id") % 4).alias("at"))
+    began = time.monotonic()
+    got = J.bracketed(asks, rows, ["k"], "at", "frame", ["v"])
+    wrong = got.where("prev.frame <> at - at % 4 or coalesce(next.frame, -1) <> case when at % 4 = 0 then at when at > 4 * 99999 then -1 else at - at % 4 + 4 end")
+    assert wrong.count() == 0 and time.monotonic() - began < 60
+
+
+# --- inputs, runs, features --------------------------------------------------------------------------------------
+
+def test_evaluators_inputs(spark):
+    raw = spark.createDataFrame([(5, "7", "1.5", "2"), (6, "x", "1", "2"), (9, "8", "", "3"), (200_001, "9", "4", "5")], "n long, predicted_track_id string, start_time_sec string, end_time_sec string")
+    got = sorted((r.event_id, r.pred_track_id, r.start, r.end) for r in evaluation.localized_predictions(raw, "n").collect())
+    assert got == [("event_000000", 7, 1.5, 2.0), ("event_000003", 9, 4.0, 5.0)]
+    kept = evaluation.event_predictions(raw.withColumnRenamed("n", "Bark_ID").where("start_time_sec <> ''")).collect()
+    assert [(r.event_id, r.predicted_track_id, r.status) for r in sorted(kept, key=lambda r: r.event_id)] == [("200001", 9.0, "predicted"), ("5", 7.0, "predicted"), ("6", None, "predicted")]
+    with pytest.raises(KeyError):
+        evaluation.event_predictions(raw)
+    a = spark.createDataFrame([(0, 1.0, 2.0, "d")], "n long, start double, end double, dog_id string")
+    a, b = evaluation.identity_events(a, "gt", evaluation.DOG, "n"), evaluation.identity_events(a.withColumn("video", F.lit("v1")), "pred", evaluation.DOG, "n")
+    assert [r.video_id for r in evaluation.same_video(a, b).collect()] == ["v1"] == [r.video_id for r in evaluation.same_video(b, a).collect()]
+    two = b.unionByName(b.withColumn("video_id", F.lit("v2")))
+    assert [r.video_id for r in evaluation.same_video(a, two).collect()] == [evaluation.SINGLE]
+
+
+def test_rows_are_numbered_across_classes(spark):
+    df = spark.range(1000).select((F.col("id") * 977 % 10007).alias("n"))
+    got = [r.i for r in R.numbered(df, "n", "i", 100).orderBy("n").collect()]
+    assert got == list(range(1000))
+
+
+def test_json_text(spark):
+    import json
+
+    values = [0.0, 1.0, 0.25, 0.00005, 0.00012345, 1e-8, 0.123456789, 12.5, -0.5]
+    df = spark.createDataFrame([(values, [("12", 0.5), ("3", 0.000012)])], "v array<double>, m array<struct<k:string,v:double>>")
+    r = df.select(X.json_list(F.col("v")).alias("a"), X.json_map(F.col("m")).alias("b")).first()
+    assert r.a == json.dumps([round(x, 8) for x in values]) and r.b == json.dumps({"12": 0.5, "3": 0.000012}, sort_keys=True)
+
+
+def test_drawn_boxes(spark):
+    t = spark.createDataFrame([(0, 1, f, float(f), 0.0, f + 10.0, 10.0) for f in (5, 9, 40)], "video_id long, track_id long, frame long, x1 double, y1 double, x2 double, y2 double")
+    shown = spark.createDataFrame([(0, 6, 3, 1), (0, 7, 3, 1)], "video_id long, frame long, event_id long, predicted_track_id long")
+    scores = spark.createDataFrame([(0, 3, 1, 0.75)], "video_id long, event_id long, track_id long, mean_score double")
+    got = {r.frame: r for r in evaluation.draw_list(t, shown, scores, 3, 42, 100, 100).collect()}
+    assert sorted(got) == [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 37, 38, 39, 40, 41]
+    assert [got[f].x1 for f in (2, 5, 7, 12, 37, 41)] == [5, 5, 7, 9, 40, 40]
+    assert (got[6].label, got[6].winner, got[6].line, got[5].label, got[7].line) == ("BARKING | dog #1 | 0.750", True, 2, "dog #1", 2)
+
+
+def test_runs_resume_reuse_and_isolate(spark):
+    items = spark.createDataFrame([(i, f"/v{i}", 10, 5) for i in range(4)], "item long, path string, size_bytes long, mtime_ns long")
+    past = items.where("item < 3").withColumn("mtime_ns", F.when(F.col("item") == 1, 6).otherwise(5).cast("long")).withColumn("status", F.when(F.col("item") == 2, "failed").otherwise("complete"))
+    assert {r.item: r.reusable for r in runs.reusable(items, past, ["item"]).collect()} == {0: True, 1: False, 2: False, 3: False}
+    assert {r.item for r in runs.remaining(items, past, ["item"]).collect()} == {3}
+    assert runs.remaining(items, past, ["item"], force=True).count() == 4
+
+    def broken(pdf):
+        if pdf["item"].iloc[0] == 2:
+            raise RuntimeError("no frames")
+        return pdf[["item"]].assign(n=len(pdf))
+
+    out = runs.isolated(items, ["item"], broken, "item long, n long")
+    assert {r.item for r in runs.results(out).collect()} == {0, 1, 3}
+    assert [tuple(r) for r in runs.failures(out, ["item"]).collect()] == [(2, "RuntimeError", "no frames")]
+    stage = runs.Stage("copy", {"largest": F.max("item")})
+    assert stage.run(items, lambda df: df.write.format("noop").mode("overwrite").save()) | {"seconds": 0} == {"stage": "copy", "status": "complete", "error": None, "rows": 4, "largest": 3, "seconds": 0}
+    with pytest.raises(ZeroDivisionError):
+        stage.run(items, lambda df: 1 / 0)
+    assert (stage.record["status"], stage.record["error"]) == ("failed", "ZeroDivisionError")
+
+
+def test_spectra_as_plain_sums(spark):
+    rnd = np.random.default_rng(1)
+    wave = np.sin(np.arange(4000) * 0.3) + 0.1 * rnd.normal(size=4000)
+    power = audio.mel_power(wave, 16000, 400, 160, 80)
+    padded, k = np.pad(wave, 200), np.arange(201)[:, None] * np.arange(400)[None] / 400
+    hann = 0.5 * (1 - np.cos(2 * np.pi * np.arange(400) / 400))
+    frame = padded[160 * 7 : 160 * 7 + 400] * hann
+    spectrum = np.abs((frame * np.exp(-2j * np.pi * k)).sum(axis=1)) ** 2
+    assert power.shape == (80, 26) and np.allclose(power[:, 7], audio.mel_filters(16000, 400, 80) @ spectrum)
+    loudest = np.fft.rfftfreq(400, 1 / 16000)[spectrum.argmax()]
+    filters = audio.mel_filters(16000, 400, 80)
+    assert abs(np.fft.rfftfreq(400, 1 / 16000)[filters[power[:, 7].argmax()].argmax()] - loudest) < 100
+    x = audio.log_mel(wave)
+    assert x.shape == (200, 80) and x[:26].max() == 0 and (x[26:] == 0).all() and x.min() >= -80
+    assert audio.log_mel(np.tile(wave, 20)).shape == (200, 80) and audio.mfcc(wave).shape == (80,)
+    df = spark.createDataFrame([(wave.tolist(),), ([],), (None,)], "w array<double>")
+    got = [r.m for r in df.select(audio.mfcc_column(F.col("w")).alias("m")).collect()]
+    assert np.allclose(got[0], audio.mfcc(wave)) and got[1:] == [None, None]
+    r = df.limit(1).select(audio.peak_normalized(F.col("w")).alias("p"), audio.time_slice(F.col("w"), F.lit(-1.0), F.lit(0.01), F.lit(16000.0)).alias("s")).first()
+    assert abs(max(map(abs, r.p)) - 1) < 1e-6 and r.s == wave[:160].tolist()
+
+
+def test_video_metadata_and_embeddings(spark, tmp_path):
+    from barkgraph.sources.files import checked_meta, video_meta, write_embeddings
+
+    v = spark.createDataFrame([(1, 25.0, 640, 480, 100), (2, 0.0, 640, 480, 100), (3, None, 1, 1, 1)], "video_id long, fps double, width int, height int, frames long")
+    assert [(r.valid, r.duration_sec) for r in video_meta(v).orderBy("video_id").collect()] == [(True, 4.0), (False, None), (False, None)]
+    with pytest.raises(Exception, match="invalid video metadata of 2"):
+        checked_meta(v).where("video_id = 2").collect()
+    e = spark.createDataFrame([(1, 4, [0.5, 1.0])], "video_id long, track_id long, v array<double>")
+    write_embeddings(e, f"{tmp_path}/e")
+    assert [(r.video_id, r.name, r.vector) for r in spark.read.parquet(f"{tmp_path}/e").collect()] == [(1, "track_4", [0.5, 1.0])]
