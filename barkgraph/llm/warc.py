@@ -6,7 +6,7 @@ refer to it; smaller payloads are always responses. A task writes archives of at
 its own attempt; only names that a finished task returns count, so lost or repeated tasks leave nothing that
 is read. Records are gzip members (.warc.gz) or plain (.warc).
 
-Reading. Archives are scanned in ranges of SPLIT_BYTES. Wherever a range has a record's magic a task parses what
+Reading. Archives are scanned in ranges of SPLIT_BYTES, dealt evenly to tasks. Wherever a range has a record's magic a task parses what
 stands there and emits the candidate with its successor's offset; the magic may as well stand inside a
 payload. Per archive, pointer jumping from offset 0 then marks the candidates that the chain of records
 reaches, in a logarithmic number of array steps, and all others go. An archive whose chain doesn't end at its
@@ -36,6 +36,8 @@ from .common import arrow_map, cut, scratch
 REVISIT_FROM = 1000
 ARCHIVE_BYTES = 256 << 20
 SPLIT_BYTES = 8 << 20
+#: Ranges that a task reads at most, where there are more of them than twice the cores.
+RANGES_PER_TASK = 16
 #: Payloads that occur again, up to which their digests are sent to all tasks (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 LEVEL = 3
@@ -205,7 +207,10 @@ def candidates(archives: DataFrame) -> DataFrame:
     """(path, bytes, offset, next, fields of the record) for every place that may start a record."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(SPLIT_BYTES).cast("long"))
     splits = archives.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-    splits = splits.repartition(F.col("path"), F.col("start"))
+    # a stated number, which adaptive execution leaves alone: the rows are tiny, what they name is not
+    ranges = archives.agg(F.sum(F.ceil(F.col("bytes") / SPLIT_BYTES))).first()[0] or 1
+    least = 2 * archives.sparkSession.sparkContext.defaultParallelism
+    splits = splits.repartition(max(min(ranges, least), -(-ranges // RANGES_PER_TASK)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
