@@ -8,8 +8,10 @@ by the most sensitive name it reaches, its length, its alphabet and its entropy.
 
 A value may stand on a later line: line ends are soft after an operator, an opening bracket or a backslash, and
 before a +. Brackets are seen through, to every literal of a list that is not itself a name; arguments of a call are
-not. Strings in triple quotes or backticks and PEM blocks span lines; what is inside them is lexed too. A text is
-scanned whole, and every value once, so cost is linear in its length. Null and
+not. Strings in triple quotes or backticks and PEM blocks span lines; what is inside them is lexed too. XML elements
+(<name>value</name>) and settings (<add key="name" value="value"/>) are pairs, and strings that are escaped inside
+another string (\\"name\\": \\"value\\") are lexed as if they were not. A text is scanned whole, every value once, and no quote
+is followed where none closes it, so cost is linear in its length. Null and
 empty texts have no spans. Offsets are code points, end exclusive. Repeated rows give repeated results, a
 null doc_id stays null, and other columns are ignored.
 """
@@ -41,10 +43,15 @@ SENSITIVE = {
 #: Score from which a literal is a secret.
 THRESHOLD = 4.0
 
-_TOKEN = re.compile(
-    r"""(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<bare>[A-Za-z0-9+/_.=@!%&*~^#-]{6,})|(?P<skip>[^\S\n]+|\\[^\S\n]*\n)|(?P<nl>\n)|(?P<other>.)""",
-    re.A,
+_STRINGS = {'"': r'"(?:\\.|[^"\\\n])*"|', "'": r"'(?:\\.|[^'\\\n])*'|"}
+_REST = (
+    r"""`[^`\n]*`)|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<bare>[A-Za-z0-9+/_.=@!%&*~^#-]{6,})|(?P<skip>[^\S\n]+|\\[^\S\n]*\n)|(?P<nl>\n)|(?P<other>.)"""
 )
+#: Tokens where a string in double, and one in single quotes can still be closed, or can't.
+_TOKENS = {(d, s): re.compile(f"(?P<str>{_STRINGS['"'] * d}{_STRINGS["'"] * s}{_REST}", re.A) for d in (True, False) for s in (True, False)}
+_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)([^<>]*)>([^<>]*)")
+_ATTRIBUTE = re.compile(r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.A)
+_ESCAPED = re.compile(r'\\"([^"\\\n]*)\\"')
 _LONG = re.compile(r'''"{3}(?P<double>.*?)"{3}|'{3}(?P<single>.*?)'{3}|`(?P<tick>[^`]*)`|["']?(?P<pem>-----BEGIN [A-Z0-9 ]+-----(?:(?!-----).)*-----END [A-Z0-9 ]+-----)''', re.A | re.S)
 _PEM_EDGE = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----", re.A)
 _LINE_END = re.compile(r"[^\S\n]*\n\s*", re.A)
@@ -88,9 +95,53 @@ def literal_score(value: str, weight: float) -> float:
     return weight + min(entropy(value), 4.5) / 2 + 0.4 * (kinds - 1) + (0.5 if len(value) >= 16 else 0.0) - (1.5 if kinds == 1 and len(value) < 16 else 0.0)
 
 
-def values(text: str, at: int):
+def _last_open(line: str, quote: str) -> int:
+    """Where the last quote stands that no backslash escapes; -1 if there is none."""
+    at = line.rfind(quote)
+    while at >= 0:
+        slashes = at - len(line[:at].rstrip("\\")) if line[at - 1 : at] == "\\" else 0
+        if slashes % 2 == 0:
+            return at
+        at = line.rfind(quote, 0, at - slashes)
+    return -1
+
+
+class Lexer:
+    """The tokens of a text from any place on. Each line's last closing quotes are found once."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.last = text, 0, -1, (-1, -1)
+
+    def line(self, start: int, end: int) -> tuple[int, int]:
+        if (start, end) != (self.start, self.end):
+            line = self.text[start:end]
+            last = tuple(_last_open(line, q) if "\\" in line else line.rfind(q) for q in "\"'")
+            self.start, self.end, self.last = start, end, tuple(start + x if x >= 0 else -1 for x in last)
+        return self.last
+
+    def tokens(self, at: int):
+        text, size = self.text, len(self.text)
+        while at < size:
+            inside = self.start <= at <= self.end
+            end = self.end if inside else text.find("\n", at) % (size + 1)
+            last = self.last if inside else self.line(at, end)
+            while at < min(end + 1, size):
+                live = (at <= last[0], at <= last[1])
+                for m in _TOKENS[live].finditer(text, at, min(end + 1, size)):
+                    s = m.start()
+                    if live != (s <= last[0], s <= last[1]):
+                        at = s
+                        break
+                    yield m
+                    at = m.end()
+                    if at > end + 1:
+                        break
+
+
+def values(lexer: Lexer, at: int):
     """What is assigned by the operator that ends at `at`, as (kind, value, start, end)."""
-    found, held, j = _TOKEN.finditer(text, at), [], 0
+    text = lexer.text
+    found, held, j = lexer.tokens(at), [], 0
 
     def token(j):
         while len(held) <= j:
@@ -130,9 +181,9 @@ def values(text: str, at: int):
             long = _LONG.match(text, s) if kind and value[0] in "\"'`-" and (kind != "str" or value in ('""', "''")) else None
             if long:
                 yield "lit", long.group(long.lastgroup), *long.span(long.lastgroup)
-                found, held, j, last = _TOKEN.finditer(text, long.end()), [], -1, long.end()
+                found, held, j, last = lexer.tokens(long.end()), [], -1, long.end()
                 if long.lastgroup == "pem" and text[s] in "\"'" and text[last : last + 1] == text[s]:
-                    found, last = _TOKEN.finditer(text, last + 1), last + 1
+                    found, last = lexer.tokens(last + 1), last + 1
             elif kind == "str":
                 yield "lit", value[1:-1], s + 1, e - 1
             elif kind == "bare" or kind == "name" and not value.isidentifier():
@@ -161,18 +212,39 @@ def values(text: str, at: int):
 
 def pairs(text: str):
     """Assignments as (target, kind, value, start, end): kind is lit or ref; offsets are the value's."""
-    offset = 0
+    offset, lexer, ahead = 0, Lexer(text), Lexer(text)
     for line in text.split("\n"):
         if "=" in line or ":" in line:
-            name = None
-            for m in _TOKEN.finditer(text, offset, offset + len(line)):
+            name, end = None, offset + len(line)
+            ahead.start, ahead.end, ahead.last = offset, end, lexer.line(offset, end)
+            for m in lexer.tokens(offset):
+                if m.start() >= end:
+                    break
                 if m.lastgroup == "skip":
                     continue
                 if name and m.group() in _ASSIGNS:
-                    for found in values(text, m.end()):
+                    for found in values(ahead, m.end()):
                         yield name, *found
+                    ahead.start, ahead.end, ahead.last = offset, end, lexer.last
                 name = m.group().strip("\"'`") if m.lastgroup in ("name", "str") else None
         offset += len(line) + 1
+    if "<" in text:
+        yield from _elements(text)
+
+
+def _elements(text: str):
+    """Pairs of XML: an element's name and its text, a setting's key and its value."""
+    for m in _TAG.finditer(text):
+        body = m[3].strip()
+        if body and text.startswith(f"</{m[1]}", m.end()):
+            s = m.start(3) + m[3].index(body)
+            yield m[1], "lit", body, s, s + len(body)
+        if "value" in m[2]:
+            found = {a[1].lower(): a for a in _ATTRIBUTE.finditer(m[2])}
+            name, value = found.get("key") or found.get("name"), found.get("value")
+            if name and value:
+                k = 2 if value[2] is not None else 3
+                yield name[2] or name[3] or "", "lit", value[k], m.start(2) + value.start(k), m.start(2) + value.end(k)
 
 
 def reached_weights(sources: dict[str, set[str]]) -> dict[str, float]:
@@ -192,8 +264,21 @@ def reached_weights(sources: dict[str, set[str]]) -> dict[str, float]:
 
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive name."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
+    if '\\"' in text:
+        plain, at = [], 0
+        for m in Lexer(text).tokens(0):  # a string that holds escaped ones loses its own quotes
+            if m.lastgroup == "str" and '\\"' in m.group():
+                plain += [text[at : m.start()], " ", m.group()[1:-1], " "]
+                at = m.end()
+        plain = _ESCAPED.sub(r' "\1" ', "".join(plain) + text[at:])  # as long as the text
+        if plain != text:
+            return sorted({*_reaching(text), *_reaching(plain)}, key=lambda x: x[1:])
+    return _reaching(text)
+
+
+def _reaching(text: str) -> list[tuple[str, int, int]]:
     literals: dict[tuple[int, int], tuple[str, set[str]]] = {}
     sources: dict[str, set[str]] = {}
     for target, kind, value, s, e in pairs(text):
