@@ -32,7 +32,7 @@ BUCKETS = 1 << 14
 FACTORS = 8
 BINS = 12
 EPOCHS, BATCH, RATE, DECAY = 8, 128, 0.02, 2e-4
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 PREDICT = 0.3
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”’‘…–—¿¡"
@@ -49,7 +49,7 @@ class Buckets(dict):
         core = word.strip(_EDGE)
         rest = word.replace(core, " ", 1) if core else word
         a = zlib.crc32(core.encode()) % BUCKETS if core else BUCKETS
-        b = zlib.crc32(b"\0" + rest[:8].encode()) % BUCKETS if rest.strip() else BUCKETS
+        b = zlib.crc32(b"\0" + rest.encode()) % BUCKETS if rest.strip() else BUCKETS
         v = self[word] = a * (BUCKETS + 1) + b
         return v
 
@@ -150,12 +150,13 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> Model:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, size: int) -> tuple[list, list]:
     """Texts and labels of at most size documents, those with the smallest hash of doc_id; learn: a condition on
-    doc_id for the rows that may be learnt from."""
+    doc_id for the rows that may be learnt from. Of rows that repeat a doc_id the smallest text counts."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     # at most `size` ids and integers: a bounded broadcast
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    got = sorted(texts.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    got = sorted(texts.toArrow().to_pylist(), key=lambda r: r["doc_id"])
     return [r["text"] for r in got], [r["y"] for r in got]
 
 

@@ -2,8 +2,8 @@
 
 The lexicon holds a short fixed list and the words and word beginnings that labelled documents single out.
 The trie of its terms and the Levenshtein automata of all of them (one error from five letters, two from
-nine) are intersected lazily: a state is a set of (trie node, errors), made once and kept, so a
-word costs a dictionary look-up for each of its letters. Each term has a weight for exact and one for
+nine) are intersected lazily: a state is a set of (trie node, errors), made once and kept (STATES at most, then all are
+made anew), so a word costs a dictionary look-up for each of its letters, up to the one at which no term is near. Each term has a weight for exact and one for
 misspelled occurrences, both log-odds with a prior.
 
 Around each hit a window of words tells quotation from abuse: quotation marks and reporting words move the
@@ -34,7 +34,8 @@ LEXICON_SHARE = 0.65
 #: Terms kept at most, letters of a word beginning, documents that must have a term.
 TERMS, STEMS, LEAST_DOCS = 400, (5, 6, 7, 8, 9), 5
 WINDOW = 12
-CACHED_WORDS = 400_000
+#: Words and states of the automaton that a task remembers; beyond them both are made anew.
+CACHED_WORDS, STATES = 100_000, 50_000
 PREDICT = 0.3
 #: Terms known before any label is read.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
@@ -73,6 +74,9 @@ class Automaton:
             self.term[at] = t
             reach[at] = max(reach[at], k)
         self.reach = reach  # errors that a term below the node allows
+        self._clear()
+
+    def _clear(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -108,6 +112,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The closest term (ties: the first in order) and its distance, or None."""
+        if len(self.sets) > STATES:
+            self._clear()
         at, follow, sets = self.first, self.next, self.sets
         for c in word:
             to = follow[at].get(c)
@@ -132,7 +138,7 @@ class Lexicon:
         if core in self.exact:
             return core, self.exact[core]
         best = max(((s, self.stems[s]) for k in self.lengths if (s := core[:k]) in self.stems), key=lambda x: x[1], default=None)
-        near = self.automaton.match(core) if len(core) <= 40 else None
+        near = self.automaton.match(core)
         if near and near[1] and (best is None or self.fuzzy[near[0]] > best[1]):
             return near[0], self.fuzzy[near[0]]
         return best
@@ -230,7 +236,7 @@ def lexicon_of(texts: list[str | None], labels: list[int]) -> Lexicon:
     near_pos, near_neg = Counter(), Counter()
     for words, out in ((pos, near_pos), (neg, near_neg)):
         for w, n in words.items():
-            m = lexicon.automaton.match(w) if 3 < len(w) <= 40 and w not in exact else None
+            m = lexicon.automaton.match(w) if len(w) > 3 and w not in exact else None
             if m and m[1]:
                 out[m[0]] += n
     fuzzy = {}
