@@ -1,11 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame functions only.
 
 A test item is short and the document that quotes it may be long, so their resemblance says nothing; what
-counts is the share of the item's five-word shingles that the document holds. Items are partitioned by their
-number of shingles, in powers of two. An item's signature is its smallest shingle hashes: as many as the largest
-item of its partition could lack at the threshold, and one more. A document that contains at least the
-threshold's share must hold one of them, so the candidate search loses nothing, whatever the document's length.
-Candidates are verified by exact containment of the items' shingle sets.
+counts is the share of the item's five-word shingles that the document holds. Both sides are partitioned by their
+number of distinct shingles, in powers of two.
+  * An item of n shingles may lack `lacks` of them at the threshold. Its signature is its lacks + h smallest
+    shingle hashes, where its size partition fixes h; a document at the threshold holds at least h of them, which is the
+    containment that the signature estimates, as a bound that no such document misses.
+  * A document's signature is its shingle hashes up to a cut-off: the largest one in the signatures of those items that a
+    document of its size partition can hold. So short documents look for short items only.
+  * Candidates, documents whose signature meets h hashes of an item's, are verified by exact containment.
 
 Words are the runs outside space and 0x09-0x0D of the lower-cased text. An item of fewer than five words is a
 single shingle of its own length, looked for among the document's shingles of that length. Items without words
@@ -18,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 WORDS = 5
 #: Containment from which a document is contaminated, in percent.
 PERCENT = 75
-#: Signature rows, or candidate documents, up to which they are sent to all tasks (under 50 bytes each).
-BROADCAST_ROWS = 500_000
+#: An item of a size partition must be met by a hash for each so many shingles of the partition's smallest.
+PER_HIT = 8
+#: Shingles of all items up to which they are sent to all tasks with the candidates (8 bytes each).
+BROADCAST_SHINGLES = 4_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -40,11 +45,6 @@ def shingles(words: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.lit(width), *[F.get(words, i + k) for k in range(width)]))
 
 
-def bounded(df: DataFrame, key: str | None = None) -> DataFrame:
-    """df with a broadcast hint if it is small; otherwise the join shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def items_of(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, width, shingles, n): item numbers the rows, as ids may repeat or be null."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
@@ -57,12 +57,30 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def signatures(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(item, hash): each item's smallest hashes, their number by the item's size partition."""
-    part = F.floor(F.log2("n"))
-    largest = items.groupBy(part.alias("part")).agg(F.max("n").alias("most"))
-    sized = items.withColumn("part", part).join(F.broadcast(largest), "part")  # one row for each power of two
-    lacks = F.floor(F.col("most") * (100 - percent) / 100).cast("int")
-    return sized.select("item", F.explode(F.slice("shingles", F.lit(1), lacks + 1)).alias("hash"))
+    """(item, width, hits, part, hash): each item's smallest hashes, how many of them a document at the threshold holds, and
+    the size partition of the smallest such document."""
+    lacks = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
+    hits = F.floor(F.pow(F.lit(2), F.floor(F.log2("n"))) / PER_HIT).cast("int")
+    sized = items.withColumn("lacks", lacks).withColumn("hits", F.greatest(F.lit(1), F.least(hits, F.col("n") - F.col("lacks"))))
+    part = F.floor(F.log2(F.col("n") - F.col("lacks"))).cast("int")
+    return sized.select("item", "width", "hits", part.alias("part"), F.explode(F.slice("shingles", F.lit(1), F.col("lacks") + F.col("hits"))).alias("hash"))
+
+
+def cutoffs(signed: DataFrame) -> dict[int, list[int | None]]:
+    """By width, for each size partition of documents the largest hash that they need."""
+    rows = signed.groupBy("width", "part").agg(F.max("hash").alias("top")).collect()  # one for each width and power of two
+    out: dict[int, list[int | None]] = {}
+    for width in sorted({r["width"] for r in rows}):
+        tops = {r["part"]: r["top"] for r in rows if r["width"] == width}
+        out[width] = [max((t for p, t in tops.items() if p <= q), default=None) for q in range(max(tops) + 1)]
+    return out
+
+
+def _signature(distinct: Column, tops: list[int | None]) -> Column:
+    """A document's distinct shingles up to the cut-off of its size partition."""
+    part = F.least(F.floor(F.log2(F.size(distinct))).cast("int"), F.lit(len(tops) - 1))
+    top = F.get(F.array(*[F.lit(t).cast("bigint") for t in tops]), part)
+    return F.filter(distinct, lambda h: h <= top)
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -74,21 +92,24 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
 def _contained(rows: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     """contained() for rows of (doc_id, text), whatever doc_id's type."""
     items = items_of(benchmark)
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # five values at most
     signed = cut(signatures(items, percent))
+    tops = cutoffs(signed)
 
-    def held(df: DataFrame) -> DataFrame:
-        hashed = df.select("doc_id", word_hashes(F.col("text")).alias("w"))
-        arrays = [shingles(F.col("w"), k) for k in widths] or [F.array().cast("array<bigint>")]
-        return hashed.select("doc_id", (F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("held"))
+    def held(df: DataFrame, short: bool) -> DataFrame:
+        arrays = [F.array_distinct(shingles(F.col("w"), k)).alias(f"s{k}") for k in tops]
+        each = df.select("doc_id", word_hashes(F.col("text")).alias("w")).select("doc_id", *arrays)
+        parts = [_signature(F.col(f"s{k}"), t) if short else F.col(f"s{k}") for k, t in tops.items()] or [F.array().cast("array<bigint>")]
+        return each.select("doc_id", (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("held"))
 
     # outer: for an inner explode the optimizer adds a filter on the array's size, pushes it below the words'
     # projection and so splits the text anew for every shingle
-    hits = held(rows).select("doc_id", F.explode_outer("held").alias("hash")).join(bounded(signed), "hash")
-    found = cut(hits.select("doc_id", "item").distinct())
+    met = held(rows, True).select("doc_id", F.explode_outer("held").alias("hash")).join(bounded(signed.select("item", "hits", "hash")), "hash")
+    found = cut(met.groupBy("doc_id", "item").agg(F.count("*").alias("met"), F.first("hits").alias("hits")).where("met >= hits").select("doc_id", "item"))
     wanted = found.select(F.col("doc_id").alias("d")).distinct()
-    again = held(rows.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"))
-    near = found.withColumnRenamed("doc_id", "d").join(bounded(items), "item")
+    again = held(rows.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi"), False)
+    whole = items.select("item", "item_id", "n", "shingles")
+    small = (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
+    near = found.withColumnRenamed("doc_id", "d").join(F.broadcast(whole) if small else whole, "item")
     both = again.join(near, F.col("doc_id").eqNullSafe(F.col("d")))
     shared = F.size(F.array_intersect("shingles", "held")).cast("long")
     out = both.select("doc_id", "item_id", F.col("n").cast("long").alias("item_shingles"), shared.alias("shared"))
