@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 CAPACITY = 2048
-#: Longest piece of a document's last part; small pieces let windows balance closely.
-PIECE = 256
+#: Longest piece of a document's last part: most documents stay whole, and windows still balance closely.
+PIECE = 512
 #: Windows in a group, and ids that a group leaves free in each of them.
-GROUP, SLACK = 64, 20
+GROUP, SLACK = 128, 20
 CLOSING_ID = 1
-#: Words, and words without their closing punctuation, whose ids a worker remembers; cores coded in one call.
-CACHED_WORDS, CACHED_CORES, CORES_AT_ONCE = 500_000, 700_000, 200
+#: Words, and words without their closing punctuation, that a generation of a worker's memory holds; cores coded in one call.
+CACHED_WORDS, CACHED_CORES, CORES_AT_ONCE = 150_000, 200_000, 200
+#: Texts on which a vocabulary shows whether the ids of a text are those of its words, one after another.
+_PROBES = ("One  two\nthree\tFOUR", "don't it's we'll", "Éçan, mentle. 12,345 x1y2 -- (a_b)", "été ÜBER naïve…", " lead and trail ", "a\n\nb", "“quoted” words: 3.14%")
 
 #: White space for Python's split that the tokenizers library takes as text, or may.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎]")
@@ -92,17 +94,44 @@ def balanced(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-class Words(dict):
-    """Ids of white-space-separated words as little-endian bytes. Pretokens never span white space, so a
-    text's ids are its words' ids one after another."""
+class Generations(dict):
+    """What was used of late: a full generation becomes the older one, from which entries come back when they are used."""
+
+    def __init__(self, size: int):
+        self.size, self.older = size, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def unknown(self, keys: set) -> list:
+        older = self.older
+        return [k for k in keys if k not in self and k not in older]
+
+    def room(self, n: int) -> None:
+        if len(self) + n > self.size:
+            self.older = dict(self)
+            self.clear()
+
+
+class Words(Generations):
+    """Ids of white-space-separated words as little-endian bytes. Where pretokens never span white space and letters are
+    lower-cased, a text's ids are its words' ids one after another; a vocabulary file that treats the probes
+    otherwise codes every text as a whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[str, bytes] = {}
+        # for lower-case words of plain letters: the same model without the patterns that would find such words
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        super().__init__(CACHED_WORDS)
+        self.cores = Generations(CACHED_CORES)
         self.tails: dict[str, bytes] = {"": b""}
+        self.by_word = True
+        self.by_word = self.encode(list(_PROBES)) == self.whole(list(_PROBES))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -113,7 +142,7 @@ class Words(dict):
         told apart by the pretokens' numbers."""
         n = CORES_AT_ONCE
         parts = [cores[i : i + n] for i in range(0, len(cores), n)]
-        for part, x in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, x in zip(parts, self.plain.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             raw = np.array(x.ids, "<u4").tobytes()
             at = (4 * np.flatnonzero(np.diff(x.word_ids, prepend=-1))).tolist()
             at.append(len(raw))
@@ -131,11 +160,8 @@ class Words(dict):
                 plain.append(w)
                 cores.append(m[1].lower())
                 tails.append(m[2])
-        new = set(cores).difference(self.cores)
-        if len(self.cores) + len(new) > CACHED_CORES:
-            self.cores.clear()
-            new = set(cores)
-        self._learn_cores(list(new))
+        self.cores.room(len(cores))
+        self._learn_cores(self.cores.unknown(set(cores)))
         ends = list(set(tails).difference(self.tails))
         self.tails.update(zip(ends, self.whole(ends), strict=True))
         self.update(zip(plain, map(bytes.__add__, map(self.cores.__getitem__, cores), map(self.tails.__getitem__, tails)), strict=True))
@@ -144,12 +170,12 @@ class Words(dict):
             self.tails = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self.whole(texts)
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        unknown = set().union(*(x for x in split if x)).difference(self.keys())
-        if len(self) + len(unknown) > CACHED_WORDS:
-            self.clear()
-            unknown = set().union(*(x for x in split if x))
-        self.learn(list(unknown))
+        words = set().union(*(x for x in split if x))
+        self.room(len(words))
+        self.learn(self.unknown(words))
         get = self.__getitem__
         return [self.whole([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
 
