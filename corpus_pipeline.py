@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barkgraph.llm import decontam, ngram_jaccard, packing, pii, toxicity
-from barkgraph.llm.common import cut, table
+from barkgraph.llm.common import cut, forget, table
 from barkgraph.llm.queries import word_vocabulary
 
 #: None: tokenizers and learnt scores have no SQL form.
@@ -52,6 +52,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    older = []
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        forget(*older)
+        older = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
