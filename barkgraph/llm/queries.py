@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, media_avi, ngram_jaccard, packing, pii, quality_fm, secrets, toxicity, warc
+from . import chat, decontam, lexical, media_avi, ngram_jaccard, packing, pii, quality_fm, secrets, toxicity, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,9 +65,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    ops = (op1_ngram_jaccard, op2_chat_rotation, op3_warc_chain, op4_packing, op5_quality_fm, op6_avi_clips, op7_toxicity, op8_pii_crf, op9_secret_lexer, op10_decontamination, pipeline)
+    ops = (op1_ngram_jaccard, op2_chat_rotation, op3_warc_chain, op4_packing, op5_quality_fm, op6_avi_clips, op7_toxicity, op8_pii_crf, op9_secret_lexer, op10_decontamination, op13_ranked_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql():
-    return {"op2_chat_rotation": chat.ORACLE, "op10_decontamination": decontam.ORACLE}
+    return {"op2_chat_rotation": chat.ORACLE, "op10_decontamination": decontam.ORACLE, "op13_ranked_search": lexical.ORACLE}
