@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barkgraph.llm import lexical
+from barkgraph.llm import lexical, negatives
 from barkgraph.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +105,63 @@ def test_search_opens_few_nodes(spark):
     assert sum(opened) <= lexical.WAVE
     flat = lexical.Tree(term, doc, np.ones(8 * 4096, np.int64), 4096)
     assert len(flat.best(np.arange(8), 1)[0]) == 4096
+
+
+# --- hard negatives ----------------------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, label int, row long, cell long, q string, `a.b` double"
+
+
+def mined(rows):
+    """By the contract's words."""
+    keep = []
+    for k, (i, v, y) in enumerate(rows):
+        if y is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        q = [math.floor(256 * float(np.float32(x))) for x in v]
+        keep.append((k, i, (y + 1) % 10 if i is not None and i % 7 == 0 else y, q))
+    out, last = [], lambda i: (i is None, i or 0)
+    for k, i, y, q in keep:
+        if i is None or i % 100:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(q, p)), *last(j), n, z, j) for n, j, z, p in keep if n != k)
+        for s, _, _, _, _, j in [x for x in scored if x[4] == y][:5]:
+            inside = [x for x in scored if x[4] != y and 30 * -s <= 100 * -x[0] <= 90 * -s][:10]
+            out += [(i, j, r, x[5], -s, -x[0]) for r, x in enumerate(inside, 1)]
+    return sorted(map(repr, out))
+
+
+def negatives_of(spark, rows):
+    df = spark.createDataFrame([(i, v, y, 1, 2, "x", 0.5) for i, v, y in rows], VECTORS)
+    return sorted(repr(tuple(r)) for r in negatives.mine(df).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+
+
+def test_registered_negatives_as_sql(spark):
+    assert len(same_as_sql(spark, "op11_hard_negatives")) > 20
+    same_as_sql(spark, "op11_hard_negatives", "/root/testdata/sf0.01")
+
+
+@pytest.mark.parametrize("cell, anchors, block", [(16_384, 2_048, 2_048), (40, 3, 7)])
+def test_negatives_as_brute_force(spark, monkeypatch, cell, anchors, block):
+    for name, value in (("CELL", cell), ("ANCHORS", anchors), ("BLOCK", block), ("BESIDE", block)):
+        monkeypatch.setattr(negatives, name, value)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(4, 6))
+    rows = [(int(i), (centre[i % 4] + rng.normal(scale=0.4, size=6)).tolist(), int(i % 5 % 3)) for i in range(0, 1500, 5)]
+    rows += [(i, [0.5, 0.5, 0.5, 0.5, 0.0, 0.0], 1) for i in range(2001, 2060)]  # one vector, many rows
+    rows += [(200, None, 1), (300, [1.0, None], 1), (400, [float("nan")] * 6, 1), (500, [float("inf")] * 6, 0), (600, [0.1] * 6, None), (None, [0.4] * 6, 2), (None, [0.4] * 6, 0)]
+    rows += [(700, [0.4], 2), (800, [], 1), (100, [0.5] * 6, 1), (100, [0.5] * 6, 1), (900, [1e30] * 6, 0)]
+    want = mined([r for r in rows if r[0] != 900 or r[1][0] != 1e30])
+    assert negatives_of(spark, rows) == want and len(want) > 300
+
+
+def test_negatives_of_few_rows(spark):
+    assert negatives_of(spark, []) == []
+    assert negatives_of(spark, [(0, [1.0], 1)]) == []
+    assert negatives_of(spark, [(0, [1.0], 1), (1, [1.0], 2), (2, [0.5], 1)]) == mined([(0, [1.0], 1), (1, [1.0], 2), (2, [0.5], 1)])
+
+
+def test_products_beyond_doubles(spark):
+    rows = [(i, [float(2**18 + i), 1.0 * i], i % 2) for i in range(1, 40)] + [(100, [2.0**18, 0.3], 1)]
+    rows += [(200 + i, [0.6 * 2**18 + i], 0) for i in range(1, 30)]
+    assert negatives_of(spark, rows) == mined(rows)
