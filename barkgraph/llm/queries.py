@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lexical, media_avi, negatives, ngram_jaccard, packing, pii, quality_fm, secrets, toxicity, warc
+from . import chat, decontam, lexical, media_avi, negatives, ngram_jaccard, packing, pii, quality_fm, secrets, suffixes, toxicity, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,9 +73,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    ops = (op1_ngram_jaccard, op2_chat_rotation, op3_warc_chain, op4_packing, op5_quality_fm, op6_avi_clips, op7_toxicity, op8_pii_crf, op9_secret_lexer, op10_decontamination, op11_hard_negatives, op13_ranked_search, pipeline)
+    ops = (op1_ngram_jaccard, op2_chat_rotation, op3_warc_chain, op4_packing, op5_quality_fm, op6_avi_clips, op7_toxicity, op8_pii_crf, op9_secret_lexer, op10_decontamination, op11_hard_negatives, op12_suffix_dedup, op13_ranked_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql():
-    return {"op2_chat_rotation": chat.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op13_ranked_search": lexical.ORACLE}
+    return {"op2_chat_rotation": chat.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_suffix_dedup": suffixes.ORACLE, "op13_ranked_search": lexical.ORACLE}

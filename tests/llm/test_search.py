@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barkgraph.llm import lexical, negatives
+from barkgraph.llm import lexical, negatives, suffixes
 from barkgraph.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -165,3 +165,80 @@ def test_products_beyond_doubles(spark):
     rows = [(i, [float(2**18 + i), 1.0 * i], i % 2) for i in range(1, 40)] + [(100, [2.0**18, 0.3], 1)]
     rows += [(200 + i, [0.6 * 2**18 + i], 0) for i in range(1, 30)]
     assert negatives_of(spark, rows) == mined(rows)
+
+
+# --- repeated strings --------------------------------------------------------------------------------------------
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=14), min_size=1, max_size=5))
+def test_linear_grouping_sorts_suffixes(texts):
+    ends, want, base = np.cumsum([len(t) for t in texts]), [], 0
+    for t in texts:
+        want += [base + i for i in sorted(range(len(t)), key=lambda i: t[i:])]
+        base += len(t)
+    assert suffixes.sorted_suffixes(np.array(sum(texts, []), np.int16), ends).tolist() == want
+
+
+def removal(texts):
+    """By the contract's words."""
+    raws = [(t or "").encode() for t in texts]
+    count = Counter(raw[i : i + 200] for raw in raws for i in range(len(raw) - 199))
+    out = []
+    for raw in raws:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 199):
+            if count[raw[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        out.append((len(raw), sum(gone), len(re.findall(b"\1+", gone)), kept))
+    return out
+
+
+def removed(spark, texts):
+    rows = suffixes.without_repeats(documents(spark, list(enumerate(texts)))).collect()
+    return [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def mutated(rng, n):
+    """Passages in new surroundings, near copies, copies, runs of one letter, umlauts."""
+    words = ["".join(rng.choice(list("abcdefghéß"), rng.integers(2, 9))) for _ in range(300)]
+    say = lambda k: " ".join(rng.choice(words, k))
+    passages = [say(k) for k in (20, 32, 33, 34, 36, 40, 80)]
+    out = []
+    for i in range(n):
+        t = say(int(rng.integers(5, 60))) + " " + passages[i % 7] + " " + say(int(rng.integers(1, 60)))
+        out.append(t)
+        if i % 3 == 0:
+            cut = int(rng.integers(0, len(t)))
+            out.append(t[:cut] + "#" + t[cut + 1 :])
+    return [*out, out[0], out[0], "w " * 700, "x" * 199, "x" * 200, "ab" * 400, passages[6] * 3, None, "", "é" * 150]
+
+
+@pytest.mark.parametrize("most, widths", [(64, (16, 1)), (2, (16, 1)), (1, (1,)), (3, (50, 7, 1))])
+def test_repeats_as_brute_force(spark, monkeypatch, most, widths):
+    monkeypatch.setattr(suffixes, "STRETCHES", most)
+    monkeypatch.setattr(suffixes, "WIDTHS", widths)
+    texts = mutated(np.random.default_rng(most), 60)
+    got, want = removed(spark, texts), removal(texts)
+    assert got == want and sum(w[1] for w in want) > 10_000 and any(w[2] > 1 for w in want)
+
+
+def test_repeats_in_parts_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HASHED", 700)
+    monkeypatch.setattr(suffixes, "SORTED", 3000)
+    texts = mutated(np.random.default_rng(9), 30)
+    texts.append(" ".join(t for t in texts if t))
+    assert removed(spark, texts) == removal(texts)
+
+
+def test_repeats_of_odd_rows(spark):
+    t = "one passage of its own " * 9 + "and an end"
+    rows = [(None, t), (None, t[1:]), (5, None), (5, t), (5, t), (6, "")]
+    got = suffixes.digests(suffixes.without_repeats(documents(spark, rows))).collect()
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == sorted([(len(t), len(t))] * 3 + [(len(t) - 1, len(t) - 1)] + [(0, 0)] * 2)
+    assert suffixes.digests(suffixes.without_repeats(documents(spark, rows).limit(0))).count() == 0
+
+
+def test_registered_repeats_as_sql(spark):
+    got = same_as_sql(spark, "op12_suffix_dedup")
+    assert (got.n_removed > 0).sum() > 10
