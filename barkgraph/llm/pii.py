@@ -259,7 +259,8 @@ def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     """Without punctuation at the edges, but with a parenthesis that opens a number."""
     while e > s and text[e - 1] in _EDGE:
         e -= 1
-    while s < e and text[s] in _EDGE and not (text[s] == "(" and ")" in text[s:e]):
+    closed = text.rfind(")", s, e)
+    while s < e and text[s] in _EDGE and not (text[s] == "(" and s < closed):
         s += 1
     return s, e
 

@@ -49,8 +49,9 @@ _REST = (
 )
 #: Tokens where a string in double, and one in single quotes can still be closed, or can't.
 _TOKENS = {(d, s): re.compile(f"(?P<str>{_STRINGS['"'] * d}{_STRINGS["'"] * s}{_REST}", re.A) for d in (True, False) for s in (True, False)}
-_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)([^<>]*)>([^<>]*)")
-_ATTRIBUTE = re.compile(r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.A)
+#: Runs are possessive: nothing that follows one of them could begin inside it.
+_TAG = re.compile(r"<([A-Za-z_][\w.:-]*+)([^<>]*+)>([^<>]*+)")
+_ATTRIBUTE = re.compile(r"""(?<![\w.:-])([\w.:-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""", re.A)
 _ESCAPED = re.compile(r'\\"([^"\\\n]*)\\"')
 _LONG = re.compile(r'''"{3}(?P<double>.*?)"{3}|'{3}(?P<single>.*?)'{3}|`(?P<tick>[^`]*)`|["']?(?P<pem>-----BEGIN [A-Z0-9 ]+-----(?:(?!-----).)*-----END [A-Z0-9 ]+-----)''', re.A | re.S)
 _PEM_EDGE = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----", re.A)

@@ -598,6 +598,21 @@ def test_lexing_is_linear():
         assert time.process_time() - t0 < 10, piece
 
 
+@pytest.mark.parametrize("text", ["x: <" + "a" * 1_000_000, "x: <p value " + "a" * 1_000_000 + ">q", "x: <p value a" + " " * 1_000_000 + ">q", 'x: <p value="' + "a" * 1_000_000 + ">q", "x: <p value " + "a:" * 500_000 + ">", "<" * 1_000_000, "password = " + "a" * 1_000_000])
+def test_a_megabyte_in_one_token_takes_no_time(text):
+    t0 = time.process_time()
+    secrets.literal_spans(text)
+    secrets.base_spans(text)
+    assert time.process_time() - t0 < 1
+
+
+def test_a_megabyte_of_brackets_takes_no_time():
+    t0 = time.process_time()
+    for text in ("(" * 1_000_000, "(" * 1_000_000 + ")", ")(" * 500_000):
+        pii.trimmed(text, 0, len(text))
+    assert time.process_time() - t0 < 1
+
+
 def test_span_operators_on_odd_rows(spark):
     rows = EDGE + [(9, 'é a@b.co token="abcdef1" +49 170 1234567')]
     for r in pii.digests(pii.find_pii(documents(spark, rows))).collect():
