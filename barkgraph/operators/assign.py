@@ -6,10 +6,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .runs import by_group
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -114,15 +115,44 @@ def _overlaps(s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray) ->
     return np.concatenate([[0], np.cumsum(counts)]), join(columns, int), join(values, float)
 
 
-def matched_events(truth: DataFrame, guesses: DataFrame, threshold: float = 0.1) -> DataFrame:
+def _running_max(key: str, value: Column, before: bool) -> Column:
+    """The largest value of the rows up to this one, or before it, by start within a key: within the row's bin, and over all earlier
+    bins, of which there is one row each. So no key needs to be one task's."""
+    here = Window.partitionBy(key, "bin").orderBy("start", "end", "side", "id").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return F.max(value).over(here)
+
+
+def islands(intervals: DataFrame, key: str = "video_id", bin_length: float = 600.0) -> DataFrame:
+    """intervals (key, side, id, start, end) with island: the start of the first one of its run of intervals that overlap each
+    other or are bridged by others. Intervals that only touch are apart."""
+    df = intervals.withColumn("bin", F.floor(F.col("start") / bin_length))
+
+    def earlier(df: DataFrame, value: str, name: str) -> DataFrame:
+        bins = df.groupBy(key, "bin").agg(F.max(value).alias("__top"))
+        w = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.select(F.col(key).alias("__key"), F.col("bin").alias("__bin"), F.max("__top").over(w).alias(name))
+        return df.join(bins, df[key].eqNullSafe(F.col("__key")) & df["bin"].eqNullSafe(F.col("__bin"))).drop("__key", "__bin")
+
+    df = earlier(df, "end", "__reach").withColumn("__near", _running_max(key, F.col("end"), True))
+    new = F.coalesce(F.col("start") >= F.greatest("__reach", "__near"), F.lit(True))
+    df = df.withColumn("__new", F.when(new, F.col("start")))
+    df = earlier(df, "__new", "__first").withColumn("__here", _running_max(key, F.col("__new"), False))
+    return df.withColumn("island", F.coalesce("__here", "__first")).drop("bin", "__reach", "__near", "__new", "__first", "__here")
+
+
+def matched_events(truth: DataFrame, guesses: DataFrame, threshold: float = 0.1, isolate: bool = False) -> DataFrame:
     """Assign first, by temporal IoU over all pairs of a video, then drop pairs under the threshold, which is above 0.
-    Pairs that don't overlap add nothing to an assignment, so only the others are laid out.
-    truth, guesses: video_id, id, start, end."""
+    Pairs that don't overlap add nothing to an assignment, so a video falls apart into islands of intervals, each a group of its own.
+    truth, guesses: video_id, id, start, end. An event without a start or end, or that ends before it starts, is an error of its
+    island. isolate: an island that fails gives a row with its error."""
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")
     both = truth.select("video_id", F.lit(0).alias("side"), "id", "start", "end").unionByName(guesses.select("video_id", F.lit(1).alias("side"), "id", "start", "end"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pd.DataFrame:
+        pdf = table.to_pandas()
+        if not (pdf.end >= pdf.start).all():
+            raise ValueError("an event that has no end, or ends before it starts")
         a, b = (pdf[pdf.side == s].sort_values(["start", "end", "id"]) for s in (0, 1))
         at, columns, iou = _overlaps(a.start.to_numpy(float), a.end.to_numpy(float), b.start.to_numpy(float), b.end.to_numpy(float))
         video, p, q, rows = pdf.video_id.iloc[0], a.id.to_numpy(), b.id.to_numpy(), []
@@ -132,15 +162,16 @@ def matched_events(truth: DataFrame, guesses: DataFrame, threshold: float = 0.1)
                 rows.append((video, p[i], q[j], x))
         return pd.DataFrame(rows, columns=["video_id", "gt_id", "pred_id", "iou"])
 
-    ship(truth.sparkSession)
-    return both.groupBy("video_id").applyInPandas(run, "video_id long, gt_id long, pred_id long, iou double")
+    return by_group(islands(both), ["video_id", "island"], run, "video_id long, gt_id long, pred_id long, iou double", isolate)
 
 
-def aligned_identities(counts: DataFrame) -> DataFrame:
+def aligned_identities(counts: DataFrame, isolate: bool = False) -> DataFrame:
     """The one-to-one alignment with the largest total count; pairs without count stay unmapped (null).
-    counts: video_id, profile, identity, n."""
+    counts: video_id, profile, identity, n. A null profile or identity is an error of its video. isolate: a video that fails gives a
+    row with its error."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pd.DataFrame:
+        pdf = table.to_pandas()
         p, g = sorted(pdf.profile.unique()), sorted(pdf.identity.unique())
         m = np.zeros((max(len(p), len(g)),) * 2)
         for r in pdf.itertuples(index=False):
@@ -149,5 +180,4 @@ def aligned_identities(counts: DataFrame) -> DataFrame:
         rows = [(pdf.video_id.iloc[0], x, g[pick[i]] if pick[i] < len(g) and m[i, pick[i]] > 0 else None, int(m[i, pick[i]])) for i, x in enumerate(p)]
         return pd.DataFrame(rows, columns=["video_id", "profile", "identity", "n"])
 
-    ship(counts.sparkSession)
-    return counts.groupBy("video_id").applyInPandas(run, "video_id long, profile string, identity string, n long")
+    return by_group(counts, ["video_id"], run, "video_id long, profile string, identity string, n long", isolate)

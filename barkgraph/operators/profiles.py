@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FROZEN, ProfileConfig
-from ..session import ship
+from .runs import by_group
+
+SCHEMA = "video_id long, labels map<long,long>, merges array<struct<l:long,r:long,reason:string>>"
 
 
 class Partition:
@@ -51,20 +53,23 @@ class Partition:
         return self.least.get(top, top)
 
 
-def merged(decisions: DataFrame, tracks: DataFrame) -> DataFrame:
+def merged(decisions: DataFrame, tracks: DataFrame, isolate: bool = False) -> DataFrame:
     """(video_id, labels, merges): labels maps each track to its cluster's smallest track; merges lists the accepted
     candidates in order.
 
     Candidates are taken in descending order of all their sort values (nulls last). One is skipped if its ends are
     together already, or if it isn't part-based and any two tracks across the clusters block each other. A group is a
     video's candidates and blocked pairs, never its detections; a candidate costs a look-up, and a veto moves a
-    logarithmic number of times. Every rule depends on the partition alone, so any root does."""
+    logarithmic number of times. Every rule depends on the partition alone, so any root does.
+    A pair of a track with itself is an error of its video. isolate: a video that fails gives a row with its error."""
     order = ["priority", "primary_score", "secondary_score", "negative_gap", "nearest_time_gap_sec", "pair_decision", "l", "r"]
     wanted = decisions.where("priority is not null or blocks").withColumn("negative_gap", -F.col("nearest_frame_gap")).select(F.col("video_id").alias("video"), *order, "blocks")
     ids = tracks.select("video_id", "track_id").distinct()
 
     def run(ids: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
+        if any(r["l"] == r["r"] for r in rows):
+            raise ValueError("a pair of a track with itself")
         state, log = Partition((r["l"], r["r"]) for r in rows if r["blocks"]), []
         rank = lambda r: [(r[c] is not None, r[c]) if r[c] is not None else (False,) for c in order]
         for c in sorted((r for r in rows if r["priority"] is not None), key=rank, reverse=True):
@@ -76,9 +81,7 @@ def merged(decisions: DataFrame, tracks: DataFrame) -> DataFrame:
         entry = pa.struct([("l", pa.int64()), ("r", pa.int64()), ("reason", pa.string())])
         return pa.table({"video_id": ids["video_id"][:1], "labels": pa.array([labels], pa.map_(pa.int64(), pa.int64())), "merges": pa.array([log], pa.list_(entry))})
 
-    ship(tracks.sparkSession)
-    schema = "video_id long, labels map<long,long>, merges array<struct<l:long,r:long,reason:string>>"
-    return ids.groupBy("video_id").cogroup(wanted.groupBy("video")).applyInArrow(run, schema)
+    return by_group(ids, ["video_id"], run, SCHEMA, isolate, (wanted, ["video"]))
 
 
 def clusters(merged: DataFrame) -> DataFrame:

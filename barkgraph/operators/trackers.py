@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalized
-from ..session import ship
 from .assign import hungarian
 from .mot import boxes_iou
+from .runs import by_group
+
+SCHEMA = "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double"
 
 
 def iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,10 +278,10 @@ def register(name: str, tracker: type) -> None:
     METHODS[name] = tracker
 
 
-def tracked(detections: DataFrame, method: str, vector: str | None = None, detector: str | None = None, **options) -> DataFrame:
+def tracked(detections: DataFrame, method: str, vector: str | None = None, detector: str | None = None, isolate: bool = False, **options) -> DataFrame:
     """Detections with the ids that a tracker gives them; others go. detections: video_id, frame, x1..y2, confidence;
     vector names a column of appearance vectors (null: not known), detector one of the detector's own ids. A video is one
-    group; its detections are its only state."""
+    group; its detections are its only state. isolate: a video that fails gives a row with its error."""
     make = METHODS[method]
     box = ["x1", "y1", "x2", "y2"]
 
@@ -304,8 +306,7 @@ def tracked(detections: DataFrame, method: str, vector: str | None = None, detec
         out = table.select(["video_id", "frame", *box, "confidence"]).take(pa.array(kept, pa.int64()))
         return out.add_column(2, "track_id", pa.array(track_ids, pa.int64()))
 
-    ship(detections.sparkSession)
     extra = [normalized(F.col(vector).cast("array<double>")).alias("feature")] if vector else []
     extra += [F.col(detector).cast("long").alias("own")] if detector else []
     numbers = [F.col(c).cast("long" if c in ("video_id", "frame") else "double").alias(c) for c in ("video_id", "frame", *box, "confidence")]
-    return detections.select(*numbers, *extra).groupBy("video_id").applyInArrow(run, "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    return by_group(detections.select(*numbers, *extra), ["video_id"], run, SCHEMA, isolate)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +64,70 @@ def lookup_video(catalog: DataFrame, identifier: str) -> DataFrame:
     return keep_one(catalog.where(number == wanted).withColumn("__one", F.lit(1)), ["__one"], [F.col("row_no")]).drop("__one")
 
 
+class Folder:
+    """A folder in whatever store its path names, through Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._new = spark._jvm.org.apache.hadoop.fs.Path
+        self.path = self._new(path.rstrip("/"))
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def beside(self, ending: str) -> Folder:
+        """A folder next to this one, whose name Spark's readers pass over."""
+        out = object.__new__(Folder)
+        out._new, out.fs, out.path = self._new, self.fs, self._new(self.path.getParent(), f".{self.path.getName()}{ending}")
+        return out
+
+    def exists(self) -> bool:
+        return self.fs.exists(self.path)
+
+    def delete(self) -> None:
+        self.fs.delete(self.path, True)
+
+    def move(self, to: Folder) -> None:
+        if not self.fs.rename(self.path, to.path):
+            raise OSError(f"{self} can't be moved to {to}")
+
+    def __str__(self) -> str:
+        return self.path.toString()
+
+
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What write makes in a folder of its own takes the place of path once it is whole. Whatever fails before, the old result
+    stays; write may read path. If the swap itself is cut off between its two moves, the next call puts the old result back."""
+    target = Folder(spark, path)
+    target.fs.mkdirs(target.path.getParent())
+    old, new = target.beside(".old"), target.beside(f".{uuid.uuid4().hex}.new")
+    if old.exists():
+        old.delete() if target.exists() else old.move(target)
+    try:
+        write(str(new))
+        if target.exists():
+            target.move(old)
+        try:
+            new.move(target)
+        except BaseException:
+            if old.exists() and not target.exists():
+                old.move(target)
+            raise
+    finally:
+        new.delete()
+    old.delete()
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """CSV with a header; nulls are empty. Spark's commit makes the folder appear whole or not at all."""
-    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; nulls are empty. A failed write leaves the old result as it was."""
+    replace(df.sparkSession, path, lambda to: df.select(*(columns or df.columns)).write.option("header", True).csv(to))
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A JSON object a line, nulls included. A failed write leaves the old result as it was."""
+    replace(df.sparkSession, path, lambda to: df.write.option("ignoreNullFields", False).json(to))
+
+
+def write_tracks(tracks: DataFrame, path: str) -> None:
+    """Track rows as Parquet by video, in order of frame. Only the videos at hand are replaced, each whole."""
+    tracks.sortWithinPartitions("video_id", "track_id", "frame").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
 
 
 def report(row: DataFrame, template: str, *columns: str) -> DataFrame:
@@ -94,5 +154,6 @@ def embedding_table(vectors: DataFrame, prefix: str = "track") -> DataFrame:
 
 
 def write_embeddings(vectors: DataFrame, path: str, prefix: str = "track") -> None:
-    """The embedding table as compressed Parquet, one folder for each video."""
-    embedding_table(vectors, prefix).write.mode("overwrite").option("compression", "zstd").partitionBy("video_id").parquet(path)
+    """The embedding table as compressed Parquet, one folder for each video. Only the videos at hand are replaced, when all
+    is written."""
+    embedding_table(vectors, prefix).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("video_id").parquet(path)
