@@ -115,6 +115,10 @@ def _overlaps(s1: np.ndarray, e1: np.ndarray, s2: np.ndarray, e2: np.ndarray) ->
     return np.concatenate([[0], np.cumsum(counts)]), join(columns, int), join(values, float)
 
 
+#: Seconds in which the islands of one group begin.
+STRETCH = 600.0
+
+
 def _running_max(key: str, value: Column, before: bool) -> Column:
     """The largest value of the rows up to this one, or before it, by start within a key: within the row's bin, and over all earlier
     bins, of which there is one row each. So no key needs to be one task's."""
@@ -142,9 +146,9 @@ def islands(intervals: DataFrame, key: str = "video_id", bin_length: float = 600
 
 def matched_events(truth: DataFrame, guesses: DataFrame, threshold: float = 0.1, isolate: bool = False) -> DataFrame:
     """Assign first, by temporal IoU over all pairs of a video, then drop pairs under the threshold, which is above 0.
-    Pairs that don't overlap add nothing to an assignment, so a video falls apart into islands of intervals, each a group of its own.
-    truth, guesses: video_id, id, start, end. An event without a start or end, or that ends before it starts, is an error of its
-    island. isolate: an island that fails gives a row with its error."""
+    Pairs that don't overlap add nothing to an assignment, so a video falls apart into islands of intervals; a group is the islands
+    that begin within STRETCH of each other. truth, guesses: video_id, id, start, end. An event without a start or end, or that ends
+    before it starts, is an error of its stretch. isolate: a stretch that fails gives a row with its error."""
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")
     both = truth.select("video_id", F.lit(0).alias("side"), "id", "start", "end").unionByName(guesses.select("video_id", F.lit(1).alias("side"), "id", "start", "end"))
@@ -162,7 +166,8 @@ def matched_events(truth: DataFrame, guesses: DataFrame, threshold: float = 0.1,
                 rows.append((video, p[i], q[j], x))
         return pd.DataFrame(rows, columns=["video_id", "gt_id", "pred_id", "iou"])
 
-    return by_group(islands(both), ["video_id", "island"], run, "video_id long, gt_id long, pred_id long, iou double", isolate)
+    stretches = islands(both).withColumn("stretch", F.floor(F.col("island") / STRETCH))
+    return by_group(stretches, ["video_id", "stretch"], run, "video_id long, gt_id long, pred_id long, iou double", isolate)
 
 
 def aligned_identities(counts: DataFrame, isolate: bool = False) -> DataFrame:

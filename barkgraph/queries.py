@@ -1119,3 +1119,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: re.sub(r'(?<!")\bat\b(?!")', '"at"', text) for name, text in _ORACLES.items()}  # a reserved word there
+
+from . import file_queries  # noqa: E402, F401  registers the queries that go through files

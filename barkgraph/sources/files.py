@@ -27,16 +27,17 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, toleran
 
 def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The objects of JSON arrays; other elements go; a file that isn't an array is an error."""
-    text = spark.read.option("wholetext", True).text(path)
-    whole = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.raise_error(F.lit("not a JSON list")))
-    parts = text.select(F.explode(whole).alias("item")).where(F.ltrim("item").startswith("{"))
+    text = spark.read.text(path, wholetext=True)
+    start = lambda c: F.ltrim(c, F.lit(" \t\r\n"))
+    whole = F.when(start("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.raise_error(F.lit("not a JSON list")))
+    parts = text.select(F.explode(whole).alias("item")).where(start("item").startswith("{"))
     return parts.select(F.from_json("item", schema).alias("o")).select("o.*")
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row for each document; missing files and malformed documents give none."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], schema)
     return text.select(F.from_json("value", schema).alias("o")).where("o is not null").select("o.*")

@@ -28,7 +28,7 @@ def parse_mot(lines: DataFrame) -> DataFrame:
 
 def read_mot(spark: SparkSession, path: str) -> DataFrame:
     """MOT files below path; the line number is the row's place in its file."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("row_no", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("row_no", "value"))
     return parse_mot(raw)
 
 
