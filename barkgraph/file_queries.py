@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .operators import assign, mot, runs
 from .operators import joins as J
-from .queries import query, rounded
-from .session import scratch
+from .queries import _FUSED_SQL, _heard, query, rounded
+from .session import scratch, written
 from .sources import cvat, files
 from .sources.mot import read_mot
 
@@ -238,6 +238,31 @@ def _(t):
     return rounded(assign.matched_events(*_pairs_of(t.ev)))
 
 
+# --- streams -----------------------------------------------------------------------------------------------------
+
+def in_batches(spark, rows, cuts, schema):
+    """A stream of rows (ts, ...) from files written one after the other, each up to one of the cuts, and a last row long after."""
+    path, before = scratch(spark), None
+    for c in [*cuts, None]:
+        part = rows if before is None else rows.where(F.col("ts") >= before)
+        part = part if c is None else part.where(F.col("ts") < c)
+        part.coalesce(1).write.mode("append").parquet(path)
+        before = c
+    last = rows.limit(1).withColumn("video_id", F.lit(-1).cast("long")).withColumn("ts", F.timestamp_seconds(F.lit(10**6)))
+    last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("SS03_fused_stream", _FUSED_SQL, "voiced")
+def _(t):
+    """The fusion over a stream of the same events, in four batches, an hour after time 0: a stream's first watermark."""
+    from .streaming.windows import drained, fused_stream
+
+    events = written(_heard(t).withColumn("ts", F.timestamp_millis(F.round((F.col("start") + 3600) * 1000).cast("long"))).drop("track_id"))
+    stream = in_batches(t.spark, events, [F.timestamp_seconds(F.lit(s)) for s in (3650, 3710, 3770)], events.schema)
+    return rounded(drained(fused_stream(stream)).where("video_id >= 0"))
+
+
 # --- runs --------------------------------------------------------------------------------------------------------
 
 @query("OR01_resumed_merge", "SELECT video_id, count(*) AS tracks, count(DISTINCT cluster) AS clusters, CASE WHEN video_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM clusters GROUP BY ALL", "clusters")

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -75,6 +76,13 @@ def by_group(df: DataFrame, keys: list[str], function: Callable[..., pa.Table |
     return groups.applyInArrow(lambda key, a: run(key, a), out_type)
 
 
+def vector_rows(lists: pa.ChunkedArray) -> Iterator[np.ndarray | None]:
+    """The rows of a column of number lists, as parts of one array."""
+    for chunk in lists.chunks:
+        flat, at = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        yield from (flat[a:b] if known else None for a, b, known in zip(at[:-1], at[1:], chunk.is_valid().to_pylist(), strict=True))
+
+
 def isolated(groups: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """by_group for a function of data frames, with errors apart."""
     return by_group(groups, keys, lambda table: function(table.to_pandas()), schema, isolate=True)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import normalized
 from .assign import hungarian
 from .mot import boxes_iou
-from .runs import by_group
+from .runs import by_group, vector_rows
 
+_BOX = ("x1", "y1", "x2", "y2")
 SCHEMA = "video_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, confidence double"
 
 
@@ -278,35 +279,42 @@ def register(name: str, tracker: type) -> None:
     METHODS[name] = tracker
 
 
+def stepped(tracker, video: int, rows: list[tuple]) -> list[tuple]:
+    """The rows that a tracker keeps, with their ids (SCHEMA), frame after frame. rows: frame, box, confidence, feature or None and
+    the detector's id or None. Rows of a frame are in the order of their values, whatever order they come in."""
+    if any(r[0] is None for r in rows):
+        raise ValueError("a detection without a frame")
+    size = max((len(r[6]) for r in rows if r[6] is not None), default=0)
+    features = np.array([r[6] if r[6] is not None else [0.0] * size for r in rows]).reshape(len(rows), size)
+    with_features, with_ids = any(r[6] is not None for r in rows), any(r[7] is not None for r in rows)
+    numbers = np.array([[np.nan if x is None else x for x in r[:6]] for r in rows], float).reshape(-1, 6)
+    own = np.array([-1 if r[7] is None else r[7] for r in rows], np.int64)
+    order = np.lexsort((*features.T[::-1], own, numbers[:, 5], *numbers[:, 4:0:-1].T, numbers[:, 0]))
+    frames, out = numbers[order, 0], []
+    starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(frames) else []
+    for s, e in zip(starts, [*starts[1:], len(frames)], strict=True):
+        some = order[s:e]
+        ids = [rows[i][7] for i in some] if with_ids else None
+        hits = tracker.step(numbers[some, 1:5], numbers[some, 5], features[some] if with_features else None, int(frames[s]), ids)
+        out += [(video, int(frames[s]), int(t), *numbers[some[i], 1:].tolist()) for i, t in hits]
+    return out
+
+
 def tracked(detections: DataFrame, method: str, vector: str | None = None, detector: str | None = None, isolate: bool = False, **options) -> DataFrame:
     """Detections with the ids that a tracker gives them; others go. detections: video_id, frame, x1..y2, confidence;
     vector names a column of appearance vectors (null: not known), detector one of the detector's own ids. A video is one
     group; its detections are its only state. isolate: a video that fails gives a row with its error."""
     make = METHODS[method]
-    box = ["x1", "y1", "x2", "y2"]
+    names = ["frame", *_BOX, "confidence", "feature", "own"]
 
     def run(table: pa.Table) -> pa.Table:
-        tracker, kept, track_ids = make(**options), [], []
-        columns = {c: table[c].to_numpy(zero_copy_only=False) for c in ("frame", *box, "confidence")}
-        features, ties = None, []
-        if vector:
-            size = max((len(v) for v in table["feature"].to_pylist() if v is not None), default=0)
-            features = np.array([v if v is not None else [0.0] * size for v in table["feature"].to_pylist()]).reshape(table.num_rows, size)
-            ties = list(features.T[::-1])
-        own = table["own"].to_numpy(zero_copy_only=False) if detector else None
-        order = np.lexsort((*ties, *([own] if detector else []), columns["confidence"], *(columns[c] for c in box[::-1]), columns["frame"]))
-        frames = columns["frame"][order]
-        boxes = np.column_stack([columns[c] for c in box])
-        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]]) if len(frames) else []
-        for s, e in zip(starts, [*starts[1:], len(frames)], strict=True):
-            rows = order[s:e]
-            hits = tracker.step(boxes[rows], columns["confidence"][rows], features[rows] if vector else None, int(frames[s]), own[rows].tolist() if detector else None)
-            kept += [int(rows[i]) for i, _ in hits]
-            track_ids += [t for _, t in hits]
-        out = table.select(["video_id", "frame", *box, "confidence"]).take(pa.array(kept, pa.int64()))
-        return out.add_column(2, "track_id", pa.array(track_ids, pa.int64()))
+        read = lambda c: list(vector_rows(table[c])) if c == "feature" else table[c].to_pylist()
+        columns = [read(c) if c in table.column_names else [None] * table.num_rows for c in names]
+        done = stepped(make(**options), table["video_id"][0].as_py(), list(zip(*columns, strict=True)))
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [()] * 8, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     extra = [normalized(F.col(vector).cast("array<double>")).alias("feature")] if vector else []
     extra += [F.col(detector).cast("long").alias("own")] if detector else []
-    numbers = [F.col(c).cast("long" if c in ("video_id", "frame") else "double").alias(c) for c in ("video_id", "frame", *box, "confidence")]
+    numbers = [F.col(c).cast("long" if c in ("video_id", "frame") else "double").alias(c) for c in ("video_id", "frame", *_BOX, "confidence")]
     return by_group(detections.select(*numbers, *extra), ["video_id"], run, SCHEMA, isolate)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import FROZEN, ProfileConfig
 from ..functions import geometry as G
 from ..functions import vectors as V
+from ..session import written
 
 KEY = ["video_id", "track_id"]
 
@@ -73,17 +74,17 @@ def common_metrics(tracks: DataFrame) -> DataFrame:
     )
 
 
-def frame_gaps(tracks: DataFrame) -> DataFrame:
+def frame_gaps(tracks: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """Smallest distance between observed frames for each pair of a video's tracks. First and last frames decide for
     tracks that follow each other, and a common frame for those that meet; only pairs whose spans cross without a common
-    frame bring their frames, in one sorted pass over both."""
+    frame bring their frames, in one sorted pass over both. common: the pairs that have one, if they are known."""
     pair = ["video_id", "l", "r"]
     spans = tracks.groupBy(*KEY).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
     l, r = (spans.select("video_id", F.col("track_id").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in ("l", "r"))
     apart = F.greatest(F.col("llo") - F.col("rhi"), F.col("rlo") - F.col("lhi"))
     both = l.join(r, "video_id").where("l < r").withColumn("apart", apart)
     follow = both.where("apart > 0").select(*pair, F.col("apart").alias("nearest_frame_gap"))
-    met = cooccurring(tracks).select(*pair).distinct().withColumn("met", F.lit(True))
+    met = (cooccurring(tracks).select(*pair).distinct() if common is None else common.select(*pair)).withColumn("met", F.lit(True))
     crossing = both.where("apart <= 0").select(*pair).join(met, pair, "left")
     obs = tracks.select("video_id", "track_id", "frame")
     rest = crossing.where("met is null").select(*pair)
@@ -103,10 +104,12 @@ def appearance(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def pair_metrics(tracks: DataFrame, vectors: DataFrame, videos: DataFrame) -> DataFrame:
-    """The pair diagnostics that decisions need."""
+    """The pair diagnostics that decisions need. Boxes of a frame meet once: what comes of it is a row for each pair, which is
+    written and then tells which pairs met."""
+    common = written(common_metrics(tracks))
     p, size = pairs(tracks), tracks.groupBy(*KEY).count()
     l, r = (size.select("video_id", F.col("track_id").alias(s), F.col("count").alias(f"{s}n")) for s in ("l", "r"))
-    df = p.join(common_metrics(tracks), ["video_id", "l", "r"], "left").join(frame_gaps(tracks), ["video_id", "l", "r"]).join(appearance(p, vectors), ["video_id", "l", "r"], "left")
+    df = p.join(common, ["video_id", "l", "r"], "left").join(frame_gaps(tracks, common), ["video_id", "l", "r"]).join(appearance(p, vectors), ["video_id", "l", "r"], "left")
     df = df.join(l, ["video_id", "l"]).join(r, ["video_id", "r"]).join(videos.select("video_id", "fps"), "video_id", "left")
     df = df.withColumn("common_observed_frames", F.coalesce("common_observed_frames", F.lit(0)))
     df = df.withColumn("overlap_fraction_of_shorter_track", F.col("common_observed_frames") / F.greatest(F.lit(1), F.least("ln", "rn")))

@@ -205,6 +205,32 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "merges": (("folded", "cand"), "SELECT c.video_id, c.l, c.r, c.decision, row_number() OVER (PARTITION BY c.video_id ORDER BY c.k) - 1 AS merge_seq FROM folded f JOIN cand c ON c.video_id = f.video_id AND list_contains(f.acc, c.k)"),
     "fates": (("clusters", "classes"), "SELECT video_id, cluster, bool_and(sparse_suspect) AS all_sparse, bool_and(likely_image_or_screen) AS all_images, count(*) AS tracks, CASE WHEN bool_and(sparse_suspect) THEN 'standalone_sparse_track' END AS suppress_reason FROM clusters JOIN classes USING (video_id, track_id) GROUP BY ALL"),
     "profiles": (("clusters", "fates", "infos"), "SELECT c.video_id, c.track_id, c.cluster, 'dog_' || n.n AS persistent_profile_id FROM clusters c JOIN (SELECT video_id, cluster, row_number() OVER (PARTITION BY video_id ORDER BY t, least) AS n FROM (SELECT video_id, cluster, min(first_time_sec) AS t, min(track_id) AS least FROM clusters JOIN infos USING (video_id, track_id) JOIN fates USING (video_id, cluster) WHERE suppress_reason IS NULL GROUP BY video_id, cluster)) n USING (video_id, cluster)"),
+    "heard": (("predictions", "profiles"), """
+      SELECT p.video_id, p.event_id, p."start", p."end", p."end" - p."start" AS dur, q.persistent_profile_id AS vis, row_number() OVER (PARTITION BY p.video_id ORDER BY p."start", p."end", p.event_id) AS k,
+             list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) + CAST(0.35 AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)) AS v
+      FROM predictions p JOIN embeddings a ON a.vec_id = (p.video_id * 7 + p.event_id % 3) % (SELECT count(*) FROM embeddings) JOIN embeddings b ON b.vec_id = (p.event_id * 29 + 11) % (SELECT count(*) FROM embeddings)
+      LEFT JOIN profiles q ON q.video_id = p.video_id AND q.track_id = p.predicted_track_id AND p.event_id % 4 <> 0"""),
+    "voiced": (("heard",), """
+      SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS k, [] :: VARCHAR[] AS names, [] :: BIGINT[] AS counts, [] :: DOUBLE[][] AS cents, CAST(0 AS BIGINT) AS created, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS "start", CAST(NULL AS DOUBLE) AS "end",
+             CAST(NULL AS VARCHAR) AS profile, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS best, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BOOLEAN) AS agreement, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS status FROM heard
+      UNION ALL
+      SELECT video_id, k, CASE WHEN NOT ok THEN names WHEN place > 0 THEN names ELSE list_append(names, target) END,
+             CASE WHEN NOT ok THEN counts WHEN place > 0 THEN list_transform(counts, lambda c, i: c + CASE WHEN i = place THEN 1 ELSE 0 END) ELSE list_append(counts, CAST(1 AS BIGINT)) END,
+             CASE WHEN NOT ok THEN cents WHEN place > 0 THEN list_transform(cents, lambda c, i: CASE WHEN i = place THEN list_transform(mixed, lambda x: x / sqrt(list_dot_product(mixed, mixed))) ELSE c END) ELSE list_append(cents, list_transform(mixed, lambda x: x / sqrt(list_dot_product(mixed, mixed)))) END,
+             created + CASE WHEN ok AND fresh THEN 1 ELSE 0 END, event_id, "start", "end",
+             CASE WHEN ok THEN target ELSE vis END, CASE WHEN NOT ok THEN CASE WHEN vis IS NULL THEN 'none' ELSE 'visual' END WHEN vis IS NULL THEN 'audio' ELSE 'visual_plus_audio' END,
+             CASE WHEN ok THEN best END, CASE WHEN ok THEN CASE WHEN vis IS NULL THEN score ELSE coalesce(own, score) END END,
+             CASE WHEN NOT ok OR fresh THEN NULL WHEN vis IS NULL THEN true ELSE NOT clash AND coalesce(best = vis, true) END,
+             CASE WHEN NOT ok THEN CASE WHEN vis IS NULL THEN 'unassigned_audio_not_scored' ELSE 'visible_profile_audio_not_scored' END WHEN fresh THEN 'created_offscreen_audio_only_profile' WHEN vis IS NULL THEN 'offscreen_matched_existing_profile_by_audio'
+                  WHEN clash THEN 'audio_visual_identity_conflict' ELSE 'attached_to_visible_all_dog_profile' END,
+             CASE WHEN ok THEN 'ok' ELSE printf('invalid_duration_%.3f', dur) END
+      FROM (SELECT *, coalesce(list_position(names, target), 0) AS place, list_transform(range(1, len(v) + 1), lambda i: coalesce((cents[list_position(names, target)][i] * counts[list_position(names, target)] + v[i]) / (counts[list_position(names, target)] + 1), v[i])) AS mixed
+        FROM (SELECT *, vis IS NULL AND NOT coalesce(score >= 0.6, false) AS fresh, vis IS NOT NULL AND coalesce(best <> vis AND score >= 0.6, false) AS clash,
+                     CASE WHEN vis IS NOT NULL THEN vis WHEN coalesce(score >= 0.6, false) THEN best ELSE 'audio_only_dog_' || (created + 1) END AS target
+          FROM (SELECT *, names[list_position(scores, list_max(scores))] AS best, list_max(scores) AS score, scores[list_position(names, vis)] AS own
+            FROM (SELECT w.video_id, h.k, w.names, w.counts, w.cents, w.created, h.event_id, h."start", h."end", h.dur, h.vis, h.v, h.dur >= 0.25 AND h.dur <= 5.0 AS ok,
+                         list_transform(w.cents, lambda c: round(list_dot_product(c, h.v) / (sqrt(list_dot_product(h.v, h.v)) * sqrt(list_dot_product(c, c)) + 0.000000000001), 9)) AS scores
+                  FROM voiced w JOIN heard h ON h.video_id = w.video_id AND h.k = w.k + 1))))"""),
     "candidates": (("ev", "tracks"), "SELECT DISTINCT e.video_id, e.event_id, t.track_id FROM ev e JOIN tracks t ON t.video_id = e.video_id AND t.time_sec >= e.\"start\" - 0.000000001 AND t.time_sec <= e.\"end\" + 0.000000001"),
     "windows": (("ev",), "SELECT video_id, event_id, \"start\", \"end\", unnest(range(0, len(ws))) AS window_index, unnest(ws) AS window_start, least(\"end\", unnest(ws) + 2.0) AS window_end FROM (SELECT *, CASE WHEN \"end\" - \"start\" <= 2.0 + 0.000001 THEN [\"start\"] ELSE list_concat(list_transform(range(0, CAST(floor(\"end\" - 2.0 - \"start\" + 0.000001) AS BIGINT) + 1), lambda i: \"start\" + i * 1.0), CASE WHEN \"start\" + floor(\"end\" - 2.0 - \"start\" + 0.000001) < \"end\" - 2.0 - 0.000001 THEN [\"end\" - 2.0] ELSE [] END) END AS ws FROM ev)"),
     "scored": (("windows", "tracks"), "SELECT DISTINCT w.video_id, w.event_id, t.track_id, w.window_index, w.window_start, ((w.event_id * 37 + t.track_id * 101 + w.window_index * 13) % 1000) / 1000.0 AS score FROM windows w JOIN tracks t ON t.video_id = w.video_id AND t.time_sec >= w.window_start - 0.000000001 AND t.time_sec <= w.window_end + 0.000000001"),
@@ -220,6 +246,10 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Those that read themselves.
+RECURSIVE = ("fold", "voiced")
+
+
 def sql(body: str, *names: str) -> str:
     """body with the common table expressions it names, and those they need, before it."""
     order: list[str] = []
@@ -233,5 +263,5 @@ def sql(body: str, *names: str) -> str:
     for n in names:
         add(n)
     # a table read twice is made once: DuckDB would put its text in both places
-    ctes = ",\n".join(f"{n} AS {'' if n == 'fold' else 'MATERIALIZED '}({CTE[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({CTE[n][1]})" for n in order)
     return f"WITH RECURSIVE {ctes}\n{body}" if ctes else body

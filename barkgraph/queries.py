@@ -429,7 +429,12 @@ def _(t):
     return rounded(p)
 
 
-@query("AG12_fusion_summary")
+@query(
+    "AG12_fusion_summary",
+    """SELECT video_id, count(*) AS bark_events, count(profile) AS assigned, count(*) FILTER (decision = 'audio_visual_identity_conflict') AS conflicts, count(*) FILTER (decision = 'created_offscreen_audio_only_profile') AS audio_only_profiles,
+       count(*) FILTER (decision = 'offscreen_matched_existing_profile_by_audio') AS matched_by_audio FROM voiced WHERE k > 0 GROUP BY ALL""",
+    "voiced",
+)
 def _(t):
     return fusion.summary(_fused(t))
 
@@ -568,7 +573,12 @@ def _(t):
     return t.predictions.agg(F.count("*").alias("events"), F.count_if(s == "predicted").alias("predicted"), F.count_if(s == "outside_or_offscreen").alias("offscreen"))
 
 
-@query("AG33_conflict_rows")
+@query(
+    "AG33_conflict_rows",
+    """SELECT video_id, event_id, round("start", 6) AS "start", round("end", 6) AS "end", profile AS all_dog_profile_id, source AS assignment_source, best AS audio_best_profile_id, round(score, 6) AS audio_similarity, agreement AS audio_visual_agreement, decision AS v2_decision, status AS audio_clip_status
+       FROM voiced WHERE k > 0 AND (agreement = false OR decision = 'audio_visual_identity_conflict')""",
+    "voiced",
+)
 def _(t):
     return rounded(fusion.conflicts(_fused(t)))
 
@@ -773,15 +783,21 @@ def _(t):
     return t.fates
 
 
-def _fused(t):
+def _heard(t):
     p = t.predictions.select("video_id", "event_id", "start", "end", F.col("predicted_track_id").alias("track_id"))
     p = p.withColumn("track_id", F.when(F.col("event_id") % 4 != 0, F.col("track_id")))  # every fourth event is off screen
     known = p.join(t.profiles.select("video_id", "track_id", F.col("persistent_profile_id").alias("visual_profile")), ["video_id", "track_id"], "left")
-    heard = t.vector(known, F.col("video_id") * 7 + F.col("event_id") % 3, F.col("event_id") * 29 + 11).withColumnRenamed("v", "vector")
-    return fusion.fused(heard)
+    return t.vector(known, F.col("video_id") * 7 + F.col("event_id") % 3, F.col("event_id") * 29 + 11).withColumnRenamed("v", "vector")
+
+
+def _fused(t):
+    return fusion.fused(_heard(t))
+
+
+_FUSED_SQL = """SELECT video_id, event_id, round("start", 6) AS "start", round("end", 6) AS "end", profile AS all_dog_profile_id, source AS assignment_source, best AS audio_best_profile_id, round(score, 6) AS audio_similarity, agreement AS audio_visual_agreement, decision AS v2_decision, status AS audio_clip_status FROM voiced WHERE k > 0"""
 
 
-@query("ST03_fusion")
+@query("ST03_fusion", _FUSED_SQL, "voiced")
 def _(t):
     return rounded(_fused(t))
 

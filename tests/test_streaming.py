@@ -2,9 +2,15 @@
 
 import datetime as dt
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+import barkgraph.queries as Q
+from barkgraph.file_queries import in_batches
+from barkgraph.operators import trackers
 from barkgraph.operators.fusion import fused
+from barkgraph.streaming import windows
 from barkgraph.streaming.windows import bursts, fused_stream, tumbling_counts
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +56,104 @@ def test_fusion_as_in_batch(spark, tmp_path):
     key = lambda df: sorted((r.video_id, r.event_id, r.all_dog_profile_id, r.v2_decision) for r in df.where("event_id <> 99").collect())
     want = key(fused(events))
     assert want and key(got) == want
+
+
+def test_registered_stream_as_the_batch(spark):
+    key = lambda name: sorted(map(repr, Q.queries()[name](spark, SF).collect()))
+    assert key("SS03_fused_stream") == key("ST03_fusion")
+
+
+@pytest.mark.parametrize("method, vector, detector", [("stable", "v", "track_id"), ("bytetrack", None, None)])
+def test_tracking_as_in_batch(spark, method, vector, detector):
+    seen = Q._seen(Q.Tables(spark, SF)).where("frame < 900 and video_id < 3")
+    rows = seen.withColumn("ts", F.timestamp_seconds(3600 + F.col("frame") / 10)).cache()
+    stream = in_batches(spark, rows, [F.timestamp_seconds(F.lit(s)) for s in (3620, 3650, 3651)], rows.schema)
+    got = windows.drained(windows.tracked_stream(stream, method, vector=vector, detector=detector)).where("video_id >= 0")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(trackers.tracked(seen, method, vector, detector))
+    assert key(got) == want and len(want) > 500
+
+
+class Handle:
+    """State in dictionaries, which counts what is read and written."""
+
+    def __init__(self):
+        self.timers, self.work = set(), 0
+
+    def getMapState(self, name, key, value):
+        handle, data = self, {}
+
+        class Map:
+            def containsKey(self, k):
+                return k in data
+
+            def getValue(self, k):
+                handle.work += 1
+                return data[k]
+
+            def updateValue(self, k, v):
+                handle.work += 1
+                data[k] = v
+
+            def removeKey(self, k):
+                del data[k]
+
+            def keys(self):
+                return iter(list(data))
+
+            def iterator(self):
+                handle.work += len(data)
+                return iter(list(data.items()))
+
+        return Map()
+
+    def getValueState(self, name, kind):
+        class Value:
+            held = None
+
+            def exists(self):
+                return self.held is not None
+
+            def get(self):
+                return self.held
+
+            def update(self, v):
+                self.held = v
+
+            def clear(self):
+                self.held = None
+
+        return Value()
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_state_work_grows_with_the_events():
+    def work(n):
+        handle, p, out = Handle(), windows.FusionProcessor(), []
+        p.init(handle)
+        rows = pd.DataFrame([(pd.Timestamp(i, unit="s", tz="UTC"), i, float(i), i + 1.0, f"dog_{i % 4}", [1.0, i % 4]) for i in range(n)], columns=["ts", *p.columns])
+        list(p.handleInputRows((1,), iter([rows.sample(frac=1, random_state=1)]), None))
+        assert len(handle.timers) == 1
+        for at in range(0, n * 1000 + 200_000, 100_000):  # the watermark moves by a hundred events
+            for t in [t for t in handle.timers if t < at]:
+                out += [r for f in p.handleExpiredTimer((1,), Now(at), Now(t)) for r in f.event_id]
+                handle.timers.discard(t)
+        assert out == list(range(n)) and not handle.timers
+        return handle.work
+
+    assert work(4000) < 4.2 * work(1000)
