@@ -95,17 +95,22 @@ def _(t):
 # --- annotation files --------------------------------------------------------------------------------------------
 
 def _annotated(t) -> str:
-    """The truth as annotation files, one for each video. Every fifth frame's box is outside; names of attributes change their case,
-    and a second one of that name says something else."""
+    """The truth as annotation files, one for each video."""
     path = scratch(t.spark)
+    _put(path, _documents(t.truth, ["video_id"]), "video_id")
+    return path
+
+
+def _documents(truth, keys):
+    """An annotation document for each key. Every fifth frame's box is outside; names of attributes change their case, and a second
+    one of that name says something else."""
     said = F.concat(F.lit('<attribute name="'), F.when(F.col("frame") % 2 == 0, "Vocalization").otherwise("vocalization"), F.lit('">'), F.initcap(F.translate("state", "_", " ")), F.lit('</attribute><attribute name="Vocalization">other</attribute>'))
     numbers = [F.concat(F.lit(f' {n}="'), F.col(c).cast("string"), F.lit('"')) for n, c in zip(("frame", "xtl", "ytl", "xbr", "ybr"), ("frame", *J.BOX), strict=True)]
     box = F.concat(F.lit('<box outside="'), (F.col("frame") % 5 == 0).cast("int").cast("string"), F.lit('"'), *numbers, F.lit(">"), said, F.lit("</box>"))
     track = F.concat(F.lit('<track id="'), F.col("ident").cast("string"), F.lit('" label="'), F.when(F.col("ident") % 2 == 0, "Dog").otherwise("cat"), F.lit('">'), F.array_join(F.collect_list(box), "\n"), F.lit("</track>"))
-    tracks = t.truth.groupBy("video_id", "ident").agg(track.alias("track"))
+    tracks = truth.groupBy(*keys, "ident").agg(track.alias("track"))
     whole = F.concat(F.lit('<?xml version="1.0"?>\n<annotations>\n'), F.array_join(F.collect_list("track"), "\n"), F.lit("\n</annotations>"))
-    _put(path, tracks.groupBy("video_id").agg(whole.alias("value")), "video_id")
-    return path
+    return tracks.groupBy(*keys).agg(whole.alias("value"))
 
 
 _BOX_SQL = """SELECT video_id, CAST(ident AS VARCHAR) AS ident, CASE WHEN ident % 2 = 0 THEN 'Dog' ELSE 'cat' END AS label, frame{offset} AS frame, x1, y1, x2, y2, {state} FROM truth WHERE frame % 5 <> 0"""
@@ -136,6 +141,20 @@ def _(t):
     return _of_video(t, _annotated(t), lambda x: cvat.boxes(x, offset=250))
 
 
+@query("UD03_ground_truth", "SELECT video_id, video_id * 1000 + frame // 50 AS event_id, CAST(ident AS VARCHAR) AS ident, CASE WHEN ident % 2 = 0 THEN 'Dog' ELSE 'cat' END AS label, frame, x1, y1, x2, y2, state FROM truth WHERE (frame - frame // 50 * 50) % 5 <> 0 AND (frame // 50) % 4 <> 1 AND (frame // 50) % 7 <> 2", "truth")
+def _(t):
+    """Clips of five seconds, of which every fourth is not annotated and every seventh not asked for. A clip's frames begin at 0."""
+    path = scratch(t.spark)
+    n = F.floor(F.col("frame") / 50)
+    clips = t.truth.withColumn("event_id", F.col("video_id") * 1000 + n).withColumn("start", n * 50)
+    events = written(clips.select("video_id", "event_id", F.col("start").alias("clip_start_frame")).distinct())
+    annotated = clips.where((F.col("start") / 50) % 4 != 1).withColumn("frame", F.col("frame") - F.col("start"))
+    docs = _documents(annotated, ["video_id", "event_id"]).withColumn("clip", F.concat(F.lpad(F.col("event_id").cast("string"), 7, "0"), F.lit("_bark")))
+    docs.select("video_id", "clip", "value").repartition("video_id", "clip").write.partitionBy("video_id", "clip").text(path)
+    asked = events.where((F.col("clip_start_frame") / 50) % 7 != 2)
+    return cvat.ground_truth(t.spark, path, asked).drop("value")
+
+
 @query(
     "SRC09_mot_text",
     """, rows AS (SELECT video_id, frame - least(0, min(frame) OVER (PARTITION BY video_id)) + CASE WHEN min(frame) OVER (PARTITION BY video_id) = 0 THEN 1 ELSE 0 END AS frame, track_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, confidence AS conf FROM tracks),
