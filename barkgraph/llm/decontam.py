@@ -86,7 +86,14 @@ def _signature(distinct: Column, tops: list[int | None]) -> Column:
 def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared, containment) for each document that holds at least percent of an
     item's distinct shingles."""
-    return _contained(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, percent)
+    found = _contained(_by_row(docs), benchmark, percent)
+    return found.select(F.col("doc_id.doc_id").alias("doc_id"), "item_id", "item_shingles", "shared", "containment")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where doc_id holds a hash of the text too: rows with one doc_id, or none, don't meet each other's items."""
+    text = F.col("text").cast("string")
+    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text")).alias("doc_id"), text.alias("text"))
 
 
 def _contained(rows: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
