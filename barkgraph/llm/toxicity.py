@@ -1,10 +1,11 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
 The lexicon holds a short fixed list and the words and word beginnings that labelled documents single out.
-The trie of its terms and the Levenshtein automata of all of them (one error from five letters, two from
-nine) are intersected lazily: a state is a set of (trie node, errors), made once and kept (STATES at most, then all are
-made anew), so a word costs a dictionary look-up for each of its letters, up to the one at which no term is near. Each term has a weight for exact and one for
-misspelled occurrences, both log-odds with a prior.
+The trie of all of them and their Levenshtein automata (one error from five letters, two from nine, one in
+beginnings) are intersected lazily: a state is a set of (trie node, errors), made once and kept (STATES at most, then all are
+made anew), so a word costs a dictionary look-up for each of its letters, up to the one at which no term is near. Every hit is
+found by it. Each term has a weight, log-odds with a prior, and a smaller one for misspelled occurrences, the smaller the more
+words of clean documents come near; those words themselves are no misspellings.
 
 Around each hit a window of words tells quotation from abuse: quotation marks and reporting words move the
 hit's weight to a separate sum. A logistic regression over those sums, their densities and the strongest window
@@ -53,65 +54,82 @@ def errors_allowed(term: str) -> int:
 
 
 class Automaton:
-    """The intersection of the terms' Levenshtein automata with their trie, made state by state."""
+    """The intersection of the terms' Levenshtein automata with their trie, made state by state. A beginning is a term that
+    any letters may follow: once a word has reached it, the state keeps that."""
 
-    def __init__(self, terms: dict[str, int]):
+    def __init__(self, terms: dict[str, int], beginnings: dict[str, int] | None = None):
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        self.limit = terms
-        self.most = max(terms.values(), default=0)
-        reach = [0]
+        self.begin: list[int] = [0]  # number of the beginning that ends here, from 1
+        self.limit, self.starts, self.allowed = terms, [""], [0]
+        self.reach = [0]  # errors that a term at the node or below allows
         for t, k in terms.items():
-            at = 0
-            for c in t:
-                if c not in self.child[at]:
-                    self.child[at][c] = len(self.child)
-                    self.child.append({})
-                    self.term.append(None)
-                    reach.append(0)
-                reach[at] = max(reach[at], k)
-                at = self.child[at][c]
-            self.term[at] = t
-            reach[at] = max(reach[at], k)
-        self.reach = reach  # errors that a term below the node allows
+            self.term[self._path(t, k)] = t
+        for t, k in (beginnings or {}).items():
+            self.begin[self._path(t, k)] = len(self.starts)
+            self.starts.append(t)
+            self.allowed.append(k)
         self._clear()
 
+    def _path(self, term: str, errors: int) -> int:
+        at = 0
+        for c in term:
+            self.reach[at] = max(self.reach[at], errors)
+            if c not in self.child[at]:
+                self.child[at][c] = len(self.child)
+                for column, empty in ((self.child, {}), (self.term, None), (self.begin, 0), (self.reach, 0)):
+                    column.append(empty)
+            at = self.child[at][c]
+        self.reach[at] = max(self.reach[at], errors)
+        return at
+
     def _clear(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
-        self.accept: list[tuple[str, int] | None] = []
+        self.accept: list[tuple[int, bool, str] | None] = []
         self.first = self._state({(0, 0)})
 
+    def _rank(self, kept: tuple[int, int]) -> tuple:
+        """Of beginnings the one of the fewest errors, then the longest, then the first counts."""
+        return kept[1], -len(self.starts[-kept[0]]), self.starts[-kept[0]]
+
     def _state(self, nodes) -> int:
         best: dict[int, int] = {}
-        front = list(nodes)
+        front, kept = [x for x in nodes if x[0] >= 0], [x for x in nodes if x[0] < 0]
         while front:  # a letter that the word lacks costs an error and no input
             node, e = front.pop()
             if e > self.reach[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
+            if self.begin[node] and e <= self.allowed[self.begin[node]]:
+                kept.append((-self.begin[node], e))
             front += [(n, e + 1) for n in self.child[node].values()]
-        key = frozenset(best.items())
+        kept = [min(kept, key=self._rank)] if kept else []
+        key = frozenset([*best.items(), *kept])
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= self.limit[self.term[n]]]
-            self.accept.append((min(ends)[1], min(ends)[0]) if ends else None)
+            ends = [(e, False, self.term[n]) for n, e in best.items() if self.term[n] and e <= self.limit[self.term[n]]]
+            self.accept.append(min(ends + [(e, True, self.starts[-n]) for n, e in kept], default=None))
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
         out = set()
         for node, e in self.sets[state]:
+            if node < 0:
+                out.add((node, e))
+                continue
             out.add((node, e + 1))
             for letter, n in self.child[node].items():
                 out.add((n, e if letter == c else e + 1))
         new = self.next[state][c] = self._state(out)
         return new
 
-    def match(self, word: str) -> tuple[str, int] | None:
-        """The closest term (ties: the first in order) and its distance, or None."""
+    def nearest(self, word: str) -> tuple[int, bool, str] | None:
+        """The errors of the closest term, whether it is a beginning, and the term. Whole words come before beginnings, ties are
+        in order."""
         if len(self.sets) > STATES:
             self._clear()
         at, follow, sets = self.first, self.next, self.sets
@@ -122,26 +140,31 @@ class Automaton:
                 return None
         return self.accept[at]
 
+    def match(self, word: str) -> tuple[str, int] | None:
+        """The closest term and its distance, or None."""
+        found = self.nearest(word)
+        return (found[2], found[0]) if found else None
+
 
 class Lexicon:
-    """Weights of words: exact terms, word beginnings, misspelled terms."""
+    """Weights of words: whole terms, word beginnings, and both misspelled. `clean` are words like terms that are none."""
 
-    def __init__(self, exact: dict[str, float], stems: dict[str, float], fuzzy: dict[str, float]):
-        self.exact, self.stems, self.fuzzy = exact, stems, fuzzy
+    def __init__(self, exact: dict[str, float], stems: dict[str, float], fuzzy: dict[str, float], clean: frozenset[str] = frozenset()):
+        self.exact, self.stems, self.fuzzy, self.clean = exact, stems, fuzzy, clean
 
-    def start(self) -> None:
-        """What a task makes for itself."""
-        self.automaton = Automaton({t: errors_allowed(t) for t, w in self.fuzzy.items() if w > 0 and errors_allowed(t)})
-        self.lengths = sorted({len(s) for s in self.stems})
+    def start(self, errors: bool = True) -> None:
+        """What a task makes for itself: one automaton, by which every term is found, misspelled or not."""
+        k = lambda t: errors_allowed(t) if errors and self.fuzzy.get(t, 0) > 0 else 0
+        self.automaton = Automaton({t: k(t) for t in self.exact}, {t: min(1, k(t)) for t in self.stems})
 
     def entry(self, core: str) -> tuple[str, float] | None:
-        if core in self.exact:
-            return core, self.exact[core]
-        best = max(((s, self.stems[s]) for k in self.lengths if (s := core[:k]) in self.stems), key=lambda x: x[1], default=None)
-        near = self.automaton.match(core)
-        if near and near[1] and (best is None or self.fuzzy[near[0]] > best[1]):
-            return near[0], self.fuzzy[near[0]]
-        return best
+        near = self.automaton.nearest(core)
+        if near is None:
+            return None
+        errors, begins, term = near
+        if not errors:
+            return term, self.stems[term] if begins else self.exact[term]
+        return None if core in self.clean else (term, self.fuzzy[term])
 
 
 class Weights(dict):
@@ -230,20 +253,19 @@ def lexicon_of(texts: list[str | None], labels: list[int]) -> Lexicon:
     exact |= {w: min(o, 6.0) for o, w in ranked[:TERMS] if o > 2.0 and len(w) > 3}
     ranked = sorted(((_log_odds(begins_pos[s], begins_neg[s], n_pos, n_neg), s) for s in candidates if len(s) in STEMS and begins_pos[s]), reverse=True)
     stems = {s: min(o, 6.0) - 0.5 for o, s in ranked[:TERMS] if o > 2.5}
-    # misspellings: how often a near miss of the term is seen on either side, with a prior for terms never missed
-    lexicon = Lexicon(exact, {}, {t: FUZZY_PRIOR * w for t, w in exact.items()})
+    # misspellings: a term that clean words come near counts less, and those words never do
+    lexicon = Lexicon(exact, stems, {t: 1.0 for t in {**exact, **stems}})
     lexicon.start()
-    near_pos, near_neg = Counter(), Counter()
+    near_pos, near_neg, clean = Counter(), Counter(), set()
     for words, out in ((pos, near_pos), (neg, near_neg)):
-        for w, n in words.items():
-            m = lexicon.automaton.match(w) if len(w) > 3 and w not in exact else None
-            if m and m[1]:
-                out[m[0]] += n
-    fuzzy = {}
-    for t, w in exact.items():
-        o = FUZZY_PRIOR * w - np.log1p(near_neg[t]) * 2 + max(0.0, _log_odds(near_pos[t], near_neg[t], n_pos, n_neg)) * (near_pos[t] > 2)
-        fuzzy[t] = float(min(o, w))
-    return Lexicon(exact, stems, {t: w for t, w in fuzzy.items() if w > 0.5})
+        for w in words:
+            m = lexicon.automaton.nearest(w)
+            if m and m[0]:
+                out[m[2]] += 1
+                if words is neg:
+                    clean.add(w)
+    fuzzy = {t: min(w, FUZZY_PRIOR * w + float(np.log1p(near_pos[t]) - 2 * np.log1p(near_neg[t]))) for t, w in {**stems, **exact}.items()}
+    return Lexicon(exact, stems, {t: w for t, w in fuzzy.items() if w > 0.5}, frozenset(clean))
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
