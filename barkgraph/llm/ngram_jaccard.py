@@ -26,6 +26,10 @@ How the join works
     of hashes that touch two hubs and two components; documents that have them get hubs of their own, and so on.
   * All links are verified exactly over whole sets. Nothing is sampled or capped.
 
+Partitions of the posting index are arrays in one Python worker, but for long posting lists: where a partition holds more
+than CROWDED postings, its lists of more than LONG_LIST stay in Spark. There a list is aggregated
+before it is shuffled, and its pairs are made in blocks, so a hash that any share of all documents hold meets in no one task.
+
 Nulls: a null text has the empty set; a null doc_id yields a row with a null component. Rows that repeat a
 doc_id are told apart by their sets; equal rows give equal result rows. Other columns, whatever their
 names, are ignored.
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, forget, sent
+from .common import BROADCAST_ROWS, arrow_map, cut, forget, sent
 
 SHINGLE = 5
 #: Shares of a set by which prefixes are lengthened, step by step, and which partners must match; 0.75 is the whole set.
@@ -51,10 +55,15 @@ CANDIDATE_COST = 8
 PEEL, SETTLED = 0.1, 0.5
 #: UTF-8 bytes of text for each partition of the first posting index, and postings for each of the later ones.
 BYTES_PER_PARTITION, POSTS_PER_PARTITION = 24_000_000, 1_000_000
+#: Postings above which a partition is crowded, postings of one hash that it then leaves to Spark, and those of each side of
+#: a block of their pairs.
+CROWDED, LONG_LIST, BLOCK = 2_000_000, 250_000, 4096
 #: Bytes of text whose postings a task joins before it publishes them.
 HELD_BYTES = 6_000_000
 #: Words whose hashes a task remembers, texts and postings that it handles at once.
 CACHED_WORDS, TEXTS_AT_ONCE, POSTS_AT_ONCE = 100_000, 128, 500_000
+#: New postings that a partition of the first index gathers at least before it settles them.
+UNSETTLED = 4_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -229,31 +238,40 @@ def _packed(key: np.ndarray, leader: np.ndarray, token: np.ndarray, size=50_000)
 
 
 def _shared(published: DataFrame, partitions: int) -> DataFrame:
-    """(key, leader, tokens): the prefix hashes that a set shares with another set, each once, by the
-    smallest set of the posting list or of the part of it that one task saw."""
+    """(key, leader, tokens): the prefix hashes that a set shares with another set, by the smallest set of the posting
+    list or of the part of it that one task saw. A worker keeps one posting of each hash, whatever the list's length."""
 
-    def run(batches):
-        keys, tokens, met = [], [], []
-        for b in batches:
-            for k, t, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys.append(np.frombuffer(k, np.int64))
-                tokens.append(np.frombuffer(t, np.int64))
-                met.append(np.full(len(keys[-1]), m))
-        if not keys:
-            return
-        key, token, met = np.concatenate(keys), np.concatenate(tokens), np.concatenate(met)
-        keys, tokens = None, None
+    def settled(columns, last):
+        """Rows for the postings that aren't the smallest of their hash, and the smallest: (keys, hashes, met)."""
+        key, token, met = (np.concatenate(c) for c in zip(*columns, strict=True))
         order = np.lexsort((key, token))
         key, token, met = key[order], token[order], met[order]
-        first, length = _runs(key, token)  # a set that several tasks saw, met if any says so
+        first, _ = _runs(key, token)  # a set that several tasks saw, met if any says so
         met = np.logical_or.reduceat(met, first)
         key, token = key[first], token[first]
         first, length = _runs(token)
         near, leader = np.repeat(length > 1, length) | met, np.repeat(key[first], length)
-        for k, lead, t in _packed(key[near], leader[near], token[near]):
-            yield pa.record_batch([k, lead, t], names=["key", "leader", "tokens"])
+        smallest = (key[first], token[first], near[first])
+        if not last:
+            near[first] = False
+        rows = _packed(key[near], leader[near], token[near])
+        return (pa.record_batch(list(c), names=["key", "leader", "tokens"]) for c in rows), smallest
 
-    apart = published.where("part is not null").select("keys", "postings", "met", "part").repartition(partitions, "part")
+    def run(batches):
+        held, fresh, kept = [], 0, 0
+        for b in batches:
+            for k, t, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k = np.frombuffer(k, np.int64)
+                held.append((k, np.frombuffer(t, np.int64), np.full(len(k), m)))
+                fresh += len(k)
+                if fresh > max(UNSETTLED, kept):
+                    rows, smallest = settled(held, False)
+                    yield from rows
+                    held, fresh, kept = [smallest], 0, len(smallest[0])
+        if held:
+            yield from settled(held, True)[0]
+
+    apart = published.where("part is not null").select("keys", "postings", "met", "part").repartitionById(partitions, "part")
     joined = arrow_map(apart.select("keys", "postings", "met"), run, "key long, leader long, tokens array<long>")
     return published.where("leader is not null").select("key", "leader", "tokens").unionByName(joined)
 
@@ -282,10 +300,11 @@ def _sets(docs: DataFrame, alive: DataFrame, seed: int) -> DataFrame:
 
 # --- the posting index ---------------------------------------------------------------------------------------------
 # Its rows hold (key, comp, n, need, part, tokens): the postings of one set in one partition of the index; comp is the
-# set's component so far, need the number of such hashes that it must keep.
+# set's component so far, need the number of such hashes that it must keep. Postings of long lists have the part LONG.
 
 _ROW = "key long, comp long, n long, need long, part int, tokens array<long>"
 _COLUMNS = ["key", "comp", "n", "need", "part", "tokens"]
+LONG = -1
 
 
 def _split(rows: DataFrame, partitions: int) -> DataFrame:
@@ -312,6 +331,42 @@ def _split(rows: DataFrame, partitions: int) -> DataFrame:
     return arrow_map(rows.select("key", "comp", "n", "need", "tokens"), run, _ROW)
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows, which go as scratch, with the long lists of crowded partitions in rows of their own; others
+    stay, as a partition that isn't crowded fits a task whatever its lists. There are at most BROADCAST_ROWS long lists."""
+    posts = rows.groupBy("part").agg(F.sum(F.size("tokens")).alias("posts"))
+    posts = cut(posts, total=F.sum("posts"), most=F.max("posts"))
+    if (posts.seen["most"] or 0) <= CROWDED:
+        forget(posts)
+        return rows
+    crowded = sent(posts, posts.where(F.col("posts") > CROWDED).select("part"))
+    single = rows.join(crowded, "part", "left_semi").select(*_COLUMNS[:5], F.explode("tokens").alias("token"))
+    bound = max(LONG_LIST, posts.seen["total"] // BROADCAST_ROWS)
+    long = cut(single.groupBy("token").agg(F.count("*").alias("length")).where(F.col("length") > bound).select("token"))
+    if not long.seen["rows"]:
+        forget(posts, long)
+        return rows
+    single = single.join(F.broadcast(long.withColumn("long", F.lit(True))), "token", "left").withColumn("part", F.when(F.col("long"), F.lit(LONG)).otherwise(F.col("part")))
+    again = single.groupBy(*_COLUMNS[:5]).agg(F.collect_set("token").alias("tokens"))
+    out = cut(rows.join(crowded, "part", "left_anti").select(*_COLUMNS).unionByName(again))
+    forget(rows, posts, long)
+    return out
+
+
+def _long(rows: DataFrame, *columns: str) -> DataFrame:
+    """The postings of long lists, one a row: (token, columns)."""
+    return rows.where(F.col("part") == LONG).select(*columns, F.explode("tokens").alias("token"))
+
+
+def _in_parts(rows: DataFrame, partitions: int, *columns: str) -> DataFrame:
+    """The other postings, each partition of the index in one task."""
+    return rows.where(F.col("part") != LONG).select("part", *[c for c in columns if c != "part"], "tokens").repartitionById(partitions, "part").select(*columns, "tokens")
+
+
+def _any_long(rows: DataFrame) -> bool:
+    return not rows.where(F.col("part") == LONG).isEmpty()
+
+
 def _index(batches):
     """The rows of one partition as arrays, with the postings in the order of their hashes."""
     table = pa.Table.from_batches(batches).combine_chunks()
@@ -348,7 +403,14 @@ def _mixed(rows: DataFrame, partitions: int, *labels: str) -> DataFrame:
 
     kept = [c for c in rows.columns if c in (*_COLUMNS[:5], "hub")]
     schema = ", ".join(f"{c} {'int' if c == 'part' else 'long'}" for c in kept) + ", tokens array<long>, cost long"
-    return arrow_map(rows.repartition(partitions, "part").select(*kept, "tokens"), run, schema)
+    mixed = arrow_map(_in_parts(rows, partitions, *kept), run, schema)
+    if not _any_long(rows):
+        return mixed
+    long = _long(rows, *kept)
+    lists = long.groupBy("token").agg((F.count("*") - 1).alias("others"), *[F.min(c).alias("lo_" + c) for c in labels], *[F.max(c).alias("hi_" + c) for c in labels])
+    lists = lists.where(" and ".join(f"lo_{c} < hi_{c}" for c in labels)).select("token", "others")
+    long = long.join(F.broadcast(lists), "token").groupBy(*kept).agg(F.collect_list("token").alias("tokens"), F.sum("others").alias("cost"))
+    return mixed.unionByName(long)
 
 
 def _peeled(rows: DataFrame, partitions: int, *labels: str) -> tuple[DataFrame, DataFrame, int]:
@@ -404,13 +466,32 @@ def _pairs(rows: DataFrame, partitions: int, share: float, *labels: str) -> Data
             at = stop
 
     kept = [c for c in rows.columns if c in ("key", "comp", "n", "hub", "cheap")]
-    met = arrow_map(rows.repartition(partitions, "part").select(*kept, "tokens"), run, "a long, b long, na long, nb long, c long")
+    met = arrow_map(_in_parts(rows, partitions, *kept), run, "a long, b long, na long, nb long, c long")
+    if _any_long(rows):
+        met = met.unionByName(_long_pairs(rows, *labels))
     met = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     more = _least(F.col("nb")) - _least(F.col("na"))
     need = F.least(_match(F.col("na"), share) + F.greatest(more, F.lit(0)), _match(F.col("nb"), share) + F.greatest(-more, F.lit(0)))
     return met.where(F.col("c") >= need).select("a", "b")
 
 
+def _long_pairs(rows: DataFrame, *labels: str) -> DataFrame:
+    """(a, b, na, nb, c): the same pairs from long lists, a row for each hash. A list is cut into blocks by its sets, and a
+    pair of blocks meets in one place."""
+    long = _long(rows, "key", "n", "cheap", *labels)
+    lists = long.groupBy("token").agg(F.count("*").alias("length"), F.count_if("cheap").alias("asks")).where("asks > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    long = long.join(F.broadcast(lists.select("token", blocks("length").alias("across"), blocks("asks").alias("down"))), "token")
+    block = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x = long.where("cheap").withColumn("i", block("down")).select("token", "i", every("across").alias("j"), *[F.col(c).alias("x" + c) for c in ("key", "n", *labels)])
+    y = long.withColumn("j", block("across")).select("token", "j", every("down").alias("i"), *[F.col(c).alias("y" + c) for c in ("key", "n", "cheap", *labels)])
+    met = x.join(y, ["token", "i", "j"]).where("(xkey < ykey or (xkey > ykey and not ycheap)) and 4 * least(xn, yn) >= 3 * greatest(xn, yn)")
+    met = met.where(" and ".join(f"x{c} <> y{c}" for c in labels))
+    ends = [F.when(F.col("xkey") < F.col("ykey"), F.col(p)).otherwise(F.col(q)).alias(c) for c, p, q in (("a", "xkey", "ykey"), ("b", "ykey", "xkey"), ("na", "xn", "yn"), ("nb", "yn", "xn"))]
+    return met.select(*ends, F.lit(1).cast("long").alias("c"))
+
+
 # --- verification and components -----------------------------------------------------------------------------------
 
 
@@ -511,8 +592,14 @@ def _hubs(rows: DataFrame, alive: DataFrame, partitions: int) -> DataFrame:
         a, b = pair // len(key), pair % len(key)
         yield pa.record_batch([pa.array(key[a]), pa.array(key[b]), pa.array(m[b]), pa.array(count.astype(np.int64))], names=["key", "hub", "m", "s"])
 
-    ranked = rows.join(sent(alive, alive.select("key", "m")), "key").repartition(partitions, "part").select("key", "m", "tokens")
-    led = arrow_map(ranked, run, "key long, hub long, m long, s long").groupBy("key", "hub", "m").agg(F.sum("s").alias("s"))
+    ranked = rows.join(sent(alive, alive.select("key", "m")), "key")
+    led = arrow_map(_in_parts(ranked, partitions, "key", "m"), run, "key long, hub long, m long, s long")
+    if _any_long(rows):
+        long = _long(ranked, "key", "m")
+        lists = long.groupBy("token").agg(F.min(F.struct((-F.col("m")).alias("less"), F.col("key").alias("hub"))).alias("first"))
+        lists = lists.select("token", "first.hub", (-F.col("first.less")).alias("of_hub"))
+        led = led.unionByName(long.join(F.broadcast(lists), "token").select("key", "hub", F.col("of_hub").alias("m"), F.lit(1).cast("long").alias("s")))
+    led = led.groupBy("key", "hub", "m").agg(F.sum("s").alias("s"))
     best = led.groupBy("key").agg(F.max(F.struct("s", "m", "hub")).alias("best"))
     return cut(best.select("key", F.col("best.hub").alias("hub")))
 
@@ -634,14 +721,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if costs is None:
             posts = shared.seen["posts"] or 0
             partitions = max(least, -(-posts // POSTS_PER_PARTITION))
-            begun = cut(_split(found.label(rows), partitions))
+            begun = _apart(cut(_split(found.label(rows), partitions)))
             forget(shared)
         else:
             dear = cut(costs.where(F.col("cost") > CANDIDATE_COST).select("key", "n"), posts=F.sum(length))
             partitions = max(least, -(-(dear.seen["posts"] or 0) // POSTS_PER_PARTITION))
             dear = _of(sets, dear, F.col("key"))
             dear = dear.select("key", "n", _peel_need(share).alias("need"), F.slice("tokens", F.lit(1), length.cast("int")).alias("tokens"))
-            begun = cut(_split(found.label(dear), partitions))
+            begun = _apart(cut(_split(found.label(dear), partitions)))
             forget(rows, costs)
         rows, costs, left = _peeled(begun, partitions, "comp")
         forget(begun)

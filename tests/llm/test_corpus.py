@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barkgraph.llm import chat, decontam, media_avi, ngram_jaccard, packing, pii, quality_fm, secrets, toxicity, warc
 from barkgraph.llm.common import cut
@@ -88,6 +89,37 @@ def test_components_as_brute_force(spark, monkeypatch, cost, size):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize(("cost", "crowd", "list_"), [(0, 100, 12), (10**6, 0, 1)])
+def test_long_lists_as_brute_force(spark, monkeypatch, cost, crowd, list_):
+    """A passage that every second document holds, and families of copies; all lists of crowded partitions are long ones."""
+    for name, value in (("CANDIDATE_COST", cost), ("CROWDED", crowd), ("LONG_LIST", list_), ("BLOCK", 7), ("UNSETTLED", 40)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    used = Counter()
+    for name in ("_long", "_long_pairs", "_families"):
+        plain = getattr(ngram_jaccard, name)
+        monkeypatch.setattr(ngram_jaccard, name, lambda *a, name=name, plain=plain: (used.update([name]), plain(*a))[1])
+    rnd = random.Random(cost + crowd)
+    passage = [f"p{k}" for k in range(14)]
+    rows = family(3, 60) + [(100 + i, " ".join(passage + [f"u{rnd.randrange(500)}" for _ in range(20)])) for i in range(60)]
+    rows += [(200 + i, rows[i][1] + (" tail" if i % 2 else "")) for i in range(0, 60, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.near_duplicates(documents(spark, rows)).collect()}
+    assert got == components(rows)
+    assert used["_long"] and used["_families" if cost == 0 else "_long_pairs"]
+
+
+def test_a_hash_of_every_document_meets_in_no_task(spark, monkeypatch):
+    """Postings of one hash in 3000 sets: no partition holds more of a list than a crowded one may."""
+    for name, value in (("CROWDED", 2000), ("LONG_LIST", 250)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    rows = spark.range(3000).selectExpr("id AS key", "id AS comp", "34L AS n", "1L AS need", "array(7L, 1000 + id) AS tokens")
+    apart = ngram_jaccard._apart(cut(ngram_jaccard._split(rows, 4)))
+    posts = {r.part: r.posts for r in apart.selectExpr("part", "explode(tokens) AS t").groupBy("part").agg(F.count("*").alias("posts")).collect()}
+    assert posts.pop(ngram_jaccard.LONG) == 3000 and sum(posts.values()) == 3000 and max(posts.values()) <= 2000
+    mixed = ngram_jaccard._mixed(apart, 4, "comp").collect()
+    assert sorted((r.key, r.tokens, r.cost) for r in mixed) == [(k, [7], 2999) for k in range(3000)]
+    assert ngram_jaccard._mixed(apart.withColumn("comp", F.lit(1).cast("long")), 4, "comp").count() == 0
+
+
 def test_families_of_extracts_and_of_two_hubs(spark, monkeypatch):
     """Ever longer extracts of one text, and mixtures of two texts that many documents quote."""
     rnd = random.Random(5)
@@ -112,8 +144,9 @@ def test_repeated_ids_with_other_texts(spark):
     assert got == [(1, 1, 1), (1, 36, 1), (2, 37, 1), (3, 1, 1)]
 
 
-def test_registered_join_on_a_whole_table(spark):
-    sf = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_registered_join_on_a_whole_table(spark, size):
+    sf = f"/root/testdata/sf{size}"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries()["op1_ngram_jaccard"](spark, sf).collect()} == components(rows)
 
