@@ -32,6 +32,7 @@ from .common import map_batches
 SIDE, BLOCKS, UNIT = 24, 9, 576
 FPS = 25
 FRAMES_AT_ONCE = 256
+TAIL = 32  # bytes at the payload's end with a checksum of their own
 #: Shots: deviations above the mean, least distance, and bins of the histogram.
 DEVIATIONS, LEAST, BINS = 3.0, 0.08, 32
 
@@ -438,7 +439,7 @@ def decode_media(files: DataFrame) -> DataFrame:
                 payload = b"".join(p for p, _ in parts)
                 hist = np.concatenate([h for _, h in parts]) if parts else np.empty((0, BINS))
                 clips = [{"first_frame": s, "frames": n, "start_sec": s / fps, "end_sec": (s + n) / fps} for s, n in cut_shots(hist)]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), clips))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), clips))
             c = list(zip(*rows, strict=True)) or [[]] * 6
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(clip))
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"]

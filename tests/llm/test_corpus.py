@@ -466,6 +466,12 @@ def test_colour_frames_without_huffman_tables(spark):
     assert [(c.first_frame, c.frames) for c in media_avi.decode_media(df).first().clips] == [(0, 5), (5, 4)]
 
 
+def test_media_tail_is_the_last_32_bytes(spark):
+    got = media_avi.digests(media_avi.decode_media(media_avi.encode_media(documents(spark, [(1, "a" * 570), (2, "b" * 576), (3, None)]))))
+    tails = {1: b"a" * 26 + b"\xff" * 6, 2: b"b" * 32, 3: b"\xff" * 32}
+    assert {r.doc_id: r.tail_crc32 for r in got.collect()} == {k: zlib.crc32(t) for k, t in tails.items()}
+
+
 def test_media_rows(spark):
     got = media_avi.digests(media_avi.decode_media(media_avi.encode_media(documents(spark, EDGE)))).collect()
     assert len(got) == len(EDGE)
