@@ -6,6 +6,7 @@ expressions."""
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,9 +94,15 @@ def mfcc(wave: np.ndarray, rate: int = RATE) -> np.ndarray:
     return (basis @ db).mean(axis=1)
 
 
+#: Waveforms whose features are in memory at once: 200 x 80 doubles of each are 128 kB.
+AT_ONCE = 64
+
+
 def _vectors(function):
-    def over(waves: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None or not len(w) else function(np.asarray(w, float)).ravel() for w in waves])
+    def over(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for waves in batches:
+            for i in range(0, len(waves), AT_ONCE):
+                yield pd.Series([None if w is None or not len(w) else function(np.asarray(w, float)).ravel() for w in waves.iloc[i : i + AT_ONCE]], dtype=object)
 
     return F.pandas_udf(over, "array<double>")
 

@@ -439,6 +439,14 @@ def test_runs_resume_reuse_and_isolate(spark):
     assert (stage.record["status"], stage.record["error"]) == ("failed", "ZeroDivisionError")
 
 
+def test_features_of_many_waves_are_made_few_at_a_time(spark):
+    waves = [pd.Series([np.arange(3.0) + i for i in range(150)] + [None]), pd.Series([[1.0, 2.0]])]
+    made = list(audio._vectors(audio.mfcc).func(iter(waves)))
+    assert max(map(len, made)) <= audio.AT_ONCE and sum(map(len, made)) == 152
+    whole = [x for part in made for x in part]
+    assert whole[150] is None and np.allclose(whole[149], audio.mfcc(np.arange(3.0) + 149)) and np.allclose(whole[151], audio.mfcc([1.0, 2.0]))
+
+
 def test_spectra_as_plain_sums(spark):
     rnd = np.random.default_rng(1)
     wave = np.sin(np.arange(4000) * 0.3) + 0.1 * rnd.normal(size=4000)
