@@ -16,11 +16,12 @@ from barkgraph.functions import audio
 from barkgraph.functions import temporal as T
 from barkgraph.functions import text as X
 from barkgraph.operators import assign, evaluation, mot, profiles, runs, trackers
+from barkgraph.operators import events as E
 from barkgraph.operators import joins as J
 from barkgraph.operators import profiles as P
 from barkgraph.operators import rows as R
 from barkgraph.operators import tracks as K
-from barkgraph.operators.fusion import FusionState, fold
+from barkgraph.operators.fusion import FusionState, fold, fused
 from barkgraph.sources import cvat, files
 from barkgraph.sources.mot import mot_lines, parse_mot
 
@@ -479,3 +480,10 @@ def test_video_metadata_and_embeddings(spark, tmp_path):
     e = spark.createDataFrame([(1, 4, [0.5, 1.0])], "video_id long, track_id long, v array<double>")
     write_embeddings(e, f"{tmp_path}/e")
     assert [(r.video_id, r.name, r.vector) for r in spark.read.parquet(f"{tmp_path}/e").collect()] == [(1, "track_4", [0.5, 1.0])]
+
+
+def test_a_pair_of_intervals_is_met_once_whatever_its_order(spark):
+    rows = [("v", 1, 5.0, 6.0), ("v", 2, 4.0, 5.0), ("v", 3, 4.0, 9.0), ("v", 4, 7.5, 7.5), ("w", 5, 4.0, 9.0), ("v", 6, 4.0, 5.0)]
+    got = sorted((r.a, r.b) for r in J.meeting(spark.createDataFrame(rows, "video_id string, id long, s double, e double"), ["video_id"], "id", "s", "e", 0.25).collect())
+    same = [(a, b) for (v, a, s, e), (w, b, t, f) in itertools.product(rows, rows) if v == w and a < b and s <= f and t <= e]
+    assert got == sorted(same)
