@@ -487,3 +487,14 @@ def test_a_pair_of_intervals_is_met_once_whatever_its_order(spark):
     got = sorted((r.a, r.b) for r in J.meeting(spark.createDataFrame(rows, "video_id string, id long, s double, e double"), ["video_id"], "id", "s", "e", 0.25).collect())
     same = [(a, b) for (v, a, s, e), (w, b, t, f) in itertools.product(rows, rows) if v == w and a < b and s <= f and t <= e]
     assert got == sorted(same)
+
+
+def test_assignment_makes_pairs_when_it_looks_at_them():
+    asked = []
+    table = [([0, 1], [3.0, 2.0]), ([0], [2.5]), ([2], [1.0])]
+
+    def edges(i):
+        asked.append(i)
+        return np.array(table[i][0]), np.array(table[i][1])
+
+    assert assign.assigned(edges, 3, 3) == [(0, 1), (1, 0), (2, 2)] and set(asked) == {0, 1, 2}
