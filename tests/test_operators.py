@@ -498,3 +498,14 @@ def test_assignment_makes_pairs_when_it_looks_at_them():
         return np.array(table[i][0]), np.array(table[i][1])
 
     assert assign.assigned(edges, 3, 3) == [(0, 1), (1, 0), (2, 2)] and set(asked) == {0, 1, 2}
+
+
+def test_what_many_ask_is_looked_for_once(spark):
+    asks = spark.range(2000).selectExpr("id", "id % 2 as k", "10L as at")
+    rows = spark.createDataFrame([(0, 8, 1.0), (0, 11, 2.0), (1, 30, 3.0)], "k long, frame long, v double")
+    near = J.nearest(asks, rows, ["k"], "at", "frame", 5, ["id", "at"])
+    assert {(r.id % 2, r.frame) for r in near.collect()} == {(0, 11)} and near.count() == 1000
+    both = J.bracketed(asks, rows, ["k"], "at", "frame", ["v"])
+    assert {(r.k, r.prev and r.prev.frame, r.next and r.next.frame) for r in both.collect()} == {(0, 8, 11), (1, None, 30)} and both.count() == 2000
+    sorts = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in sorts and "Aggregate" in sorts[sorts.index("Window") :]  # what is sorted within a key was made distinct before
