@@ -509,3 +509,12 @@ def test_what_many_ask_is_looked_for_once(spark):
     assert {(r.k, r.prev and r.prev.frame, r.next and r.next.frame) for r in both.collect()} == {(0, 8, 11), (1, None, 30)} and both.count() == 2000
     sorts = both._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in sorts and "Aggregate" in sorts[sorts.index("Window") :]  # what is sorted within a key was made distinct before
+
+
+def test_frames_with_several_times_are_visible_once(spark):
+    tracks = spark.createDataFrame([(0, 1, 5, 0.5), (0, 1, 5, 0.7), (0, 1, 6, 9.0), (0, 2, 7, 0.6), (0, 2, None, 0.6), (0, 3, None, 0.6)], "video_id long, track_id long, frame long, time_sec double")
+    events = spark.createDataFrame([(0, 1, 0.4, 0.8), (0, 2, 0.6, 0.6), (0, 3, 0.0, 100.0), (0, 4, 0.8, 0.4)], "video_id long, event_id long, start double, end double")
+    out = E.visibility(tracks, events, F.lit(10.0))
+    assert {(r.event_id, r.track_id): r.visible_frames for r in out.collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 0, (2, 2): 1, (2, 3): 0, (3, 1): 2, (3, 2): 1, (3, 3): 0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(video_id#" in plan and ", event_id#" not in "".join(line for line in plan.splitlines() if "hashpartitioning(" in line and "start" not in line)
