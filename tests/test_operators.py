@@ -518,3 +518,17 @@ def test_frames_with_several_times_are_visible_once(spark):
     assert {(r.event_id, r.track_id): r.visible_frames for r in out.collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 0, (2, 2): 1, (2, 3): 0, (3, 1): 2, (3, 2): 1, (3, 3): 0}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(video_id#" in plan and ", event_id#" not in "".join(line for line in plan.splitlines() if "hashpartitioning(" in line and "start" not in line)
+
+
+def test_a_video_longer_than_a_batch_is_fused_in_order(spark):
+    rows = [(v, e, float(e % 7), e % 7 + 1.0, "dog_1" if e % 3 else None, [1.0 + (v or 0), 0.1 * (e % 11)]) for v in (0, 1, None) for e in range(300)]
+    events = spark.createDataFrame(rows, "video_id long, event_id long, start double, end double, visual_profile string, vector array<double>")
+    want = sorted(fold(sorted((r for r in rows if r[0] == 0), key=lambda r: (r[2], r[3], r[1])), FusionState(FusionConfig())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = fused(events)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+        got = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r for r in got if r[0] == 0) == want and len(got) == 900
