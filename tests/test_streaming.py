@@ -157,3 +157,41 @@ def test_state_work_grows_with_the_events():
         return handle.work
 
     assert work(4000) < 4.2 * work(1000)
+
+
+def test_rows_that_wait_are_folded_a_few_at_a_time(monkeypatch):
+    class Value:
+        def __init__(self): self.v = None
+        def exists(self): return self.v is not None
+        def get(self): return self.v
+        def update(self, v): self.v = v
+        def clear(self): self.v = None
+
+    class Map(dict):
+        def updateValue(self, k, v): self[k] = v
+        def getValue(self, k): return self[k]
+        def removeKey(self, k): del self[k]
+        def keys(self): return list(super().keys())
+
+    class Handle:
+        def getMapState(self, *_): return Map()
+        def getValueState(self, *_): return Value()
+        def registerTimer(self, _): pass
+        def deleteTimer(self, _): pass
+
+    class Clock:
+        def getCurrentWatermarkInMs(self): return 40_000
+        def getExpiryTimeInMs(self): return 1
+
+    class Seen(windows.InOrder):
+        columns, output = ("n",), "n long"
+        def fold(self, key, rows): return sorted(rows)
+
+    monkeypatch.setattr(windows, "AT_ONCE", 100)
+    p = Seen()
+    p.init(Handle())
+    frame = lambda a, b: pd.DataFrame({"ts": pd.to_datetime([n // 10 for n in range(a, b)], unit="s", utc=True), "n": range(a, b)})
+    list(p.handleInputRows((1,), iter([frame(0, 255), frame(255, 500)]), None))
+    out = list(p.handleExpiredTimer((1,), Clock(), Clock()))
+    assert [n for f in out for n in f.n] == list(range(400)) and max(map(len, out)) == 100
+    assert {k[0] for k in p.waiting.keys()} == {s * 1000 for s in range(40, 50)} and p.least.get() == (40_000,)
