@@ -715,7 +715,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = _Components()
     found.link(verify(_stars(shared, alive), sets))
 
-    rows, costs = shared.join(sent(alive, alive.select("key", "n", "need")), "key").select("key", "n", "need", "tokens"), None
+    rows, costs = _by_set(shared, alive), None
     for share in SHARES:
         length = F.col("n") - _least(F.col("n")) + _match(F.col("n"), share)
         if costs is None:
@@ -751,6 +751,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _by_set(shared: DataFrame, alive: DataFrame) -> DataFrame:
+    """(key, n, need, tokens): the shared hashes of each set that is alive, each once, in one row. A set has a row for each of its
+    leaders and, if copies of it lie in many tasks, each hash from each of them: more and more, the larger the input."""
+    rows = shared.join(sent(alive, alive.select("key", "n", "need")), "key").groupBy("key", "n", "need")
+    return rows.agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+
+
 def _peel_need(share: float):
     """Hashes that a set of n matches with any set that it links with, whatever that one's size: its l less one for
     rounding, and its least overlap where prefixes are whole sets."""

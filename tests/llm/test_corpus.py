@@ -107,6 +107,26 @@ def test_long_lists_as_brute_force(spark, monkeypatch, cost, crowd, list_):
     assert used["_long"] and used["_families" if cost == 0 else "_long_pairs"]
 
 
+def test_a_set_is_dealt_to_the_index_once(spark, monkeypatch):
+    """A set has one row in a partition of the index, whatever its leaders and the tasks that hold copies of it."""
+    monkeypatch.setattr(ngram_jaccard, "HELD_BYTES", 1000)  # a task publishes its postings again and again
+    plain, dealt = ngram_jaccard._split, []
+
+    def split(rows, partitions):
+        out = plain(rows, partitions)
+        dealt.extend(out.select("key", "part", "tokens").collect())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "_split", split)
+    rows = family(3, 60)
+    rows += [(1000 + i, t) for i, t in rows]  # exact copies
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.near_duplicates(documents(spark, rows).repartition(4)).collect()}
+    assert got == components(rows)
+    # each of the three shares deals a set at most once
+    assert dealt and max(Counter((r.key, r.part) for r in dealt).values()) <= 3
+    assert all(len(r.tokens) == len(set(r.tokens)) for r in dealt)
+
+
 def test_a_hash_of_every_document_meets_in_no_task(spark, monkeypatch):
     """Postings of one hash in 3000 sets: no partition holds more of a list than a crowded one may."""
     for name, value in (("CROWDED", 2000), ("LONG_LIST", 250)):
