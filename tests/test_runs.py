@@ -71,6 +71,20 @@ def test_a_poisoned_stretch_leaves_the_other_matches(spark):
     assert [b[:2] for b in bad] == [(BAD, "ValueError")]
 
 
+def test_sparse_stretches_share_a_group(spark, monkeypatch):
+    """Python is called for many stretches at once, not for each; few intervals are matched as many are."""
+    calls, plain = [], assign.by_group
+    monkeypatch.setattr(assign, "by_group", lambda df, keys, *a, **k: (calls.append(df.select(*keys).distinct().count()), plain(df, keys, *a, **k))[1])
+    rng = np.random.default_rng(3)
+    rows = [(v, 4 * e + k, 1000.0 * e + 3 * k + float(rng.random()), 1000.0 * e + 3 * k + 2 + 3 * float(rng.random())) for v in range(4) for e in range(40) for k in range(e % 4 + 1)]
+    truth = spark.createDataFrame(rows, "video_id long, id long, start double, end double")
+    guess = truth.withColumn("start", F.col("start") - F.col("id") % 3).withColumn("end", F.col("end") + F.col("id") % 2)
+    got = listed(assign.matched_events(truth, guess))
+    assert got and calls == [1]
+    monkeypatch.setattr(assign, "FEW", 0)
+    alike(listed(assign.matched_events(truth, guess)), got)
+
+
 def test_a_poisoned_video_leaves_the_other_identities(spark):
     rows = [(v, f"p{i}", f"g{(i + 1) % 3}", 5 - i) for v in range(5) for i in range(3)]
     counts = spark.createDataFrame(rows, "video_id long, profile string, identity string, n long")
