@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -334,6 +335,42 @@ def test_other_vocabularies_and_odd_rows(spark):
     assert packing.pack(documents(spark, []), vocabulary()).count() == 0
 
 
+def test_words_take_no_python_call_each():
+    """Words are told apart and put together by array: calls grow with texts and calls of the tokenizer, not with words."""
+    import itertools
+    import sys
+
+    parts = ("an", "the", "ti", "or", "sh", "ed", "wh", "ou", "ble", "re")
+    every = ["".join(x) for x in itertools.product(parts, repeat=4)]
+    texts = [" ".join(w + end for w in every[i::5]) for i in range(5) for end in ("", ",", ".")]
+    words, calls = packing.Words(vocabulary()), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update((event,)))
+    try:
+        got = words.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert got == words.whole(texts)
+    assert calls["call"] + calls["c_call"] < len(every) / 4
+
+
+#: Letters of all sorts, marks, contractions, other white space, what looks like the vocabulary's own tokens.
+PIECES = [
+    "a", "Zé", "İ", "ß", "Σ", "ſ", "don't", "'S", "...", "_", "x1", "12", "中文", "\u0301", "\u1e9e", "ĳ", "<|endoftext|>", "</w>", "\x00", " ", "  ", "\n", "\t\v", "\f\r",
+    "\x1c", "\x1f", "\x85", "\xa0", "\u180e", "\u2003", "\u2028", "\u200b", "\u3000", "\ufeff", "👍🏽",
+]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=6))
+def test_words_have_the_ids_of_whole_texts(texts):
+    words = packing._words(vocabulary())
+    want = words.whole(texts)
+    assert words.encode(texts) == want
+    for kind in (pa.string(), pa.large_string()):
+        ids, ends = words.flat(pa.array(["skipped", *texts, "too"], kind).slice(1, len(texts)))
+        assert ids.tobytes() == b"".join(want) and ends.tolist() == np.cumsum([len(x) // 4 for x in want]).tolist()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=40), st.integers(50, 90))
 def test_differencing_keeps_every_piece(sizes, capacity):
