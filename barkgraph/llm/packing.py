@@ -191,7 +191,9 @@ def gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[n
     """The runs of values that end at ends[i], for each i of which, one after another, and where each of them ends."""
     n = np.diff(ends, prepend=0)[which]
     out = np.cumsum(n)
-    return values[np.repeat(ends[which] - out, n) + np.arange(n.sum())], out
+    at = np.repeat(ends[which] - out, n)
+    at += np.arange(len(at))
+    return values[at], out
 
 
 _WORDS: dict[str, Words] = {}
