@@ -532,3 +532,37 @@ def test_a_video_longer_than_a_batch_is_fused_in_order(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r for r in got if r[0] == 0) == want and len(got) == 900
+
+
+def test_equal_intervals_cost_no_more_than_one():
+    r = np.random.default_rng(8)
+    starts = np.sort(r.integers(0, 80, 70)) / 10
+    s, e = starts, starts + r.exponential(1, 70)
+    plain, calls = assign._meeting(s, e, s + 0.05, e + 0.08), []
+    edges = lambda i: (calls.append(i), plain(i))[1]
+    one = assign.assigned(edges, 70, 70)
+    asked = len(calls)
+    many = assign.carried(edges, np.full(70, 50), np.full(70, 50))
+    assert many == [(i, j, 50) for i, j in one] and len(calls) == 2 * asked > 140
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), min_size=4, max_size=4), max_size=4), st.lists(st.integers(1, 4), min_size=8, max_size=8))
+def test_carried_pairs_as_those_of_each_alone(gain, counts):
+    g = np.array(gain, float).reshape(-1, 4)
+    supply, demand = np.array(counts[: len(g)], int), np.array(counts[4:])
+    got = assign.carried(lambda i: (np.flatnonzero(g[i]), g[i][g[i] > 0]), supply, demand)
+    alone = np.repeat(np.repeat(g, supply, 0), demand, 1)
+    assert sum(g[i, j] * k for i, j, k in got) == sum(alone[i, j] for i, j in assign.hungarian(-alone))
+    assert all(sum(k for i, _, k in got if i == x) <= n for x, n in enumerate(supply)) and all(sum(k for _, j, k in got if j == x) <= n for x, n in enumerate(demand))
+
+
+def test_copies_of_events_are_matched_each(spark):
+    rows = [(1, 0, 1.0, 3.0), (1, 1, 1.5, 3.5), (1, 2, 1.4, 2.0), (2, 3, 1.0, 3.0)]
+    truth = spark.createDataFrame([(v, i + 10 * k, s, e) for v, i, s, e in rows for k in range(5)], "video_id long, id long, start double, end double")
+    guess = truth.where("id <> 41").select("video_id", (F.col("id") + 100).alias("id"), (F.col("start") + 0.25).alias("start"), "end")
+    got = assign.matched_events(truth, guess).collect()
+    assert len({r.gt_id for r in got}) == len({r.pred_id for r in got}) == len(got) == 19
+    t, g = ([r for r in df.collect() if r.video_id == 1] for df in (truth, guess))
+    iou = np.array([[max(0, min(a.end, b.end) - max(a.start, b.start)) / (max(a.end, b.end) - min(a.start, b.start)) for b in g] for a in t])
+    assert math.isclose(sum(r.iou for r in got if r.video_id == 1), sum(iou[i, j] for i, j in assign.hungarian(-iou)), abs_tol=1e-9)
