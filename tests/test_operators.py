@@ -566,3 +566,15 @@ def test_copies_of_events_are_matched_each(spark):
     t, g = ([r for r in df.collect() if r.video_id == 1] for df in (truth, guess))
     iou = np.array([[max(0, min(a.end, b.end) - max(a.start, b.start)) / (max(a.end, b.end) - min(a.start, b.start)) for b in g] for a in t])
     assert math.isclose(sum(r.iou for r in got if r.video_id == 1), sum(iou[i, j] for i, j in assign.hungarian(-iou)), abs_tol=1e-9)
+
+
+def test_equal_intervals_meet_as_one_row(spark):
+    """What is measured, and read by the join, goes with the different intervals; the pairs are those of all."""
+    few = [("v", 0.0, 2.0), ("v", 1.0, 3.0), ("v", 1.0, 2.5), ("w", 0.0, 2.0), ("v", 2.0, 2.0)]
+    rows = [(v, 10 * k + i, s, e) for i, (v, s, e) in enumerate(few) for k in range(7)]
+    measured = spark.sparkContext.accumulator(0)
+    length = F.udf(lambda s, e, t, f: (measured.add(1), min(e, f) - max(s, t))[1], "double").asNondeterministic()
+    got = J.meeting(spark.createDataFrame(rows, "video_id string, id long, s double, e double"), ["video_id"], "id", "s", "e", 0.25, lambda *ends: length(*ends))
+    want = {(a, b): min(e, f) - max(s, t) for (v, a, s, e), (w, b, t, f) in itertools.product(rows, rows) if v == w and a < b and s <= f and t <= e}
+    pairs = got.collect()
+    assert {(r.a, r.b): r.value for r in pairs} == want and len(pairs) == len(want) == 399 and measured.value <= 15
