@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import barkgraph.queries as Q
+from barkgraph import file_queries
 from barkgraph.file_queries import in_batches
 from barkgraph.operators import trackers
 from barkgraph.operators.fusion import fused
@@ -195,3 +197,26 @@ def test_rows_that_wait_are_folded_a_few_at_a_time(monkeypatch):
     out = list(p.handleExpiredTimer((1,), Clock(), Clock()))
     assert [n for f in out for n in f.n] == list(range(400)) and max(map(len, out)) == 100
     assert {k[0] for k in p.waiting.keys()} == {s * 1000 for s in range(40, 50)} and p.least.get() == (40_000,)
+
+
+def test_rows_that_come_in_many_frames_are_stored_together():
+    """The calls of the state go with the rows held at once and their times, not with the frames in which they come."""
+    handle, p = Handle(), windows.FusionProcessor()
+    p.init(handle)
+    rows = [(pd.Timestamp(i % 5, unit="s"), i, float(i % 5), i % 5 + 1.0, None if i % 3 else "dog", np.array([1.0, i % 4])) for i in range(400)]
+    frames = [pd.DataFrame(rows[k : k + 20], columns=["ts", *p.columns]) for k in range(0, 400, 20)]
+    list(p.handleInputRows((1,), iter(frames), None))
+    assert handle.work == 5
+    got = [r for f in p.handleExpiredTimer((1,), Now(10**6), Now(1)) for r in f.event_id]
+    assert got == [i for t in range(5) for i in range(t, 400, 5)]
+
+
+def test_large_batches_are_several_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(file_queries, "FILE_ROWS", 30)
+    monkeypatch.setattr(file_queries, "scratch", lambda _: f"{tmp_path}/rows")
+    rows = spark.range(0, 360).select(F.col("id").alias("video_id"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    stream = in_batches(spark, rows, [F.timestamp_seconds(F.lit(s)) for s in (100, 260)], rows.schema)
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) == 3 * 3 + 1
+    q = stream.writeStream.format("memory").queryName("files").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None and [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]] == [100, 160, 100, 1]
